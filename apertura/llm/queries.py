@@ -6,14 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from apertura.llm import lang_cnn, mixing, secret_scan, sharding, url_rules
+from apertura.llm import decontamination, lang_cnn, mixing, quality_mil, secret_scan, sharding, superminhash, url_rules, vector_neighbours
 from apertura.llm.shared import table
 
 
+def op1_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over shingles of four words, as the query's contract has it; the operator takes five unless told otherwise."""
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), n=4)
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(table(spark, sf_dir, "pages"))
 
@@ -22,6 +35,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_cnn.identified(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
@@ -32,13 +49,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_vector_neighbours": op1_vector_neighbours,
         "op3_mix_sources": op3_mix_sources,
+        "op4_quality": op4_quality,
+        "op5_near_duplicates": op5_near_duplicates,
         "op6_url_rules": op6_url_rules,
         "op7_language": op7_language,
+        "op8_decontamination": op8_decontamination,
         "op9_shards": op9_shards,
         "op10_secrets": op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.MIX_SQL, "op6_url_rules": url_rules.URL_SQL}
+    return {
+        "op1_vector_neighbours": vector_neighbours.NEIGHBOURS_SQL,
+        "op3_mix_sources": mixing.MIX_SQL,
+        "op5_near_duplicates": superminhash.NEAR_DUPLICATES_SQL,
+        "op6_url_rules": url_rules.URL_SQL,
+    }

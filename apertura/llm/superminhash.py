@@ -249,3 +249,27 @@ def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     kept = near_duplicates(docs, n, percent).where("kept").select("doc_id").where("doc_id is not null").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+#: Over shingles of four words, as the query has it.
+NEAR_DUPLICATES_SQL = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words
+  from documents),
+s as materialized (
+  select distinct doc_id, shingle from (
+    select doc_id, unnest(list_transform(range(1, greatest(len(words) - 2, 2)), lambda i: array_to_string(words[i:i + 3], ' '))) as shingle
+    from w where len(words) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as u, b.doc_id as v, count(*) as c from s a join s b using (shingle) where a.doc_id != b.doc_id group by all),
+links as materialized (
+  select u, v from p join n a on u = a.doc_id join n b on v = b.doc_id where 100 * c >= 80 * (a.n + b.n - c)),
+reached(node, seen) as (
+  select u, v from links
+  union
+  select r.node, l.v from reached r join links l on r.seen = l.u),
+least as (select node, min(seen) as m from reached group by node)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(l.m, d.doc_id)) as component_id,
+       d.doc_id = least(d.doc_id, coalesce(l.m, d.doc_id)) as kept
+from documents d left join n on d.doc_id = n.doc_id left join least l on d.doc_id = l.node
+"""

@@ -353,3 +353,26 @@ def near_vectors(df: DataFrame, threshold: float = 0.93) -> DataFrame:
     out = df.select("vec_id").join(known, F.col("vec_id") == F.col("id"), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+NEIGHBOURS_SQL = """
+with recursive ok as materialized (
+  select vec_id, label, case when len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 then cast(embedding as double[]) end as v
+  from embeddings where label is not null and len(embedding) > 0),
+good as materialized (
+  select vec_id, label, len(v) as dim, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from ok where v is not null),
+links as materialized (
+  select a.vec_id as u, b.vec_id as v
+  from (select * from good where norm > 0) a join (select * from good where norm > 0) b
+    on a.label = b.label and a.dim = b.dim and a.vec_id != b.vec_id
+  where list_dot_product(a.v, b.v) / a.norm / b.norm >= 0.93),
+reached(node, seen) as (
+  select u, v from links
+  union
+  select r.node, l.v from reached r join links l on r.seen = l.u),
+least as (select node, min(seen) as m from reached group by node),
+counts as (select u, count(*) as n from links group by u)
+select e.vec_id, coalesce(c.n, 0) as n_links, least(e.vec_id, coalesce(l.m, e.vec_id)) as component_id,
+       e.vec_id = least(e.vec_id, coalesce(l.m, e.vec_id)) as kept
+from embeddings e left join counts c on e.vec_id = c.u left join least l on e.vec_id = l.node
+"""
