@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from apertura.llm import decontamination, lang_cnn, mixing, quality_mil, secret_scan, sharding, superminhash, url_rules, vector_neighbours
+from apertura.llm import decontamination, html_crf, lang_cnn, mixing, quality_mil, secret_scan, sharding, superminhash, url_rules, vector_neighbours
 from apertura.llm.shared import table
 
 
@@ -14,6 +14,10 @@ def op1_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_vector_neighbours": op1_vector_neighbours,
+        "op2_main_text": op2_main_text,
         "op3_mix_sources": op3_mix_sources,
         "op4_quality": op4_quality,
         "op5_near_duplicates": op5_near_duplicates,
