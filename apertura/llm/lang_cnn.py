@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from apertura.llm.shared import held_out
 
@@ -184,6 +185,22 @@ def identified(docs: DataFrame, net: Net | None = None) -> DataFrame:
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), docs["text"].cast("string").alias("text")).mapInArrow(read, schema)
 
 
+def with_language(docs: DataFrame, net: Net | None = None) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``lang_score`` (as ``identified`` gives them), which replace columns of those names."""
+    net = net or fitted(docs)
+    docs = docs.drop("lang_pred", "lang_score")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(net) if net else None
+        for batch in batches:
+            langs, scores = predictions(reader, batch.column(batch.num_columns - 1))
+            columns = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "lang_score"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    return docs.withColumn("__text", docs["text"].cast("string")).mapInArrow(read, schema)
+
+
 def predictions(reader: Reader | None, texts: pa.Array) -> tuple[list[str], list[float]]:
     langs, scores, waiting, size = ["und"] * len(texts), [0.0] * len(texts), [], 0
 

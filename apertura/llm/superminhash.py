@@ -245,10 +245,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 
 def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one for each group of near duplicates, and all without an id."""
+    """The rows of ``docs`` that stay: one for each group of near duplicates, and all without an id.
+
+    Of rows with the same id and text one stays; rows that share an id but not the text stay or go together.
+    """
     kept = near_duplicates(docs, n, percent).where("kept").select("doc_id").where("doc_id is not null").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id")
+    named = docs.join(kept, "doc_id", "left_semi")
+    once = named.join(repeated, "doc_id", "left_anti")
+    more = named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(more).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 #: Over shingles of four words, as the query has it.
