@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from apertura.functions import scalars as S
 
 
-def display_from_tags(tags: Column) -> Column:
-    """A record of tags (``ifd0, exif, gps``) as the fields that are shown: texts without padding, rationals as numbers, degrees signed."""
+def display_fields_of(tags: Column) -> dict[str, Column]:
+    """The fields that are shown of a record of tags (``ifd0, exif, gps``): texts without padding, rationals as numbers, degrees signed."""
     z, e, g = (lambda n: tags["ifd0"][n]), (lambda n: tags["exif"][n]), (lambda n: tags["gps"][n])
     text, number = S.clean_text, S.from_rational
     up = number(g("GPSAltitude"))
     none = F.lit(None).cast("int")
-    fields = {
+    return {
         "Make": text(z("Make")), "Model": text(z("Model")), "Software": text(z("Software")), "LensMake": text(e("LensMake")), "LensModel": text(e("LensModel")),
         "DateTimeOriginal": text(e("DateTimeOriginal")), "DateTime": text(z("DateTime")), "SubSecTimeOriginal": text(e("SubSecTimeOriginal")),
         "ExposureTime": number(e("ExposureTime")), "FNumber": number(e("FNumber")), "ISO": e("ISOSpeedRatings"),
@@ -26,14 +26,17 @@ def display_from_tags(tags: Column) -> Column:
         "GPSAltitude": F.when(g("GPSAltitudeRef") == 1, -up).otherwise(up),
         "PixelXDimension": e("PixelXDimension"), "PixelYDimension": e("PixelYDimension"), "ImageWidth": none, "ImageHeight": none,
     }
-    return F.when(tags.isNotNull(), F.struct(*[c.alias(name) for name, c in fields.items()]))
 
 
-def parsed_dates(record: Column) -> Column:
-    """The record with its EXIF date texts as timestamps; other texts become null."""
-    for name in ("DateTimeOriginal", "DateTime"):
-        record = record.withField(name, F.try_to_timestamp(record[name], F.lit("yyyy:MM:dd HH:mm:ss")))
-    return record
+def display_from_tags(tags: Column, dates: bool = False, **instead: Column) -> Column:
+    """A record of tags as one struct of shown fields, null for a null record.
+
+    With ``dates`` the EXIF date texts become timestamps (null if they are none); ``instead`` replaces fields.
+    """
+    fields = display_fields_of(tags)
+    if dates:
+        fields |= {n: F.try_to_timestamp(fields[n], F.lit("yyyy:MM:dd HH:mm:ss")) for n in ("DateTimeOriginal", "DateTime")}
+    return F.when(tags.isNotNull(), F.struct(*[c.alias(name) for name, c in (fields | instead).items()]))
 
 
 def overridden(record: Column, **values: Column) -> Column:

@@ -12,12 +12,13 @@ from apertura.functions import scalars as S
 from apertura.functions.draws import SEED
 from apertura.functions.exif_bytes import jpeg_size, read_tags, strip_tags, write_tags
 from apertura.operators import generate as G
-from apertura.operators.records import display_from_tags, overridden, parsed_dates
+from apertura.operators.records import display_fields_of, display_from_tags
 
 
-def original_day(record: Column) -> Column:
-    """The calendar day of a parsed record: of the first date text given, with months and days rolled over."""
-    return S.rolled_date(S.first_given(record["DateTimeOriginal"], record["DateTime"]))
+def original_day(tags: Column) -> Column:
+    """The calendar day of a record of tags: of the first date text given, with months and days rolled over."""
+    fields = display_fields_of(tags)
+    return S.rolled_date(S.first_given(fields["DateTimeOriginal"], fields["DateTime"]))
 
 
 def randomized(items: DataFrame, keep_date: bool = False, as_of: str = G.AS_OF, seed: int = SEED) -> DataFrame:
@@ -31,16 +32,16 @@ def randomized(items: DataFrame, keep_date: bool = False, as_of: str = G.AS_OF,
     names = [c for c in items.columns if c not in drop]
     df = items.select(*names, jpeg_size("content").alias("__size"))
     if keep_date:
-        df = df.withColumn("__day", original_day(display_from_tags(read_tags("content"))).cast("timestamp"))
+        df = df.withColumn("__day", original_day(read_tags("content")).cast("timestamp"))
     df = G.synthetic_records(df, "item_id", "__day" if keep_date else None, as_of, seed)
     df = df.withColumn("__written", write_tags("content", G.tag_record(F.col("__size.width"), F.col("__size.height"))))
-    df = df.withColumn("__read", parsed_dates(display_from_tags(read_tags("__written.content"))))
+    df = df.withColumn("__read", read_tags("__written.content"))
     place = {"GPSLatitude": F.col("place.lat"), "GPSLongitude": -F.abs(F.col("place.lon")), "GPSAltitude": F.col("altitude").cast("double")}
     good = F.col("__written.error").isNull() & F.col("__read").isNotNull()
     return df.select(
         *names,
         F.when(good, F.col("__written.content")).alias("output"),
-        F.when(good, overridden(F.col("__read"), **place)).alias("fake"),
+        F.when(good, display_from_tags(F.col("__read"), dates=True, **place)).alias("fake"),
         F.when(good, G.output_name(F.col("cam.make"), F.col("item_id"), as_of, seed)).alias("output_name"),
         F.when(good, F.col("loc.city")).alias("city"),
         F.lit(None).cast("string").alias("warning"),
