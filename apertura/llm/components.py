@@ -24,8 +24,9 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """``node, component``: for each node of an edge between different nodes, the smallest node it reaches.
+    """``node, component``: for each node of an edge that reaches a smaller one, the smallest node it reaches.
 
+    The smallest node of a component, like a node without edges, has no row.
     ``edges`` has the columns u and v of an ordered type; rows with a null are ignored. Each round reads and
     writes the edge table in the shared folder; the number of rounds grows with the logarithm of the size.
     """
