@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from apertura.llm import decontamination, lang_cnn, mixing, sharding, superminhash
 from apertura.llm.shared import table, written
 
-#: A document whose language is less certain than this goes.
-LEAST_SCORE = 0.5
+#: A document whose language is hardly likelier than by chance goes.
+LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
