@@ -1,7 +1,7 @@
 """Quality classifier by attention-based multiple-instance learning (operator 4).
 
 A document is a bag of passages of PASSAGE bytes. A passage is encoded from how often each kind of byte
-follows each other kind; a gated attention (Ilse et al., 2018) weighs the encodings, and the weighted mean
+follows each other kind, its length, and how many of its document's words repeat the one before; a gated attention (Ilse et al., 2018) weighs the encodings, and the weighted mean
 is scored. Only the documents' labels train it, in numpy.
 """
 
@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apertura.llm.shared import held_out
+from apertura.llm.tokens import words
 
 PASSAGE = 512
 KINDS = 16
-FEATURES = KINDS * KINDS + 2
+FEATURES = KINDS * KINDS + 3
 HIDDEN, GATE = 24, 12
 #: The classifier is fitted on at most this many labelled documents, those with the smallest hashes of their ids.
 SAMPLE_DOCS = 3000
@@ -57,10 +58,17 @@ def encoded(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     x[:, : KINDS * KINDS] = np.bincount(cell[same], minlength=rows * KINDS * KINDS).reshape(rows, -1)
     size = np.bincount(passage, minlength=rows)
     x[:, : KINDS * KINDS] = np.sqrt(x[:, : KINDS * KINDS] / np.maximum(1, size)[:, None])
-    x[:, -2], x[:, -1] = size / PASSAGE, size == 0
+    x[:, -3], x[:, -2], x[:, -1] = repeats(texts)[owner], size / PASSAGE, size == 0
     return x, owner
 
 
+def repeats(texts: list[bytes]) -> np.ndarray:
+    """The share of each text's words that are the same as the word before."""
+    w = words(texts)
+    same = (w.hashes[1:] == w.hashes[:-1]) & (w.text[1:] == w.text[:-1])
+    return np.bincount(w.text[1:][same], minlength=len(texts)) / np.maximum(1, np.diff(w.starts))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
