@@ -30,10 +30,11 @@ def randomized(items: DataFrame, keep_date: bool = False, as_of: str = G.AS_OF,
     """
     drop = ["output", "fake", "output_name", "city", "warning", "error", "is_synthetic"]
     names = [c for c in items.columns if c not in drop]
-    df = items.select(*names, jpeg_size("content").alias("__size"))
+    df = items.select(*names)
     if keep_date:
         df = df.withColumn("__day", original_day(read_tags("content")).cast("timestamp"))
     df = G.synthetic_records(df, "item_id", "__day" if keep_date else None, as_of, seed)
+    df = df.withColumn("__size", jpeg_size("content"))
     df = df.withColumn("__written", write_tags("content", G.tag_record(F.col("__size.width"), F.col("__size.height"))))
     df = df.withColumn("__read", read_tags("__written.content"))
     place = {"GPSLatitude": F.col("place.lat"), "GPSLongitude": -F.abs(F.col("place.lon")), "GPSAltitude": F.col("altitude").cast("double")}

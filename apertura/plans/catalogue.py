@@ -125,8 +125,9 @@ def tag_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exif_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records written into JPEG bytes and read back from them."""
-    items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), F.lit(TINY_JPEG).alias("content"))
+    """Records written into JPEG bytes and read back from them; the keys are spread first, as the bytes are Python's work."""
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id")).repartition("item_id")
+    items = keys.withColumn("content", F.lit(TINY_JPEG))
     out = W.randomized(items)
     names = ("Make", "Model", "LensModel", "ISO", "FNumber", "FocalLength", "ExposureTime", "GPSLatitude", "GPSLongitude", "GPSAltitude", "PixelXDimension", "PixelYDimension")
     return out.select(F.col("item_id").alias("o_orderkey"), *[F.col(f"fake.{n}").alias(n) for n in names], S.exif_datetime(F.col("fake.DateTimeOriginal")).alias("stamp"), "output_name", "error")
