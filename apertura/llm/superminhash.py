@@ -142,7 +142,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs ``u, v`` whose shingle sets have 100 * intersection >= percent * union."""
-    left, right = (texts.withColumnsRenamed({"doc_id": id_, "text": text}) for id_, text in (("u", "a"), ("v", "b")))
+    left, right = (texts.withColumnsRenamed({"doc_id": id_, "text": text}).hint("merge") for id_, text in (("u", "a"), ("v", "b")))
     both = pairs.join(left, "u").join(right, "v")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     centres = buckets.join(company, "rep").groupBy("band").agg(best.alias("centre"))
     around = written(buckets.join(centres, "band").select("centre", "rep").distinct(), "around")
     near = around.select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(docs.select("doc_id", docs["text"].cast("string").cast("binary").alias("text")).join(near, "doc_id", "left_semi"), "texts")
+    texts = written(docs.select("doc_id", docs["text"].cast("string").cast("binary").alias("text")).join(near.hint("merge"), "doc_id", "left_semi"), "texts")
     pairs = around.where("rep != centre").select(F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v")).distinct()
     links = written(verified(pairs, texts, n, percent), "links")
     found = components(links, "near-1")
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     placed = placed.withColumn("astray", F.col("component") != F.col("of_centre")).drop("of_centre")
     astray = placed.where("astray").select("centre").distinct()
     placed = written(placed.join(astray, "centre", "left_semi"), "placed")
-    sets = shingled(texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), n)
+    sets = shingled(texts.join(placed.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), n)
     more = written(block_links(placed, sets, percent), "links-2")
     if not more.isEmpty():
         found = components(links.unionByName(more), "near-2")
