@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of orders, spread over the tasks: a record is much work for eight bytes, and a small table is one partition."""
+    return table(spark, sf_dir, "orders").select("o_orderkey").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+
+
 def cameras_by_make(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dims.cameras(spark).groupBy("make", "type").agg(F.count("*").alias("n"), F.min(F.array_min("apertures")).alias("widest"))
 
@@ -104,7 +109,7 @@ def export_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synthetic_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rec = G.synthetic_records(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    rec = G.synthetic_records(_order_keys(spark, sf_dir), "o_orderkey")
     return rec.select(
         "o_orderkey", "cam.make", "cam.model", "cam.software", "lens_model", S.exif_datetime(F.col("taken_at")).alias("stamp"), "sub_sec",
         F.col("shutter.num").alias("shutter_num"), F.col("shutter.den").alias("shutter_den"), "aperture", "iso", "focal", "flash", "metering", "program", "exposure_mode",
@@ -113,7 +118,7 @@ def synthetic_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rec = G.synthetic_records(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", G.tag_record().alias("t"))
+    rec = G.synthetic_records(_order_keys(spark, sf_dir), "o_orderkey").select("o_orderkey", G.tag_record().alias("t"))
     num = lambda c, i: F.get(F.col(c), F.lit(i))["num"]
     return rec.select(
         "o_orderkey", F.col("t.exif.FNumber.num").alias("f_num"), F.col("t.exif.FocalLength.num").alias("focal_num"),
@@ -125,9 +130,8 @@ def tag_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exif_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records written into JPEG bytes and read back from them; the keys are spread first, as the bytes are Python's work."""
-    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id")).repartition("item_id")
-    items = keys.withColumn("content", F.lit(TINY_JPEG))
+    """Records written into JPEG bytes and read back from them."""
+    items = _order_keys(spark, sf_dir).select(F.col("o_orderkey").alias("item_id"), F.lit(TINY_JPEG).alias("content"))
     out = W.randomized(items)
     names = ("Make", "Model", "LensModel", "ISO", "FNumber", "FocalLength", "ExposureTime", "GPSLatitude", "GPSLongitude", "GPSAltitude", "PixelXDimension", "PixelYDimension")
     return out.select(F.col("item_id").alias("o_orderkey"), *[F.col(f"fake.{n}").alias(n) for n in names], S.exif_datetime(F.col("fake.DateTimeOriginal")).alias("stamp"), "output_name", "error")
@@ -150,7 +154,7 @@ def code_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rec = G.synthetic_records(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").withColumn("record", G.display_record())
+    rec = G.synthetic_records(_order_keys(spark, sf_dir), "o_orderkey").withColumn("record", G.display_record())
     return D.display_fields(rec, "record", ["o_orderkey"])
 
 
