@@ -1,9 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words (operator 8).
+"""Benchmark decontamination: rare-word seeds, then Smith-Waterman alignment of words (operator 8).
 
 Items are taken in blocks of bounded size. For a block, a first pass over the documents counts in how many
-each n-gram of its items occurs; an item's seeds are the rarer half of its n-grams. A second pass joins the
-documents' n-grams with the seeds, and aligns each item with the surroundings of its seeds: a copy with
-words put in, left out or replaced keeps most of its score. Nothing is shuffled but the counts.
+each word of its items occurs. A copy that reaches the least score matches at least that share of the item's
+words, so of the rarest places beyond the others it matches one at least: those are the item's seeds, and no
+copy is without one, however its words were replaced, put in or left out. A second pass joins the documents'
+words with the seeds, leaves out the items of which too few words and word pairs are near each other for the
+least score, and aligns the rest. Nothing is shuffled but the counts.
 """
 
 from __future__ import annotations
@@ -16,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apertura.llm.tokens import grams, words
+from apertura.llm.tokens import mix, words
 
-#: Words of a seed; an item with fewer is one seed as a whole.
-SEED_WORDS = 3
 #: Alignment: a match, a replaced word, a word put in or left out.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: The least share of the score that an exact copy of the item has.
 LEAST = 0.5
+#: What parts two runs of matched words at least.
+APART = min(-MISMATCH, -GAP)
 #: Items of a block and bytes of their texts.
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
@@ -33,47 +35,53 @@ BYTES = 1 << 21
 
 @dataclass
 class Items:
-    """The words of each item, and for each seed length the sorted distinct n-grams with the places they have."""
+    """The items' words, one after the other, as numbers of a sorted vocabulary, and the items that have a word as a seed."""
 
     ids: list
-    words: list[np.ndarray]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # length: grams, first place, item, place in it
-
-
-def item_grams(own: list[np.ndarray], n: int = SEED_WORDS) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By length: hash, item and place of every n-gram."""
-    found: dict[int, list] = {}
-    for i, w in enumerate(own):
-        if length := min(n, len(w)):
-            g, place = _grams(w, length)
-            found.setdefault(length, []).append((g, np.full(len(g), i), place))
-    return {length: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for length, parts in found.items()}
-
-
-def _grams(w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    from apertura.llm.tokens import Words
-
-    return grams(Words(w, np.zeros(len(w), np.int64), np.array([0, len(w)])), n)
-
-
-def seeds(found: dict, counts: dict[tuple[int, int], int]) -> dict:
-    """Of each item the half of its n-grams that the fewest documents hold, and those as rare as the last of them."""
-    out = {}
-    for length, (g, item, place) in found.items():
-        rare = np.array([counts.get((length, int(x)), 0) for x in g.view(np.int64)])
-        keep = np.zeros(len(g), bool)
-        order = np.lexsort((rare, item))
-        cuts = np.flatnonzero(np.diff(item[order], prepend=-1, append=-1))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = order[a:b]
-            keep[own[rare[own] <= rare[own[(len(own) - 1) // 2]]]] = True
-        g, item, place = g[keep], item[keep], place[keep]
-        order = np.argsort(g, kind="stable")
-        unique, first = np.unique(g[order], return_index=True)
-        out[length] = (unique, np.append(first, len(g)), item[order], place[order])
+    starts: np.ndarray
+    words: np.ndarray
+    vocabulary: np.ndarray
+    first: np.ndarray  # of each word the first of its seeds
+    seeds: np.ndarray  # items
+    pairs: np.ndarray  # of each place the hash of its word and the next one; 0 at an item's end
+
+    def of(self, i: int) -> np.ndarray:
+        return self.words[self.starts[i] : self.starts[i + 1]]
+
+
+def matches(length: np.ndarray | int, least: float):  # noqa: ANN201
+    """Words that a copy with the least share of the full score matches at least."""
+    return np.maximum(np.ceil(least * length - 1e-9), 1).astype(np.int64)
+
+
+def pairs(own: np.ndarray) -> np.ndarray:
+    """Hashes of each word number and the next, other than 0 where both are numbers (not negative); 0 at the end."""
+    out = np.zeros(len(own), np.uint64)
+    with np.errstate(over="ignore"):
+        out[:-1] = mix((own[:-1].astype(np.uint64) << np.uint64(32)) + own[1:].astype(np.uint64)) | np.uint64(1)
+    out[:-1][(own[:-1] < 0) | (own[1:] < 0)] = 0
     return out
 
 
+def reached(matched: np.ndarray, adjacent: np.ndarray, length: np.ndarray | int, least: float):  # noqa: ANN201
+    """Whether so many matched words, and places where two follow each other in both texts, may have the least score.
+
+    Runs of matched words are parted by APART at least, and there are as many as words that don't follow another.
+    """
+    enough = (MATCH - APART) * matched + APART * adjacent >= np.ceil(least * MATCH * length - 1e-9) - APART
+    return enough & (matched >= matches(length, least))
+
+
+def seeds(starts: np.ndarray, own: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each item its words in the fewest documents: as many as a copy can do without, and one."""
+    length = np.diff(starts)
+    item = np.repeat(np.arange(len(length)), length)
+    order = np.lexsort((counts[own], item))
+    keep = order[np.arange(len(own)) - starts[item] < (length - matches(length, least) + 1)[item]]
+    keep = keep[np.argsort(own[keep], kind="stable")]
+    return np.searchsorted(own[keep], np.arange(len(counts) + 1)), item[keep]
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """The best local score of the item in the text, and the word after its end."""
     row, best, at = np.zeros(len(text) + 1, np.int64), 0, 0
@@ -87,30 +95,51 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, at
 
 
-def leaks(doc: np.ndarray, items: Items, n: int = SEED_WORDS, least: float = LEAST) -> list[tuple[int, float, int, int, int]]:
+def _spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All numbers of the runs of ``count`` from ``first``."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def leaks(doc: np.ndarray, items: Items, least: float = LEAST) -> list[tuple[int, float, int, int, int]]:
     """(item, share of the full score, first word, word after the last, seeds) of the items that the words hold a copy of."""
-    hits: dict[int, list[int]] = {}
-    for length, (unique, first, item, place) in items.seeds.items():
-        g, where = _grams(doc, length)
-        if not len(g) or not len(unique):
-            continue
-        k = np.minimum(np.searchsorted(unique, g), len(unique) - 1)
-        for j in np.flatnonzero(unique[k] == g):
-            for x in range(first[k[j]], first[k[j] + 1]):
-                hits.setdefault(int(item[x]), []).append(int(where[j] - place[x]))
+    if not len(doc) or not len(items.vocabulary):
+        return []
+    text = np.minimum(np.searchsorted(items.vocabulary, doc), len(items.vocabulary) - 1)
+    text[items.vocabulary[text] != doc] = -1
+    here, often = np.unique(text[text >= 0], return_counts=True)
+    count = items.first[here + 1] - items.first[here]
+    hit, back = np.unique(items.seeds[_spans(items.first[here], count)], return_inverse=True)
+    if not len(hit):
+        return []
+    found_seeds = np.bincount(back, np.repeat(often, count)).astype(np.int64)
+    there = np.zeros(len(items.vocabulary), bool)
+    there[here] = True
+    length = items.starts[hit + 1] - items.starts[hit]
+    held = np.add.reduceat(there[items.words[_spans(items.starts[hit], length)]], np.cumsum(length) - length, dtype=np.int64)
+    may = np.flatnonzero(reached(held, held - 1, length, least))
+    if not len(may):
+        return []
+    follow = pairs(text)
+    both = np.isin(items.pairs[_spans(items.starts[hit[may]], length[may])], follow[follow > 0])
+    both = np.add.reduceat(both, np.cumsum(length[may]) - length[may], dtype=np.int64)
     found = []
-    for i, shifts in hits.items():
-        own, top = items.words[i], (0, 0, 0)
-        slack, shifts = max(4, len(own) // 2), sorted(shifts)
-        parts = np.split(shifts, np.flatnonzero(np.diff(shifts) > slack) + 1)
-        for part in parts:
-            a, b = max(0, int(part[0]) - slack), min(len(doc), int(part[-1]) + len(own) + slack)
-            score, end = align(own, doc[a:b])
+    for j in may[reached(held[may], both, length[may], least)]:
+        i, top = int(hit[j]), (0, 0, 0)
+        own, full = items.of(i), MATCH * int(length[j])
+        # A copy is no longer than the item and the words put in that the score allows; it begins at a word of the item.
+        wide = len(own) + int((full - least * full) // APART)
+        at = np.flatnonzero(np.isin(text, own))
+        after = np.append(0, np.cumsum(np.isin(follow[at], items.pairs[items.starts[i] : items.starts[i + 1] - 1])))
+        end = np.searchsorted(at, at + wide)
+        begin = at[reached(end - np.arange(len(at)), after[end] - after[:-1], len(own), least)]
+        for part in np.split(begin, np.flatnonzero(np.diff(begin) > wide) + 1) if len(begin) else ():
+            a, b = int(part[0]), min(len(doc), int(part[-1]) + wide)
+            score, end = align(own, text[a:b])
             if score > top[0]:
-                _, back = align(own[::-1], doc[a : a + end][::-1])
-                top = (score, a + end - back, a + end)
-        if (share := top[0] / (MATCH * len(own))) >= least:
-            found.append((i, share, top[1], top[2], len(shifts)))
+                _, back_to = align(own[::-1], text[a : a + end][::-1])
+                top = (score, a + end - back_to, a + end)
+        if (share := top[0] / full) >= least:
+            found.append((i, share, top[1], top[2], int(found_seeds[j])))
     return found
 
 
@@ -132,7 +161,7 @@ def _bytes(df: DataFrame):  # noqa: ANN202
     return F.lower(df["text"].cast("string")).cast("binary")
 
 
-def item_blocks(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS) -> Iterator[Items]:
+def item_blocks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Iterator[Items]:
     """The items with their seeds, a bounded block at a time; items without words are in none."""
     kept = benchmark.where("text is not null").select("item_id", _bytes(benchmark).alias("text"))
     count, size = kept.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -140,29 +169,28 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS) -> I
     for k in range(blocks):
         rows = kept.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         w = words([bytes(r[1]) for r in rows], letters=True)
-        own = [w.hashes[w.starts[i] : w.starts[i + 1]] for i in range(len(rows))]
-        found = item_grams(own, n)
-        if not found:
+        vocabulary, own = np.unique(w.hashes, return_inverse=True)
+        if not len(own):
             continue
-        wanted = {length: np.unique(x[0]) for length, x in found.items()}
 
-        def count_grams(batches: Iterator[pa.RecordBatch], wanted: dict = wanted) -> Iterator[pa.RecordBatch]:
-            totals = {length: np.zeros(len(u), np.int64) for length, u in wanted.items()}
+        def count_words(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray = vocabulary) -> Iterator[pa.RecordBatch]:
+            totals = np.zeros(len(vocabulary), np.int64)
             for batch in batches:
                 for _, doc in _documents(batch, 0):
-                    for length, u in wanted.items():
-                        g = np.unique(_grams(doc, length)[0])
-                        at = np.minimum(np.searchsorted(u, g), len(u) - 1)
-                        totals[length][at[u[at] == g]] += 1
-            for length, u in wanted.items():
-                there = totals[length] > 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(there.sum(), length, np.int32)), pa.array(u[there].view(np.int64)), pa.array(totals[length][there])], ["length", "gram", "n"])
+                    at = np.minimum(np.searchsorted(vocabulary, doc), len(vocabulary) - 1)
+                    totals[np.unique(at[vocabulary[at] == doc])] += 1
+            there = np.flatnonzero(totals)
+            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(totals[there])], ["word", "n"])
 
-        counted = docs.select(_bytes(docs).alias("text")).mapInArrow(count_grams, "length int, gram long, n long").groupBy("length", "gram").agg(F.sum("n").alias("n"))
-        yield Items([r[0] for r in rows], own, seeds(found, {(r[0], r[1]): r[2] for r in counted.collect()}))
+        counts = np.zeros(len(vocabulary), np.int64)
+        for word, n in docs.select(_bytes(docs).alias("text")).mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n")).collect():
+            counts[word] = n
+        two = pairs(own)
+        two[w.starts[1:][np.diff(w.starts) > 0] - 1] = 0
+        yield Items([r[0] for r in rows], w.starts, own, vocabulary, *seeds(w.starts, own, counts, least), two)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, least: float = LEAST) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """``doc_id, item_id, score, start_word, end_word, n_seeds``: a row for each document and item that it holds a copy of.
 
     The best place counts. Words are runs of letters and digits in lower case. Null and wordless texts hold
@@ -172,11 +200,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, lea
     types = (docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString())
     schema = f"doc_id {types[0]}, item_id {types[1]}, score double, start_word long, end_word long, n_seeds long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in item_blocks(docs, benchmark, n):
+    for items in item_blocks(docs, benchmark, least):
 
         def find(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(k, *x) for k, doc in _documents(batch, 1) for x in leaks(doc, items, n, least)]
+                rows = [(k, *x) for k, doc in _documents(batch, 1) for x in leaks(doc, items, least)]
                 of, i, share, start, end, count = zip(*rows, strict=True) if rows else [[]] * 6
                 ids = batch.column(0).take(pa.array(of, pa.int64()))
                 kinds = (pa.float64(), pa.int64(), pa.int64(), pa.int64())
@@ -187,13 +215,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, lea
     return out
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, least: float = LEAST) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` that hold no copy of an item."""
-    for items in item_blocks(docs, benchmark, n):
+    for items in item_blocks(docs, benchmark, least):
 
         def keep(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [not leaks(doc, items, n, least) for _, doc in _documents(batch, batch.num_columns - 1)]
+                clean = [not leaks(doc, items, least) for _, doc in _documents(batch, batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(clean, pa.bool_()))
 
         docs = docs.withColumn("__lower", _bytes(docs)).mapInArrow(keep, docs.schema)

@@ -233,6 +233,34 @@ def test_copies_of_items_are_found(spark):
     assert decontamination.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def test_leaks_equal_smith_waterman_of_all_pairs(spark):
+    """Copies with 15 to 33 hundredths of the words replaced, put in or left out, parts of items, and common words."""
+    rng = random.Random(11)
+    common = [f"c{k}" for k in range(12)]
+    say = lambda n: [rng.choice(common) if rng.random() < 0.3 else f"v{rng.randrange(2000)}" for _ in range(n)]
+    items = [say(rng.randint(3, 40)) for _ in range(14)] + [[c] for c in common[:1]] + [rng.choices(common, k=9)]
+    rows = []
+    for k, item in enumerate(items):
+        for percent in (0, 15, 20, 25, 30, 33):
+            copy = []
+            for j, word in enumerate(item):
+                if (j * percent) % 100 + percent >= 100:
+                    copy += [say(1), [], [word, *say(1)]][0 if k % 3 == 0 else rng.randrange(3)]
+                else:
+                    copy.append(word)
+            rows.append(say(15) + copy + say(15))
+        rows.append(say(5) + [x for word in item for x in (word, "put")])
+        rows.append(item[: len(item) * 6 // 10] + say(5))
+    docs = documents(spark, [(i, " ".join(w), "s") for i, w in enumerate(rows)])
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    number = {w: i for i, w in enumerate(sorted({w for x in rows + items for w in x}))}
+    code = lambda x: np.array([number[w] for w in x], np.uint64)
+    want = {(i, k): decontamination.align(code(item), code(doc))[0] / (2 * len(item)) for k, item in enumerate(items) for i, doc in enumerate(rows)}
+    want = {pair: share for pair, share in want.items() if share >= decontamination.LEAST}
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(docs, benchmark).collect()} == want
+    assert {r["doc_id"] for r in decontamination.clean_documents(docs, benchmark).collect()} == set(range(len(rows))) - {i for i, _ in want}
+
+
 def test_words_of_a_batch_are_those_of_each_text():
     rng = random.Random(0)
     texts = ["".join(rng.choices("aBé \t\n.x", k=rng.randint(0, 60))).encode() for _ in range(200)] + [None, b"z" * 700_000 + b" tail"]
