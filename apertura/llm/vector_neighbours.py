@@ -5,12 +5,15 @@
    Leaders are sought in blocks of equal random-hyperplane codes, anew with other planes each round.
 2. NN-descent on the leaders: lists begin with the nearest in a few such blockings; then each vector brings
    its neighbours and those it is a neighbour of together, and they improve each other's lists, until the
-   lists settle. A list whose last entry still could link is saturated: its length doubles and the
-   descent goes on.
-3. An audit compares a fixed number of vectors with all others, in blocks; while the lists miss more than
-   RECALL allows, further blockings feed the descent.
+   lists settle. A list whose last entry still could link is saturated: its length doubles, up to MOST, and
+   the descent goes on.
+3. An audit compares vectors, as many as AUDIT_LINKS edges need, with all others; while the lists miss more
+   than RECALL allows, further blockings feed the descent.
 4. Edges of the lists that could hold links become pairs of classes; links are counted on double-precision
    cosines, blocks of members against blocks.
+5. What the lists can't vouch for is open: lists saturated at MOST, neighbours that have not met when the
+   rounds end, and groups in which the last audit missed an edge or found too few to judge by. The members
+   of open nodes meet their whole group, blocks against blocks over the tasks, and no list is made of it.
 """
 
 from __future__ import annotations
@@ -32,8 +35,14 @@ BLOCK = 128
 BLOCKINGS = 3
 #: Members of a class that meet those of another in one row.
 MEMBERS = 256
-#: The audit: queries, least share of their links found, and further blockings at most.
+#: Neighbours that a node is one of and that it brings together in a round, longest list, and rows of a block of open nodes' groups.
+REVERSE = 64
+MOST = 160
+WIDE = 512
+#: The audit: queries at first and at most, edges it must hold, least share of them found, and further blockings at most.
 AUDIT = 1024
+AUDIT_MOST = 16384
+AUDIT_LINKS = 3000
 RECALL = 0.999
 AUDIT_ROUNDS = 6
 #: Rounds of contraction at most (what is left over is handled by the lists) and of the descent between two looks at saturation.
@@ -174,8 +183,8 @@ def _nearest(k: int, kind: pa.DataType):  # noqa: ANN202
     return run
 
 
-def _met(k: int, kind: pa.DataType):  # noqa: ANN202
-    """Candidates among the neighbours of one node that beat the last entry of each other's lists, ``k`` at most for each.
+def _met(kind: pa.DataType):  # noqa: ANN202
+    """Candidates among the neighbours of one node that beat the last entry of each other's lists, as many as a list takes.
 
     A pair of which neither is a fresh neighbour has met before.
     """
@@ -190,7 +199,7 @@ def _met(k: int, kind: pa.DataType):  # noqa: ANN202
                 good = (fresh[:, None] | fresh[None]) & (dots > np.array([n["last"] for n in nodes])[:, None])
                 np.fill_diagonal(good, False)
                 for row in np.flatnonzero(good.any(axis=1)):
-                    cols = np.flatnonzero(good[row])
+                    cols, k = np.flatnonzero(good[row]), nodes[row]["cap"]
                     cols = cols[np.argsort(-dots[row, cols], kind="stable")[:k]] if len(cols) > k else cols
                     ids += [own[row]] * len(cols)
                     others += [own[c] for c in cols]
@@ -210,25 +219,27 @@ def _merged(graph: DataFrame, candidates: DataFrame, name: str) -> DataFrame:
 
 
 def descended(graph: DataFrame, nodes: DataFrame, kind: str, arrow: pa.DataType) -> DataFrame:
-    """Rounds of neighbours-of-neighbours joins until hardly a list changes."""
+    """Rounds of neighbours-of-neighbours joins until hardly a list changes; a neighbour is fresh until it has met from both ends."""
     total = graph.count()
     short = nodes.select("id", "short")
-    for _ in range(DESCENTS):
+    for turn in range(DESCENTS):
         edges = graph.select("id", F.col("cap"), F.explode("near").alias("e"), "fresh").select("id", "cap", F.col("e.other").alias("other"), F.array_contains("fresh", F.col("e.other")).alias("fresh"))
         back = edges.select(F.col("other").alias("id"), F.col("id").alias("other"), "cap", "fresh")
-        order = Window.partitionBy("id").orderBy(F.desc("fresh"), F.xxhash64("other"), "other")
-        back = back.withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2 * LIST).drop("n")
+        order = Window.partitionBy("id").orderBy(F.desc("fresh"), F.xxhash64(F.lit(turn), "other"), "other")
+        back = back.withColumn("n", F.row_number().over(order))
+        waits = back.where((F.col("n") > REVERSE) & F.col("fresh")).groupBy(F.col("other").alias("id")).agg(F.collect_set("id").alias("waits"))
+        back = back.where(F.col("n") <= REVERSE).drop("n")
         pairs = edges.unionByName(back).groupBy("id", "other").agg(F.bool_or("fresh").alias("fresh"))
-        last = graph.select(F.col("id").alias("other"), F.when(F.size("near") >= F.col("cap"), F.element_at("near", -1)["dot"]).otherwise(-SCALE * SCALE).alias("last"))
+        last = graph.select(F.col("id").alias("other"), F.when(F.size("near") >= F.col("cap"), F.element_at("near", -1)["dot"]).otherwise(-SCALE * SCALE).alias("last"), F.col("cap"))
         lists = (
             pairs.join(short.withColumnRenamed("id", "other"), "other").join(last, "other")
-            .groupBy("id").agg(F.collect_list(F.struct(F.col("other").alias("id"), "short", "fresh", "last")).alias("nodes"), F.bool_or("fresh").alias("any"))
+            .groupBy("id").agg(F.collect_list(F.struct(F.col("other").alias("id"), "short", "fresh", "last", "cap")).alias("nodes"), F.bool_or("fresh").alias("any"))
             .where("any").select("nodes")
         )
-        candidates = lists.mapInArrow(_met(LIST, arrow), f"id {kind}, other {kind}, dot long").distinct()
-        settled = graph.withColumn("fresh", F.filter("fresh", lambda _: F.lit(False)))
+        candidates = lists.mapInArrow(_met(arrow), f"id {kind}, other {kind}, dot long").distinct()
+        settled = graph.join(waits, "id", "left").withColumn("fresh", F.array_intersect("fresh", F.coalesce("waits", F.array().cast(f"array<{kind}>")))).drop("waits")
         graph = _merged(settled, candidates, "graph")
-        if graph.agg(F.sum(F.size("fresh"))).first()[0] <= 0.001 * LIST * total:
+        if (graph.agg(F.sum(F.size("fresh"))).first()[0] or 0) <= 0.001 * LIST * total:
             break
     return graph
 
@@ -257,35 +268,93 @@ def _links(threshold: float, kind: pa.DataType):  # noqa: ANN202
     return run
 
 
-def audit(nodes: DataFrame, graph: DataFrame, least: float, seed: int, kind: str, arrow: pa.DataType) -> DataFrame:
-    """Edges at or above ``least`` between AUDIT nodes, chosen by hash, and all nodes that the lists don't hold.
+def _across(threshold: float, kind: pa.DataType):  # noqa: ANN202
+    """As _links, for blocks of members of many classes: edges of a forest over the classes that link."""
 
-    Every node meets the queries of its group in its own task; the queries are AUDIT short vectors at most.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                a, b = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                same = batch.column(2)[row].as_py()
+                x, y = (np.array([np.frombuffer(m["vec"]) for m in k]) for k in (a, b))
+                of = {leader: n for n, leader in enumerate(dict.fromkeys(m["leader"] for m in a + b))}
+                u, v = (np.array([of[m["leader"]] for m in k]) for k in (a, b))
+                linked = ((x @ y.T) >= threshold) & (u[:, None] != v)
+                ids, others, counts = [], [], []
+                for members, n in ((a, linked.sum(axis=1)), *(() if same else ((b, linked.sum(axis=0)),))):
+                    for k in np.flatnonzero(n):
+                        ids.append(members[k]["id"])
+                        others.append(None)
+                        counts.append(int(n[k]))
+                left = linked.any(axis=1)
+                while left.any():
+                    root = int(left.argmax())
+                    cols, rows = np.zeros(len(b), bool), np.zeros(len(a), bool)
+                    rows[root] = True
+                    front = rows.copy()
+                    while front.any():
+                        cols |= linked[front].any(axis=0)
+                        front = linked[:, cols].any(axis=1) & ~rows
+                        rows |= front
+                    left &= ~rows
+                    leader = a[root]["leader"]
+                    for other in {a[k]["leader"] for k in np.flatnonzero(rows)} | {b[k]["leader"] for k in np.flatnonzero(cols)}:
+                        if other != leader:
+                            ids.append(leader)
+                            others.append(other)
+                            counts.append(0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(others, kind), pa.array(counts, pa.int64())], ["id", "other", "n"])
+
+    return run
+
+
+def across(vectors: DataFrame, members: DataFrame, opened: DataFrame, threshold: float, kind: str, arrow: pa.DataType) -> DataFrame:
+    """Rows as those of _links for all links with a member of an open node, but within its class."""
+    flag = opened.select(F.col("id").alias("leader"), F.lit(True).alias("open"))
+    rows = members.select("id", "leader").join(vectors.select("id", "grp", "vec"), "id").join(flag, "leader", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    rows = rows.join(opened.join(vectors.select("id", "grp"), "id").select("grp").distinct(), "grp", "left_semi")
+    counts = rows.groupBy("grp", "open").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / WIDE)).cast("int")
+    blocks = rows.join(counts, ["grp", "open"]).groupBy("grp", "open", part.alias("part")).agg(F.collect_list(F.struct("id", "leader", "vec")).alias("set"))
+    blocks = written(blocks, "blocks")
+    keys = blocks.select("grp", "open", "part")
+    pairs = keys.where("open").select("grp", F.col("part").alias("p")).join(keys, "grp").where("not open or p <= part")
+    a = blocks.where("open").select("grp", F.col("part").alias("p"), F.col("set").alias("a"))
+    met = pairs.join(a, ["grp", "p"]).join(blocks.withColumnRenamed("set", "b"), ["grp", "open", "part"]).select("a", "b", (F.col("open") & (F.col("p") == F.col("part"))).alias("same"))
+    return met.mapInArrow(_across(threshold, arrow), f"id {kind}, other {kind}, n long")
+
+
+def audit(nodes: DataFrame, graph: DataFrame, opened: DataFrame, angle: float, seed: int, size: int, kind: str, arrow: pa.DataType) -> DataFrame:
+    """Edges that could link, given the radii, between ``size`` nodes, chosen by hash, and all nodes, and whether the lists hold them.
+
+    Every node meets the queries of its group in its own task. Edges of open nodes count as held.
     """
-    queries = [(r[0], r[1], bytes(r[2])) for r in nodes.select("id", "grp", "short").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(AUDIT).collect()]
+    queries = [(r[0], r[1], bytes(r[2]), r[3]) for r in nodes.select("id", "grp", "short", "radius").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(size).collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[str, list] = {}
         for q in queries:
             groups.setdefault(q[1], []).append(q)
-        ready = {g: (qs, np.frombuffer(b"".join(q[2] for q in qs), np.int16).reshape(len(qs), -1).astype(np.float64)) for g, qs in groups.items()}
+        ready = {g: (qs, np.frombuffer(b"".join(q[2] for q in qs), np.int16).reshape(len(qs), -1).astype(np.float64), np.array([q[3] for q in qs])) for g, qs in groups.items()}
         for batch in batches:
             ids, others, dots = [], [], []
-            for node, grp, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for node, grp, short, radius in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if grp in ready:
-                    qs, x = ready[grp]
+                    qs, x, wide = ready[grp]
                     found = x @ np.frombuffer(short, np.int16).astype(np.float64)
-                    for k in np.flatnonzero(found >= least * SCALE * SCALE):
+                    for k in np.flatnonzero(found >= (np.cos(np.minimum(math.pi, angle + wide + radius)) - SLACK) * SCALE * SCALE):
                         if qs[k][0] != node:
                             ids.append(qs[k][0])
                             others.append(node)
                             dots.append(int(found[k]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(others, arrow), pa.array(dots, pa.int64())], ["id", "other", "dot"])
 
-    true = nodes.select("id", "grp", "short").mapInArrow(run, f"id {kind}, other {kind}, dot long")
+    true = nodes.select("id", "grp", "short", "radius").mapInArrow(run, f"id {kind}, other {kind}, dot long")
     held = graph.select("id", F.explode("near").alias("e")).select("id", F.col("e.other").alias("other"))
     held = held.unionByName(held.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct().withColumn("held", F.lit(True))
-    return true.join(held, ["id", "other"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    for end in ("id", "other"):
+        true = true.join(opened.select(F.col("id").alias(end), F.lit(True).alias(f"open_{end}")), end, "left")
+    return true.join(held, ["id", "other"], "left").select("id", "other", "dot", F.coalesce("open_id", "open_other", "held", F.lit(False)).alias("held"))
 
 
 def near_vectors(df: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -308,7 +377,9 @@ def near_vectors(df: DataFrame, threshold: float = 0.93) -> DataFrame:
     angle = math.acos(threshold)
     members = written(contracted(vectors, math.cos(angle / 2) + 1e-4), "members")
     classes = written(members.groupBy("leader").agg(F.count("*").alias("n"), F.acos(F.least(F.min("cos"), F.lit(1.0))).alias("radius")), "classes")
-    nodes = written(vectors.join(classes.select(F.col("leader").alias("id"), "radius"), "id"), "nodes")
+    nodes = vectors.join(classes.select(F.col("leader").alias("id"), "radius"), "id")
+    nodes = written(nodes.join(nodes.groupBy("grp").agg(F.max("radius").alias("widest")), "grp"), "nodes")
+    total = nodes.count()
     widest = nodes.agg(F.max("radius")).first()[0] or 0.0
     least = lambda wide: math.cos(min(math.pi, angle + wide)) - SLACK
 
@@ -319,32 +390,48 @@ def near_vectors(df: DataFrame, threshold: float = 0.93) -> DataFrame:
     near = F.array().cast(f"array<struct<dot:bigint,other:{kind}>>")
     graph = nodes.select("id", F.lit(LIST).alias("cap"), near.alias("near"), F.array().cast(f"array<{kind}>").alias("fresh"))
     graph = descended(_merged(graph, begin, "graph"), nodes, kind, arrow)
-    # A list is saturated if its last entry could still link, given the radius of its own class and the widest.
-    bound = (F.cos(F.least(F.lit(math.pi), F.lit(angle + widest) + F.col("radius"))) - SLACK) * SCALE * SCALE
-    for turn in range(AUDIT_ROUNDS):
+    # A list is saturated if its last entry could still link, given the radius of its own class and the widest of its group.
+    bound = (F.cos(F.least(F.lit(math.pi), F.lit(angle) + F.col("widest") + F.col("radius"))) - SLACK) * SCALE * SCALE
+    turn, size = 0, AUDIT
+    while True:
         while True:
             full = F.col("full") & (F.size("near") >= F.col("cap"))
-            looked = graph.join(nodes.select("id", bound.alias("bound")), "id").withColumn("full", F.element_at("near", -1)["dot"] >= F.col("bound")).withColumn("full", F.coalesce(full, F.lit(False)))
-            if looked.where("full").isEmpty():
+            looked = graph.join(nodes.select("id", bound.alias("bound")), "id").withColumn("full", F.try_element_at("near", F.lit(-1))["dot"] >= F.col("bound")).withColumn("full", F.coalesce(full, F.lit(False)))
+            grows = F.col("full") & (F.col("cap") < MOST)
+            if looked.where(grows).isEmpty():
                 break
-            longer = looked.select("id", F.when(F.col("full"), 2 * F.col("cap")).otherwise(F.col("cap")).alias("cap"), "near", F.when(F.col("full"), F.transform("near", lambda x: x["other"])).otherwise(F.col("fresh")).alias("fresh"))
+            longer = looked.select("id", F.when(grows, F.least(2 * F.col("cap"), F.lit(MOST))).otherwise(F.col("cap")).alias("cap"), "near", F.when(grows, F.transform("near", lambda x: x["other"])).otherwise(F.col("fresh")).alias("fresh"))
             graph = descended(written(longer, "graph"), nodes, kind, arrow)
-        checked = written(audit(nodes, graph, least(0), turn, kind, arrow), "audit")
-        links, missed = checked.agg(F.count("*"), F.count_if(~F.col("held"))).first()
-        if missed <= (1 - RECALL) * links:
+        opened = written(looked.where(F.col("full") | (F.size("fresh") > 0)).select("id"), "opened")
+        while True:
+            checked = written(audit(nodes, graph, opened, angle, turn, size, kind, arrow), "audit")
+            links, missed = checked.agg(F.count("*"), F.count_if(~F.col("held"))).first()
+            if links >= AUDIT_LINKS or size >= min(total, AUDIT_MOST):
+                break
+            size *= 4
+        if missed <= (1 - RECALL) * links or turn == AUDIT_ROUNDS:
             break
         more = _blocks(nodes, 100 + turn).mapInArrow(_nearest(LIST, arrow), f"id {kind}, other {kind}, dot long")
         graph = descended(_merged(graph, more.unionByName(checked.where("not held").select("id", "other", "dot")), "graph"), nodes, kind, arrow)
+        turn += 1
+    # The audit vouches for the other nodes of a group only where it missed nothing and held enough.
+    astray = nodes if links < AUDIT_LINKS and size < total else nodes.join(checked.where("not held").select("id").distinct().join(nodes.select("id", "grp"), "id").select("grp").distinct(), "grp", "left_semi")
+    opened = written(opened.unionByName(astray.select("id")).distinct(), "opened")
 
     edge = graph.select("id", F.explode("near").alias("e")).select(F.least("id", "e.other").alias("u"), F.greatest("id", "e.other").alias("v"), "e.dot").distinct()
     of = nodes.select("id", "radius")
     reach = F.cos(F.least(F.lit(math.pi), F.lit(angle) + F.col("ru") + F.col("rv"))) - SLACK
     edge = edge.where(F.col("dot") >= least(2 * widest) * SCALE * SCALE)
     edge = edge.join(of.select(F.col("id").alias("u"), F.col("radius").alias("ru")), "u").join(of.select(F.col("id").alias("v"), F.col("radius").alias("rv")), "v").where(F.col("dot") >= reach * SCALE * SCALE).select("u", "v")
+    for end in ("u", "v"):
+        edge = edge.join(opened.select(F.col("id").alias(end)), end, "left_anti")
     sets = members.join(classes.select("leader", "n"), "leader").join(vectors.select("id", "vec"), "id")
     sets = sets.groupBy("leader", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / MEMBERS)).alias("part")).agg(F.collect_list(F.struct("id", "vec")).alias("set")).drop("part")
     met = edge.join(sets.withColumnsRenamed({"leader": "u", "set": "a"}), "u").join(sets.withColumnsRenamed({"leader": "v", "set": "b"}), "v").select("u", "v", "a", "b")
-    linked = written(met.mapInArrow(_links(threshold, arrow), f"id {kind}, other {kind}, n long"), "linked")
+    linked = met.mapInArrow(_links(threshold, arrow), f"id {kind}, other {kind}, n long")
+    if not opened.isEmpty():
+        linked = linked.unionByName(across(vectors, members, opened, threshold, kind, arrow))
+    linked = written(linked, "linked")
     counts = linked.where("other is null").groupBy("id").agg(F.sum("n").alias("n_other"))
     found = components(linked.where("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")), "vectors")
     placed = members.join(found, members["leader"] == found["node"], "left").select("id", "leader", F.coalesce("component", "leader").alias("root"))

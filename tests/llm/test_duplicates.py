@@ -124,6 +124,20 @@ def test_near_vectors_equal_brute_force(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("limits", [{"MOST": 20, "REVERSE": 10}, {"AUDIT": 4, "AUDIT_MOST": 4, "WIDE": 40}])
+def test_near_vectors_beyond_their_caps_equal_brute_force(spark, monkeypatch, limits):
+    """A group too wide to contract, with lists that stay saturated, and an audit that holds too few edges to vouch."""
+    for name, value in limits.items():
+        monkeypatch.setattr(vector_neighbours, name, value)
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(24)
+    rows = [(i, (centre + rng.standard_normal(24) * 0.3).tolist(), i % 2 * (i % 3 == 0)) for i in range(260)]
+    counts, component = brute(rows)
+    got = vector_neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == counts
+    assert {r["vec_id"]: r["component_id"] for r in got} == component
+
+
 def test_near_vectors_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vector_neighbours.near_vectors(empty).count() == 0
