@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from apertura.functions.draws import SEED
 from apertura.operators.generate import AS_OF
-from apertura.sources import dims
+from apertura.plans.dimension_sql import ROWS_SQL
 
 DUCK_TYPES = {
     "cameras": {"apertures": "double[]", "isos": "int[]", "shutters": "struct(num int, den int)[]", "focals": "int[]"},
@@ -19,22 +19,11 @@ COLUMNS = {
 }
 
 
-def _duck(value: object) -> str:
-    if isinstance(value, str):
-        return "'" + value.replace("'", "''") + "'"
-    if isinstance(value, tuple):
-        return f"{{'num': {value[0]}, 'den': {value[1]}}}"
-    if isinstance(value, list):
-        return "[" + ", ".join(map(_duck, value)) + "]"
-    return repr(value)
-
-
 def _dim(name: str) -> str:
     """A common table expression with the rows of a dimension."""
-    rows = ",\n".join("(" + ", ".join(map(_duck, row)) + ")" for row in dims.ROWS[name])
     kinds = DUCK_TYPES.get(name, {})
     picked = ", ".join(f"cast({c} as {kinds[c]}) as {c}" if c in kinds else c for c in COLUMNS[name])
-    return f"{name} as (select {picked} from (values {rows}) as t({', '.join(COLUMNS[name])}))"
+    return f"{name} as (select {picked} from (values {ROWS_SQL[name]}) as t({', '.join(COLUMNS[name])}))"
 
 
 def _draw(key: str, name: str) -> str:
@@ -112,9 +101,9 @@ _SECONDS = "(cast(shutter.num as double) / shutter.den)"
 
 
 def _label(field: str, code: str) -> str:
-    cases = " ".join(f"when {c} then {_duck(label)}" for f, c, label in dims.CODES if f == field)
+    known = f"(select c.label from (values {ROWS_SQL['exif_codes']}) as c(field, code, label) where c.field = '{field}' and c.code = {code})"
     other = {"Flash": "'Code ' || ", "MeteringMode": "'Mode ' || "}.get(field, "")
-    return f"case {code} {cases} else {other}cast({code} as varchar) end"
+    return f"coalesce({known}, {other}cast({code} as varchar))"
 
 
 def _name(key: str, make: str) -> str:
@@ -172,7 +161,7 @@ def oracle_sql() -> dict[str, str]:
     n = "(l_orderkey + l_linenumber)"
     ref = "case when c_custkey % 3 = 0 then 'S' end", "case when c_custkey % 4 = 0 then 'E' end"
     link_lat, link_lon = "cast(cast(trunc(c_acctbal) as int) % 90 as double)", "cast(c_custkey % 180 as double)"
-    fields = sorted({field for field, _, _ in dims.CODES})
+    fields = "ColorSpace ExposureMode ExposureProgram Flash MeteringMode Orientation SceneCaptureType SensingMethod WhiteBalance".split()
     return {
         "synthetic_metadata": f"""with {RECORDS}
             select {_K}, make, model, software, lens_model, strftime(taken_at, {STAMP}) as stamp, sub_sec, shutter.num as shutter_num, shutter.den as shutter_den, aperture, iso, focal,
