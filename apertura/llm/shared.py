@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +43,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Runs of characters other than ASCII white space; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """The type that a column has in the batches of mapInArrow."""
+    return to_arrow_type(df.schema[column].dataType)

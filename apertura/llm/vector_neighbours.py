@@ -2,49 +2,53 @@
 
 1. Vectors within half the threshold's angle of a leader form a class; by the triangle inequality all of a
    class link with each other, so dense groups shrink to leaders before any neighbour list exists.
-   Leaders are sought in blocks of equal random-hyperplane codes, anew with other planes each round.
-2. NN-descent on the leaders: lists begin with the nearest in a few such blockings; then each vector brings
+   Leaders are sought in runs of vectors sorted by random-hyperplane codes, anew with other planes each round.
+2. NN-descent on the leaders: lists begin with the nearest in a few such runs; then each vector brings
    its neighbours and those it is a neighbour of together, and they improve each other's lists, until the
    lists settle. A list whose last entry still could link is saturated: its length doubles, up to MOST, and
    the descent goes on.
-3. An audit compares vectors, as many as AUDIT_LINKS edges need, with all others; while the lists miss more
-   than RECALL allows, further blockings feed the descent.
-4. Edges of the lists that could hold links become pairs of classes; links are counted on double-precision
-   cosines, blocks of members against blocks.
-5. What the lists can't vouch for is open: lists saturated at MOST, neighbours that have not met when the
-   rounds end, and groups in which the last audit missed an edge or found too few to judge by. The members
-   of open nodes meet their whole group, blocks against blocks over the tasks, and no list is made of it.
+3. Edges of the lists that could hold links become pairs of classes; links are counted on double-precision
+   cosines, blocks of members against blocks. Nodes whose lists are saturated at MOST are open: their
+   members meet their whole group, blocks against blocks over the tasks, and no list is made of them.
+4. An audit compares every vector whose id leaves a remainder by 50 with all vectors and measures which share
+   of the true links between classes the lists hold. While it is below RECALL, the missed edges and further
+   runs feed the descent, and the next remainder, which nothing has learnt from, is audited. If that fails
+   after AUDITS rounds, groups in which the last audit missed links or found none are opened.
+
+Sorted runs are cut from range-partitioned rows whose sort key ends in a hash of the id, so a hot code or
+label is spread over the tasks; blocks meet by the keys of both.
 """
 
 from __future__ import annotations
 
+import logging
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apertura.llm.components import components
-from apertura.llm.shared import written
+from apertura.llm.shared import arrow_type, written
 
-#: Length of a neighbour list at first; rows of a block; blockings that the lists begin with.
+#: Length of a neighbour list at first; rows of a run; runs that the lists begin with.
 LIST = 10
-BLOCK = 128
+RUN = 1024
 BLOCKINGS = 3
-#: Members of a class that meet those of another in one row.
-MEMBERS = 256
-#: Neighbours that a node is one of and that it brings together in a round, longest list, and rows of a block of open nodes' groups.
+#: Neighbours that a node is one of and that it brings together in a round, and the longest list.
 REVERSE = 64
 MOST = 160
-WIDE = 512
-#: The audit: queries at first and at most, edges it must hold, least share of them found, and further blockings at most.
-AUDIT = 1024
-AUDIT_MOST = 16384
-AUDIT_LINKS = 3000
+#: Bytes of the vectors of a block that meets another.
+BLOCK_BYTES = 1 << 19
+#: One in so many vectors is a query of an audit; least share of the links found; audits at most.
+QUERIES = 50
 RECALL = 0.999
-AUDIT_ROUNDS = 6
+AUDITS = 6
 #: Rounds of contraction at most (what is left over is handled by the lists) and of the descent between two looks at saturation.
 CONTRACTIONS = 8
 DESCENTS = 12
@@ -52,6 +56,9 @@ DESCENTS = 12
 SCALE = 32767
 SLACK = 0.002
 
+LOG = logging.getLogger(__name__)
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unit vectors of the rows with a finite vector other than zero."""
@@ -73,63 +80,88 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary()), pa.array(shorts, pa.binary())], ["id", "label", "dim", "vec", "short"])
 
 
-def _coded(seed: int):  # noqa: ANN202
-    """Adds the first 30 signs of random projections to (id, grp, size, short)."""
+def runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of sorted ones with the same first column, at most ``size`` at a time."""
+    held: list[pa.RecordBatch] = []
+    n, last = 0, None
+    joined = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0)
+        cuts = [0, *(np.flatnonzero(pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = key[a].as_py()
+            if held and own != last:
+                yield joined()
+                held, n = [], 0
+            last = own
+            while a < b:
+                take = min(b - a, size - n)
+                held.append(batch.slice(a, take))
+                n, a = n + take, a + take
+                if n == size:
+                    yield joined()
+                    held, n = [], 0
+    if held:
+        yield joined()
+
+
+def _stacked(column: pa.Array, kind: type) -> np.ndarray:
+    """The vectors of a binary column as rows of doubles."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64, copy=False)
+
+
+def _coded(seed: int) -> Run:
+    """Adds the first 30 signs of random projections to (grp, id, vector as short)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = np.zeros(batch.num_rows, np.int64)
             rows: dict[int, list[int]] = {}
-            shorts = batch.column(3).to_pylist()
+            shorts = batch.column(2).to_pylist()
             for k, s in enumerate(shorts):
                 rows.setdefault(len(s) // 2, []).append(k)
             for dim, own in rows.items():
                 planes = np.random.default_rng((seed, dim)).standard_normal((dim, 30))
                 x = np.frombuffer(b"".join(shorts[k] for k in own), np.int16).reshape(len(own), dim)
                 codes[own] = ((x @ planes) > 0) @ (1 << np.arange(29, -1, -1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes)], ["id", "grp", "size", "short", "code"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes)], [*batch.schema.names, "code"])
 
     return run
 
 
-def _blocks(nodes: DataFrame, seed: int) -> DataFrame:
-    """Rows of about BLOCK nodes (ids and shorts) of a group with the same code; larger blocks are split by hash."""
-    kind = nodes.schema["id"].dataType.simpleString()
-    coded = nodes.select("id", "grp", "size", "short").mapInArrow(_coded(seed), f"id {kind}, grp string, size long, short binary, code long")
-    coded = coded.withColumn("code", F.expr(f"shiftright(code, 30 - least(30, greatest(0, cast(ceil(log2(size / {BLOCK})) as int))))"))
-    counts = coded.groupBy("grp", "code").agg(F.count("*").alias("here"))
-    part = F.pmod(F.xxhash64(F.lit(seed), "id"), F.ceil(F.col("here") / (2 * BLOCK))).cast("int")
-    return (
-        coded.join(counts, ["grp", "code"])
-        .groupBy("grp", "code", part.alias("part"))
-        .agg(F.collect_list(F.struct("id", "short")).alias("nodes"))
-        .select("nodes")
-    )
+def _spread(df: DataFrame, *by: str | Column) -> DataFrame:
+    """Sorted rows, in ranges of about equal size whatever a key's share of the rows."""
+    return df.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
-def _matrix(nodes: list[dict], key: str = "short") -> np.ndarray:
-    return np.frombuffer(b"".join(x[key] for x in nodes), np.int16).reshape(len(nodes), -1).astype(np.float64)
+def _sorted(nodes: DataFrame, seed: int, *more: str) -> DataFrame:
+    """``grp, id, short`` and the columns ``more`` of the nodes, sorted by group and code."""
+    types = {f.name: f.dataType.simpleString() for f in nodes.schema}
+    names = ["grp", "id", "short", *more]
+    coded = nodes.select(*names).mapInArrow(_coded(seed), ", ".join(f"{n} {types[n]}" for n in names) + ", code long")
+    return _spread(coded, "grp", "code", F.xxhash64(F.lit(seed), "id")).drop("code")
 
 
-def _leaders(least: float, kind: pa.DataType):  # noqa: ANN202
-    """In each block, by ascending id: a node within ``least`` of an earlier leader follows it, another leads."""
+def _leaders(least: float, kind: pa.DataType) -> Run:
+    """In each run of (grp, id, short, vec): a node within ``least`` of an earlier leader follows it, another leads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            moved, to = [], []
-            for row in batch.column(0).to_pylist():
-                nodes = sorted(row, key=lambda x: x["id"])
-                near = _matrix(nodes)
-                near = (near @ near.T) >= least * SCALE * SCALE
-                leads = np.zeros(len(nodes), bool)
-                for k in range(len(nodes)):
-                    before = np.flatnonzero(near[k, :k] & leads[:k])
-                    if len(before):
-                        moved.append(nodes[k]["id"])
-                        to.append(nodes[before[0]]["id"])
-                    else:
-                        leads[k] = True
-            yield pa.RecordBatch.from_arrays([pa.array(moved, kind), pa.array(to, kind)], ["leader", "to"])
+        for nodes in runs(batches, RUN):
+            ids, x = nodes.column(1).to_pylist(), _stacked(nodes.column(3), np.float64)
+            cos = x @ x.T
+            near, leads = cos >= least, np.zeros(len(ids), bool)
+            moved, to, by = [], [], []
+            for k in range(len(ids)):
+                before = np.flatnonzero(near[k, :k] & leads[:k])
+                if len(before):
+                    moved.append(ids[k])
+                    to.append(ids[before[0]])
+                    by.append(float(cos[k, before[0]]))
+                else:
+                    leads[k] = True
+            yield pa.RecordBatch.from_arrays([pa.array(moved, kind), pa.array(to, kind), pa.array(by, pa.float64())], ["leader", "to", "by"])
 
     return run
 
@@ -143,47 +175,51 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contracted(vectors: DataFrame, least: float) -> DataFrame:
     """``id, leader, cos`` for every vector; the cosine with its leader is at least ``least``."""
-    kind = vectors.schema["id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    members = vectors.select("id", F.col("id").alias("leader"), F.lit(1.0).alias("cos"))
+    kind, arrow = vectors.schema["id"].dataType.simpleString(), arrow_type(vectors, "id")
+    members = None
     for turn in range(CONTRACTIONS):
-        nodes = vectors if turn == 0 else vectors.join(members.select(F.col("leader").alias("id")).distinct(), "id", "left_semi")
-        moved = written(_blocks(nodes, 1000 + turn).mapInArrow(_leaders(least, arrow), f"leader {kind}, to {kind}"), "moved")
-        if (n := moved.count()) == 0:
-            break
-        vec = vectors.select("id", "vec")
-        asked = members.join(moved, "leader").select("id", "to")
-        both = asked.join(vec, "id").join(vec.withColumnsRenamed({"id": "to", "vec": "other"}), "to").select("id", "to", "vec", "other")
-        tried = both.mapInArrow(_cosines, f"id {kind}, to {kind}, cos double")
-        tried = tried.select("id", F.when(F.col("cos") >= least, F.col("to")).otherwise(F.col("id")).alias("leader"), F.when(F.col("cos") >= least, F.col("cos")).otherwise(1.0).alias("cos"))
-        stayed = members.join(moved.select("leader"), "leader", "left_anti").select("id", "leader", "cos")
-        members = written(stayed.unionByName(tried), "members")
-        if n < 0.002 * members.count():
+        nodes = vectors if members is None else vectors.join(members.where("id = leader").select("id"), "id", "left_semi")
+        moved = written(_sorted(nodes, 1000 + turn, "vec").mapInArrow(_leaders(least, arrow), f"leader {kind}, to {kind}, by double"), "moved")
+        if members is None:
+            led = vectors.select("id").join(moved, F.col("id") == F.col("leader"), "left")
+            members = written(led.select("id", F.coalesce("to", "id").alias("leader"), F.coalesce("by", F.lit(1.0)).alias("cos")), "members")
+        else:
+            # Members of a leader that now follows another do so too where they are near enough, else they lead.
+            vec = vectors.select("id", "vec")
+            asked = members.join(moved, "leader").select("id", "to")
+            both = asked.join(vec, "id").join(vec.withColumnsRenamed({"id": "to", "vec": "other"}), "to").select("id", "to", "vec", "other")
+            tried = both.mapInArrow(_cosines, f"id {kind}, to {kind}, cos double")
+            good = F.col("cos") >= least
+            tried = tried.select("id", F.when(good, F.col("to")).otherwise(F.col("id")).alias("leader"), F.when(good, F.col("cos")).otherwise(1.0).alias("cos"))
+            members = written(members.join(moved.select("leader"), "leader", "left_anti").select("id", "leader", "cos").unionByName(tried), "members")
+        # The next round would find less than this one did; the lists handle the rest.
+        if moved.count() <= 0.005 * members.count():
             break
     return members
 
 
-def _nearest(k: int, kind: pa.DataType):  # noqa: ANN202
-    """The ``k`` nearest of each node in its block."""
+def _nearest(k: int, kind: pa.DataType) -> Run:
+    """The ``k`` nearest of each node in its run of (grp, id, short)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, others, cosines = [], [], []
-            for nodes in batch.column(0).to_pylist():
-                x, own = _matrix(nodes), [n["id"] for n in nodes]
-                dots = x @ x.T
-                np.fill_diagonal(dots, -np.inf)
-                best = np.argsort(-dots, axis=1)[:, : min(k, len(nodes) - 1)]
-                for row, cols in enumerate(best):
-                    ids += [own[row]] * len(cols)
-                    others += [own[c] for c in cols]
-                    cosines += dots[row, cols].astype(np.int64).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(others, kind), pa.array(cosines, pa.int64())], ["id", "other", "dot"])
+        for nodes in runs(batches, RUN):
+            n, take = nodes.num_rows, min(k, nodes.num_rows - 1)
+            if not take:
+                continue
+            x = _stacked(nodes.column(2), np.int16)
+            dots = x @ x.T
+            np.fill_diagonal(dots, -np.inf)
+            best = np.argpartition(-dots, take - 1, axis=1)[:, :take]
+            of = np.repeat(np.arange(n), take)
+            ids = nodes.column(1)
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(of)), ids.take(pa.array(best.ravel())), pa.array(dots[of, best.ravel()].astype(np.int64))], ["id", "other", "dot"]
+            )
 
     return run
 
 
-def _met(kind: pa.DataType):  # noqa: ANN202
+def _met(kind: pa.DataType) -> Run:
     """Candidates among the neighbours of one node that beat the last entry of each other's lists, as many as a list takes.
 
     A pair of which neither is a fresh neighbour has met before.
@@ -193,7 +229,8 @@ def _met(kind: pa.DataType):  # noqa: ANN202
         for batch in batches:
             ids, others, cosines = [], [], []
             for nodes in batch.column(0).to_pylist():
-                x, own = _matrix(nodes), [n["id"] for n in nodes]
+                own = [n["id"] for n in nodes]
+                x = np.frombuffer(b"".join(n["short"] for n in nodes), np.int16).reshape(len(nodes), -1).astype(np.float64)
                 dots = (x @ x.T).astype(np.int64)
                 fresh = np.array([n["fresh"] for n in nodes])
                 good = (fresh[:, None] | fresh[None]) & (dots > np.array([n["last"] for n in nodes])[:, None])
@@ -209,152 +246,148 @@ def _met(kind: pa.DataType):  # noqa: ANN202
     return run
 
 
-def _merged(graph: DataFrame, candidates: DataFrame, name: str) -> DataFrame:
+def _merged(graph: DataFrame, candidates: DataFrame) -> DataFrame:
     """Lists (id, cap, near: dot and other, fresh) after taking in candidates; a list keeps its ``cap`` nearest."""
     new = candidates.groupBy("id").agg(F.collect_set(F.struct("dot", "other")).alias("new"))
     near = F.slice(F.sort_array(F.array_union("near", F.coalesce("new", F.array().cast(new.schema["new"].dataType))), asc=False), F.lit(1), F.col("cap"))
     out = graph.join(new, "id", "left").withColumn("all", near)
     fresh = F.filter("all", lambda x: ~F.array_contains("near", x))
-    return written(out.select("id", "cap", F.col("all").alias("near"), F.transform(F.array_union(F.filter("all", lambda x: F.array_contains("fresh", x["other"])), fresh), lambda x: x["other"]).alias("fresh")), name)
+    return written(out.select("id", "cap", F.col("all").alias("near"), F.transform(F.array_union(F.filter("all", lambda x: F.array_contains("fresh", x["other"])), fresh), lambda x: x["other"]).alias("fresh")), "graph")
 
 
-def descended(graph: DataFrame, nodes: DataFrame, kind: str, arrow: pa.DataType) -> DataFrame:
+def descended(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rounds of neighbours-of-neighbours joins until hardly a list changes; a neighbour is fresh until it has met from both ends."""
+    kind, arrow = nodes.schema["id"].dataType.simpleString(), arrow_type(nodes, "id")
     total = graph.count()
-    short = nodes.select("id", "short")
     for turn in range(DESCENTS):
-        edges = graph.select("id", F.col("cap"), F.explode("near").alias("e"), "fresh").select("id", "cap", F.col("e.other").alias("other"), F.array_contains("fresh", F.col("e.other")).alias("fresh"))
-        back = edges.select(F.col("other").alias("id"), F.col("id").alias("other"), "cap", "fresh")
+        edges = graph.select("id", F.explode("near").alias("e"), "fresh").select("id", F.col("e.other").alias("other"), F.array_contains("fresh", F.col("e.other")).alias("fresh"))
+        back = edges.select(F.col("other").alias("id"), F.col("id").alias("other"), "fresh")
         order = Window.partitionBy("id").orderBy(F.desc("fresh"), F.xxhash64(F.lit(turn), "other"), "other")
-        back = back.withColumn("n", F.row_number().over(order))
-        waits = back.where((F.col("n") > REVERSE) & F.col("fresh")).groupBy(F.col("other").alias("id")).agg(F.collect_set("id").alias("waits"))
-        back = back.where(F.col("n") <= REVERSE).drop("n")
+        # A limit on a row number is applied before the shuffle, too: no task sorts all that a hub is a neighbour of.
+        back = back.withColumn("n", F.row_number().over(order)).where(F.col("n") <= REVERSE).drop("n")
+        waits = edges.where("fresh").join(back.select(F.col("other").alias("id"), F.col("id").alias("other")), ["id", "other"], "left_anti")
+        waits = waits.groupBy("id").agg(F.collect_set("other").alias("waits"))
         pairs = edges.unionByName(back).groupBy("id", "other").agg(F.bool_or("fresh").alias("fresh"))
-        last = graph.select(F.col("id").alias("other"), F.when(F.size("near") >= F.col("cap"), F.element_at("near", -1)["dot"]).otherwise(-SCALE * SCALE).alias("last"), F.col("cap"))
+        last = F.when(F.size("near") >= F.col("cap"), F.element_at("near", -1)["dot"]).otherwise(-SCALE * SCALE)
+        of = graph.select("id", last.alias("last"), "cap").join(nodes.select("id", "short"), "id").withColumnRenamed("id", "other")
         lists = (
-            pairs.join(short.withColumnRenamed("id", "other"), "other").join(last, "other")
+            pairs.join(of, "other")
             .groupBy("id").agg(F.collect_list(F.struct(F.col("other").alias("id"), "short", "fresh", "last", "cap")).alias("nodes"), F.bool_or("fresh").alias("any"))
             .where("any").select("nodes")
         )
-        candidates = lists.mapInArrow(_met(arrow), f"id {kind}, other {kind}, dot long").distinct()
+        candidates = lists.mapInArrow(_met(arrow), f"id {kind}, other {kind}, dot long")
         settled = graph.join(waits, "id", "left").withColumn("fresh", F.array_intersect("fresh", F.coalesce("waits", F.array().cast(f"array<{kind}>")))).drop("waits")
-        graph = _merged(settled, candidates, "graph")
+        graph = _merged(settled, candidates)
         if (graph.agg(F.sum(F.size("fresh"))).first()[0] or 0) <= 0.001 * LIST * total:
             break
     return graph
 
 
-def _links(threshold: float, kind: pa.DataType):  # noqa: ANN202
-    """Counts of links between members of two classes: rows (id, n) for members, (id, other) for linked classes."""
+def _packed(rows: int, kind: pa.DataType) -> Run:
+    """Runs of (key, id, leader, vec) as one row each, of at most ``rows`` vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, others, counts = [], [], []
-            for row in batch.to_pylist():
-                a, b = ([np.frombuffer(m["vec"]) for m in row[k]] for k in ("a", "b"))
-                linked = (np.array(a) @ np.array(b).T) >= threshold
-                if linked.any():
-                    ids.append(row["u"])
-                    others.append(row["v"])
-                    counts.append(0)
-                    for members, n in ((row["a"], linked.sum(axis=1)), (row["b"], linked.sum(axis=0))):
-                        for m, c in zip(members, n, strict=True):
-                            if c:
-                                ids.append(m["id"])
-                                others.append(None)
-                                counts.append(int(c))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(others, kind), pa.array(counts, pa.int64())], ["id", "other", "n"])
+        part = TaskContext.get().partitionId() << 32
+        for block in runs(batches, rows):
+            whole = pa.array([0, block.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(whole, block.column(k)) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([block.column(0).slice(0, 1), pa.array([part]), *lists, pa.array([b"".join(block.column(3).to_pylist())], pa.binary())], ["key", "part", "ids", "leaders", "vecs"])
+            part += 1
 
     return run
 
 
-def _across(threshold: float, kind: pa.DataType):  # noqa: ANN202
-    """As _links, for blocks of members of many classes: edges of a forest over the classes that link."""
+def blocks(rows: DataFrame, width: int) -> DataFrame:
+    """``key, part, ids, leaders, vecs``: the rows (key, id, leader, vec) in blocks of at most BLOCK_BYTES, ``width`` numbers a vector."""
+    key, kind = rows.schema["key"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+    packed = _packed(max(64, BLOCK_BYTES // (8 * max(1, width))), arrow_type(rows, "id"))
+    spread = _spread(rows.select("key", "id", "leader", "vec"), "key", F.xxhash64("id"))
+    return written(spread.mapInArrow(packed, f"key {key}, part long, ids array<{kind}>, leaders array<{kind}>, vecs binary"), "blocks")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                a, b = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                same = batch.column(2)[row].as_py()
-                x, y = (np.array([np.frombuffer(m["vec"]) for m in k]) for k in (a, b))
-                of = {leader: n for n, leader in enumerate(dict.fromkeys(m["leader"] for m in a + b))}
-                u, v = (np.array([of[m["leader"]] for m in k]) for k in (a, b))
-                linked = ((x @ y.T) >= threshold) & (u[:, None] != v)
-                ids, others, counts = [], [], []
-                for members, n in ((a, linked.sum(axis=1)), *(() if same else ((b, linked.sum(axis=0)),))):
-                    for k in np.flatnonzero(n):
-                        ids.append(members[k]["id"])
-                        others.append(None)
-                        counts.append(int(n[k]))
-                left = linked.any(axis=1)
-                while left.any():
-                    root = int(left.argmax())
-                    cols, rows = np.zeros(len(b), bool), np.zeros(len(a), bool)
-                    rows[root] = True
-                    front = rows.copy()
-                    while front.any():
-                        cols |= linked[front].any(axis=0)
-                        front = linked[:, cols].any(axis=1) & ~rows
-                        rows |= front
-                    left &= ~rows
-                    leader = a[root]["leader"]
-                    for other in {a[k]["leader"] for k in np.flatnonzero(rows)} | {b[k]["leader"] for k in np.flatnonzero(cols)}:
-                        if other != leader:
-                            ids.append(leader)
-                            others.append(other)
-                            counts.append(0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(others, kind), pa.array(counts, pa.int64())], ["id", "other", "n"])
 
-    return run
+def meetings(a: DataFrame, b: DataFrame, which: Column | None = None) -> DataFrame:
+    """Every block of ``a`` beside every block of ``b`` of the same key (``which``: a condition on their parts p and q).
 
+    Their numbers meet first, so that the blocks of a hot key are spread over the tasks by key and number.
+    """
+    pairs = a.select("key", F.col("part").alias("p")).join(b.select("key", F.col("part").alias("q")), "key")
+    pairs = pairs if which is None else pairs.where(which)
+    sides = [t.select("key", F.col("part").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("ids", "leaders", "vecs")]) for t, n in ((a, "p"), (b, "q"))]
+    met = pairs.join(sides[0], ["key", "p"]).join(sides[1], ["key", "q"])
+    return met.select(*[f"{c}_{n}" for n in "pq" for c in ("ids", "leaders", "vecs")])
 
-def across(vectors: DataFrame, members: DataFrame, opened: DataFrame, threshold: float, kind: str, arrow: pa.DataType) -> DataFrame:
-    """Rows as those of _links for all links with a member of an open node, but within its class."""
-    flag = opened.select(F.col("id").alias("leader"), F.lit(True).alias("open"))
-    rows = members.select("id", "leader").join(vectors.select("id", "grp", "vec"), "id").join(flag, "leader", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    rows = rows.join(opened.join(vectors.select("id", "grp"), "id").select("grp").distinct(), "grp", "left_semi")
-    counts = rows.groupBy("grp", "open").agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / WIDE)).cast("int")
-    blocks = rows.join(counts, ["grp", "open"]).groupBy("grp", "open", part.alias("part")).agg(F.collect_list(F.struct("id", "leader", "vec")).alias("set"))
-    blocks = written(blocks, "blocks")
-    keys = blocks.select("grp", "open", "part")
-    pairs = keys.where("open").select("grp", F.col("part").alias("p")).join(keys, "grp").where("not open or p <= part")
-    a = blocks.where("open").select("grp", F.col("part").alias("p"), F.col("set").alias("a"))
-    met = pairs.join(a, ["grp", "p"]).join(blocks.withColumnRenamed("set", "b"), ["grp", "open", "part"]).select("a", "b", (F.col("open") & (F.col("p") == F.col("part"))).alias("same"))
-    return met.mapInArrow(_across(threshold, arrow), f"id {kind}, other {kind}, n long")
+
+def _across(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[tuple[list, list, list, list, np.ndarray]]:
+    """For each pair of blocks: ids and leaders of both and the matrix of links between different classes."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            ids_a, of_a, vecs_a, ids_b, of_b, vecs_b = (batch.column(k)[row].as_py() for k in range(6))
+            x, y = (np.frombuffer(v).reshape(len(i), -1) for v, i in ((vecs_a, ids_a), (vecs_b, ids_b)))
+            if x.shape[1] != y.shape[1]:
+                continue
+            number = {leader: n for n, leader in enumerate(dict.fromkeys(of_a + of_b))}
+            u, v = (np.array([number[leader] for leader in of]) for of in (of_a, of_b))
+            yield ids_a, of_a, ids_b, of_b, ((x @ y.T) >= threshold) & (u[:, None] != v)
 
 
-def audit(nodes: DataFrame, graph: DataFrame, opened: DataFrame, angle: float, seed: int, size: int, kind: str, arrow: pa.DataType) -> DataFrame:
-    """Edges that could link, given the radii, between ``size`` nodes, chosen by hash, and all nodes, and whether the lists hold them.
+def _links(threshold: float, kind: pa.DataType, both: bool) -> Run:
+    """Rows (id, n) with the links of members, and (id, other) with the edges of a forest over the classes that link.
 
-    Every node meets the queries of its group in its own task. Edges of open nodes count as held.
+    Links count for the members of the first block and, with ``both``, for those of the second.
     """
-    queries = [(r[0], r[1], bytes(r[2]), r[3]) for r in nodes.select("id", "grp", "short", "radius").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(size).collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[str, list] = {}
-        for q in queries:
-            groups.setdefault(q[1], []).append(q)
-        ready = {g: (qs, np.frombuffer(b"".join(q[2] for q in qs), np.int16).reshape(len(qs), -1).astype(np.float64), np.array([q[3] for q in qs])) for g, qs in groups.items()}
-        for batch in batches:
-            ids, others, dots = [], [], []
-            for node, grp, short, radius in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if grp in ready:
-                    qs, x, wide = ready[grp]
-                    found = x @ np.frombuffer(short, np.int16).astype(np.float64)
-                    for k in np.flatnonzero(found >= (np.cos(np.minimum(math.pi, angle + wide + radius)) - SLACK) * SCALE * SCALE):
-                        if qs[k][0] != node:
-                            ids.append(qs[k][0])
-                            others.append(node)
-                            dots.append(int(found[k]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(others, arrow), pa.array(dots, pa.int64())], ["id", "other", "dot"])
-
-    true = nodes.select("id", "grp", "short", "radius").mapInArrow(run, f"id {kind}, other {kind}, dot long")
-    held = graph.select("id", F.explode("near").alias("e")).select("id", F.col("e.other").alias("other"))
-    held = held.unionByName(held.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct().withColumn("held", F.lit(True))
-    for end in ("id", "other"):
-        true = true.join(opened.select(F.col("id").alias(end), F.lit(True).alias(f"open_{end}")), end, "left")
-    return true.join(held, ["id", "other"], "left").select("id", "other", "dot", F.coalesce("open_id", "open_other", "held", F.lit(False)).alias("held"))
+        for ids_a, of_a, ids_b, of_b, linked in _across(batches, threshold):
+            ids, others, counts = [], [], []
+            for members, n in ((ids_a, linked.sum(axis=1)), *(((ids_b, linked.sum(axis=0)),) if both else ())):
+                for k in np.flatnonzero(n):
+                    ids.append(members[k])
+                    others.append(None)
+                    counts.append(int(n[k]))
+            left = linked.any(axis=1)
+            while left.any():
+                root = int(left.argmax())
+                cols, rows = np.zeros(len(ids_b), bool), np.zeros(len(ids_a), bool)
+                rows[root] = True
+                front = rows.copy()
+                while front.any():
+                    cols |= linked[front].any(axis=0)
+                    front = linked[:, cols].any(axis=1) & ~rows
+                    rows |= front
+                left &= ~rows
+                for other in {of_a[k] for k in np.flatnonzero(rows)} | {of_b[k] for k in np.flatnonzero(cols)}:
+                    if other != of_a[root]:
+                        ids.append(of_a[root])
+                        others.append(other)
+                        counts.append(0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(others, kind), pa.array(counts, pa.int64())], ["id", "other", "n"])
+
+    return run
+
+
+def _true_edges(threshold: float, kind: pa.DataType) -> Run:
+    """The pairs of classes that link through a member of the first block, and by how many links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, of_a, _, of_b, linked in _across(batches, threshold):
+            found: dict = {}
+            for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+                pair = (min(of_a[i], of_b[j]), max(of_a[i], of_b[j]))
+                found[pair] = found.get(pair, 0) + 1
+            u, v = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind), pa.array(found.values(), pa.int64())], ["u", "v", "n"])
+
+    return run
+
+
+@dataclass
+class Found:
+    """The result and what the audits said: the share of true links that the lists held, links audited, queries."""
+
+    rows: DataFrame
+    recall: float
+    audited: int
+    opened: int
 
 
 def near_vectors(df: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -363,83 +396,133 @@ def near_vectors(df: DataFrame, threshold: float = 0.93) -> DataFrame:
     Vectors of equal label (not null) and length link from a cosine of ``threshold``. Rows whose vector is
     null, empty or zero or has null or non-finite components, or whose label or id is null, link with
     nothing; without an id, component_id is null and the row is kept. Rows with the same id are one vector
-    (that with the largest bytes) in the graph and rows of their own in the result. Other columns are
-    ignored.
+    (that with the largest bytes) in the graph and rows of their own in the result. An empty table gives an
+    empty result. Long vectors make smaller blocks. Ids may have any type that can be ordered. Other
+    columns are ignored, whatever their names.
     """
-    kind = df.schema["vec_id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    return near_vectors_audited(df, threshold).rows
+
+
+def near_vectors_audited(df: DataFrame, threshold: float = 0.93) -> Found:
+    """As near_vectors, with the recall measured on the last audit's queries before what they missed was added."""
+    kind, arrow = df.schema["vec_id"].dataType.simpleString(), arrow_type(df, "vec_id")
     asked = df.where("vec_id is not null and label is not null").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     unit = asked.mapInArrow(_unit, f"id {kind}, label string, dim int, vec binary, short binary")
-    unit = unit.groupBy("id").agg(F.max(F.struct("vec", "label", "dim", "short")).alias("x")).select("id", F.concat_ws(":", "x.dim", "x.label").alias("grp"), "x.vec", "x.short")
-    unit = written(unit, "unit")
-    vectors = unit.join(unit.groupBy("grp").agg(F.count("*").alias("size")), "grp").select("id", "grp", "size", "vec", "short")
-    vectors = written(vectors, "vectors")
+    unit = unit.groupBy("id").agg(F.max(F.struct("vec", "label", "dim", "short")).alias("x"))
+    vectors = written(unit.select("id", F.concat_ws(":", "x.dim", "x.label").alias("grp"), "x.vec", "x.short"), "vectors")
+    width = (vectors.agg(F.max(F.octet_length("vec"))).first()[0] or 8) // 8
     angle = math.acos(threshold)
-    members = written(contracted(vectors, math.cos(angle / 2) + 1e-4), "members")
-    classes = written(members.groupBy("leader").agg(F.count("*").alias("n"), F.acos(F.least(F.min("cos"), F.lit(1.0))).alias("radius")), "classes")
-    nodes = vectors.join(classes.select(F.col("leader").alias("id"), "radius"), "id")
+    members = contracted(vectors, math.cos(angle / 2) + 1e-4)
+    classes = written(members.groupBy("leader").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.acos(F.least(F.min("cos"), F.lit(1.0))).alias("radius")), "classes")
+    nodes = vectors.join(classes.select(F.col("leader").alias("id"), "radius", "n"), "id").select("id", "grp", "short", "radius", "n")
     nodes = written(nodes.join(nodes.groupBy("grp").agg(F.max("radius").alias("widest")), "grp"), "nodes")
-    total = nodes.count()
-    widest = nodes.agg(F.max("radius")).first()[0] or 0.0
-    least = lambda wide: math.cos(min(math.pi, angle + wide)) - SLACK
-
-    begin = None
-    for k in range(BLOCKINGS):
-        found = _blocks(nodes, k).mapInArrow(_nearest(LIST, arrow), f"id {kind}, other {kind}, dot long")
-        begin = found if begin is None else begin.unionByName(found)
+    placed = written(members.join(vectors.select("id", "grp", "vec"), "id").select("id", "leader", "grp", "vec"), "placed")
+    everything = blocks(placed.withColumnRenamed("grp", "key"), width)
+
+    def bound(*radii: str) -> Column:
+        """The least product of the shorts of two leaders whose classes may link."""
+        wide = F.lit(angle)
+        for radius in radii:
+            wide = wide + F.col(radius)
+        return (F.cos(F.least(F.lit(math.pi), wide)) - SLACK) * SCALE * SCALE
+
     near = F.array().cast(f"array<struct<dot:bigint,other:{kind}>>")
     graph = nodes.select("id", F.lit(LIST).alias("cap"), near.alias("near"), F.array().cast(f"array<{kind}>").alias("fresh"))
-    graph = descended(_merged(graph, begin, "graph"), nodes, kind, arrow)
-    # A list is saturated if its last entry could still link, given the radius of its own class and the widest of its group.
-    bound = (F.cos(F.least(F.lit(math.pi), F.lit(angle) + F.col("widest") + F.col("radius"))) - SLACK) * SCALE * SCALE
-    turn, size = 0, AUDIT
-    while True:
+    seeds = range(BLOCKINGS)
+    missed: list[DataFrame] = []
+    for turn in range(AUDITS):
+        candidates = None
+        for k in seeds:
+            found = _sorted(nodes, k).mapInArrow(_nearest(LIST, arrow), f"id {kind}, other {kind}, dot long")
+            candidates = found if candidates is None else candidates.unionByName(found)
+        for edges in missed[-1:]:
+            both = edges.select(F.col("u").alias("id"), F.col("v").alias("other"), "dot").unionByName(edges.select(F.col("v").alias("id"), F.col("u").alias("other"), "dot"))
+            candidates = candidates.unionByName(both)
+        graph = descended(_merged(graph, candidates), nodes)
         while True:
-            full = F.col("full") & (F.size("near") >= F.col("cap"))
-            looked = graph.join(nodes.select("id", bound.alias("bound")), "id").withColumn("full", F.try_element_at("near", F.lit(-1))["dot"] >= F.col("bound")).withColumn("full", F.coalesce(full, F.lit(False)))
+            # A list is saturated if its last entry could still link, given the radius of its own class and the widest of its group.
+            looked = graph.join(nodes.select("id", bound("widest", "radius").alias("bound")), "id").withColumn("full", F.coalesce((F.try_element_at("near", F.lit(-1))["dot"] >= F.col("bound")) & (F.size("near") >= F.col("cap")), F.lit(False)))
             grows = F.col("full") & (F.col("cap") < MOST)
             if looked.where(grows).isEmpty():
                 break
             longer = looked.select("id", F.when(grows, F.least(2 * F.col("cap"), F.lit(MOST))).otherwise(F.col("cap")).alias("cap"), "near", F.when(grows, F.transform("near", lambda x: x["other"])).otherwise(F.col("fresh")).alias("fresh"))
-            graph = descended(written(longer, "graph"), nodes, kind, arrow)
-        opened = written(looked.where(F.col("full") | (F.size("fresh") > 0)).select("id"), "opened")
-        while True:
-            checked = written(audit(nodes, graph, opened, angle, turn, size, kind, arrow), "audit")
-            links, missed = checked.agg(F.count("*"), F.count_if(~F.col("held"))).first()
-            if links >= AUDIT_LINKS or size >= min(total, AUDIT_MOST):
-                break
-            size *= 4
-        if missed <= (1 - RECALL) * links or turn == AUDIT_ROUNDS:
+            graph = descended(written(longer, "graph"), nodes)
+        opened = written(looked.where("full").select("id"), "opened")
+        n_open = opened.count()
+
+        # Pairs of classes that the lists hold and that may link; those of open nodes are left to the blocks of whole groups.
+        edge = graph.select("id", F.explode("near").alias("e")).select(F.least("id", "e.other").alias("u"), F.greatest("id", "e.other").alias("v"), "e.dot").distinct()
+        for end in "uv":
+            edge = edge.join(nodes.select(F.col("id").alias(end), F.col("radius").alias(f"r{end}"), F.col("n").alias(f"n{end}")), end)
+        edge = edge.where(F.col("dot") >= bound("ru", "rv")).select("u", "v", "nu", "nv")
+        held = written(_without(edge, opened), "held")
+
+        number = F.col("id") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64("id")
+        queries = blocks(placed.where(F.pmod(number, F.lit(QUERIES)) == turn).withColumnRenamed("grp", "key"), width)
+        true = meetings(queries, everything).mapInArrow(_true_edges(threshold, arrow), f"u {kind}, v {kind}, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+        true = true.join(held.select("u", "v", F.lit(True).alias("held")), ["u", "v"], "left")
+        true = written(_without(true, opened), "audit")
+        links, lost = true.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("held").isNull(), F.col("n"))), F.lit(0))).first()
+        recall = 1 - lost / links if links else 1.0
+        LOG.info("audit %d: recall %.5f of %d links, %d open nodes", turn, recall, links, n_open)
+        if lost:
+            new = true.where("held is null").select("u", "v")
+            shorts = nodes.select("id", "short")
+            both = new.join(shorts.withColumnsRenamed({"id": "u", "short": "a"}), "u").join(shorts.withColumnsRenamed({"id": "v", "short": "b"}), "v")
+            missed.append(written(both.select("u", "v", "a", "b").mapInArrow(_dots, f"u {kind}, v {kind}, dot long"), "missed"))
+        if recall >= RECALL:
             break
-        more = _blocks(nodes, 100 + turn).mapInArrow(_nearest(LIST, arrow), f"id {kind}, other {kind}, dot long")
-        graph = descended(_merged(graph, more.unionByName(checked.where("not held").select("id", "other", "dot")), "graph"), nodes, kind, arrow)
-        turn += 1
-    # The audit vouches for the other nodes of a group only where it missed nothing and held enough.
-    astray = nodes if links < AUDIT_LINKS and size < total else nodes.join(checked.where("not held").select("id").distinct().join(nodes.select("id", "grp"), "id").select("grp").distinct(), "grp", "left_semi")
-    opened = written(opened.unionByName(astray.select("id")).distinct(), "opened")
-
-    edge = graph.select("id", F.explode("near").alias("e")).select(F.least("id", "e.other").alias("u"), F.greatest("id", "e.other").alias("v"), "e.dot").distinct()
-    of = nodes.select("id", "radius")
-    reach = F.cos(F.least(F.lit(math.pi), F.lit(angle) + F.col("ru") + F.col("rv"))) - SLACK
-    edge = edge.where(F.col("dot") >= least(2 * widest) * SCALE * SCALE)
-    edge = edge.join(of.select(F.col("id").alias("u"), F.col("radius").alias("ru")), "u").join(of.select(F.col("id").alias("v"), F.col("radius").alias("rv")), "v").where(F.col("dot") >= reach * SCALE * SCALE).select("u", "v")
-    for end in ("u", "v"):
-        edge = edge.join(opened.select(F.col("id").alias(end)), end, "left_anti")
-    sets = members.join(classes.select("leader", "n"), "leader").join(vectors.select("id", "vec"), "id")
-    sets = sets.groupBy("leader", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / MEMBERS)).alias("part")).agg(F.collect_list(F.struct("id", "vec")).alias("set")).drop("part")
-    met = edge.join(sets.withColumnsRenamed({"leader": "u", "set": "a"}), "u").join(sets.withColumnsRenamed({"leader": "v", "set": "b"}), "v").select("u", "v", "a", "b")
-    linked = met.mapInArrow(_links(threshold, arrow), f"id {kind}, other {kind}, n long")
-    if not opened.isEmpty():
-        linked = linked.unionByName(across(vectors, members, opened, threshold, kind, arrow))
+        seeds = [100 + turn]
+    for edges in missed:  # what the audits found counts, whether or not the lists took it up
+        for end in "uv":
+            edges = edges.join(nodes.select(F.col("id").alias(end), F.col("n").alias(f"n{end}")), end)
+        held = _without(edges, opened).select("u", "v", "nu", "nv").unionByName(held)
+    if recall < RECALL:
+        grp = nodes.select("id", "grp")
+        by_group = true.join(grp.withColumnRenamed("id", "u"), "u").groupBy("grp").agg((F.count_if(F.col("held").isNull()) == 0).alias("good"))
+        vouched = by_group.where("good").select("grp")
+        opened = written(opened.unionByName(grp.join(vouched, "grp", "left_anti").select("id")).distinct(), "opened")
+        n_open = opened.count()
+        held = _without(held, opened)
+
+    # The members of the larger class of a pair meet those of all smaller ones beside it, in blocks.
+    turned = F.col("nu") >= F.col("nv")
+    pairs = written(held.select(F.when(turned, F.col("u")).otherwise(F.col("v")).alias("key"), F.when(turned, F.col("v")).otherwise(F.col("u")).alias("leader")).distinct(), "pairs")
+    centre = placed.join(pairs.select(F.col("key").alias("leader")).distinct(), "leader", "left_semi").select(F.col("leader").alias("key"), "id", "leader", "vec")
+    beside = pairs.join(placed, "leader").select("key", "id", "leader", "vec")
+    shape = f"id {kind}, other {kind}, n long"
+    linked = meetings(blocks(centre, width), blocks(beside, width)).mapInArrow(_links(threshold, arrow, True), shape)
+    if n_open:
+        flag = placed.join(opened.select(F.col("id").alias("leader"), F.lit(True).alias("open")), "leader", "left")
+        flag = flag.join(nodes.join(opened, "id", "left_semi").select("grp").distinct(), "grp", "left_semi")
+        side = [blocks(flag.where(which).withColumnRenamed("grp", "key"), width) for which in ("open", "open is null")]
+        linked = linked.unionByName(meetings(side[0], side[1]).mapInArrow(_links(threshold, arrow, True), shape))
+        linked = linked.unionByName(meetings(side[0], side[0], F.col("p") < F.col("q")).mapInArrow(_links(threshold, arrow, True), shape))
+        linked = linked.unionByName(meetings(side[0], side[0], F.col("p") == F.col("q")).mapInArrow(_links(threshold, arrow, False), shape))
     linked = written(linked, "linked")
     counts = linked.where("other is null").groupBy("id").agg(F.sum("n").alias("n_other"))
     found = components(linked.where("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")), "vectors")
-    placed = members.join(found, members["leader"] == found["node"], "left").select("id", "leader", F.coalesce("component", "leader").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    known = placed.join(smallest, "root").join(classes.select("leader", "n"), "leader").join(counts, "id", "left").select("id", (F.col("n") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_links"), "component_id")
+    rooted = classes.join(found, F.col("leader") == F.col("node"), "left").select("leader", "n", "least", F.coalesce("component", "leader").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = members.join(rooted.join(smallest, "root"), "leader").join(counts, "id", "left").select("id", (F.col("n") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_links"), "component_id")
     out = df.select("vec_id").join(known, F.col("vec_id") == F.col("id"), "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    rows = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    return Found(rows, recall, links, n_open)
+
+
+def _without(edges: DataFrame, opened: DataFrame) -> DataFrame:
+    """The edges (u, v) neither end of which is open."""
+    for end in "uv":
+        edges = edges.join(opened.select(F.col("id").alias(end)), end, "left_anti")
+    return edges
+
+
+def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (batch.column(k).to_pylist() for k in (2, 3))
+        dots = [int(np.frombuffer(x, np.int16).astype(np.int64) @ np.frombuffer(y, np.int16).astype(np.int64)) for x, y in zip(a, b, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dots, pa.int64())], ["u", "v", "dot"])
 
 
 NEIGHBOURS_SQL = """

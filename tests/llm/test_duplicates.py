@@ -124,20 +124,50 @@ def test_near_vectors_equal_brute_force(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
-@pytest.mark.parametrize("limits", [{"MOST": 20, "REVERSE": 10}, {"AUDIT": 4, "AUDIT_MOST": 4, "WIDE": 40}])
+@pytest.mark.parametrize("limits", [{"MOST": 20, "REVERSE": 10}, {"AUDITS": 1, "RUN": 8, "BLOCKINGS": 1, "DESCENTS": 0, "BLOCK_BYTES": 1 << 14}])
 def test_near_vectors_beyond_their_caps_equal_brute_force(spark, monkeypatch, limits):
-    """A group too wide to contract, with lists that stay saturated, and an audit that holds too few edges to vouch."""
+    """A group too wide to contract: lists that stay saturated, and lists that hold too few links at the last audit."""
     for name, value in limits.items():
         monkeypatch.setattr(vector_neighbours, name, value)
     rng = np.random.default_rng(6)
     centre = rng.standard_normal(24)
     rows = [(i, (centre + rng.standard_normal(24) * 0.3).tolist(), i % 2 * (i % 3 == 0)) for i in range(260)]
     counts, component = brute(rows)
-    got = vector_neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    found = vector_neighbours.near_vectors_audited(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    got = found.rows.collect()
+    assert found.opened > 0
     assert {r["vec_id"]: r["n_links"] for r in got} == counts
     assert {r["vec_id"]: r["component_id"] for r in got} == component
 
 
+def test_near_vectors_recall_is_measured(spark):
+    """Many loose pairs and a hot group of near copies: an audit of one vector in fifty holds links, and the lists hold them."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((1200, 32))
+    rows = [(2 * i + k, (v + rng.standard_normal(32) * 0.2 * k).tolist(), int(i % 3 == 0)) for i, v in enumerate(base) for k in (0, 1)]
+    rows += [(5000 + i, (base[0] + rng.standard_normal(32) * 0.05).tolist(), 1) for i in range(1200)]
+    counts, component = brute(rows)
+    found = vector_neighbours.near_vectors_audited(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    got = found.rows.collect()
+    assert found.recall >= vector_neighbours.RECALL and found.audited > 10 and found.opened == 0
+    assert {r["vec_id"]: r["n_links"] for r in got} == counts
+    assert {r["vec_id"]: r["component_id"] for r in got} == component
+
+
+@pytest.mark.parametrize("kind", ["string", "smallint", "decimal(12,0)"])
+def test_other_types_of_ids(spark, kind):
+    vectors = spark.sql(f"select cast(id as {kind}) as vec_id, array(1.0D, id / 1000) as embedding, 1 as label from range(5)")
+    assert {r["n_links"] for r in vector_neighbours.near_vectors(vectors).collect()} == {4}
+    docs = spark.sql(f"select cast(id as {kind}) as doc_id, concat('one two three four five six ', repeat('x', int(id % 2))) as text from range(4)")
+    assert superminhash.near_duplicates(docs).where("kept").count() == 2
+
+
+def test_one_lone_label(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1), (3, [0.0, 1.0], 1), (4, [1.0, 0.0], 2)]
+    got = {r["vec_id"]: r["n_links"] for r in vector_neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
 def test_near_vectors_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vector_neighbours.near_vectors(empty).count() == 0
