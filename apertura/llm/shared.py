@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -48,3 +51,42 @@ def word_count(text: Column) -> Column:
 def arrow_type(df: DataFrame, column: str) -> pa.DataType:
     """The type that a column has in the batches of mapInArrow."""
     return to_arrow_type(df.schema[column].dataType)
+
+
+def spread(df: DataFrame, *by: str | Column) -> DataFrame:
+    """Sorted rows, in ranges of about equal size whatever a key's share of the rows."""
+    return df.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
+def runs(batches: Iterator[pa.RecordBatch], size: int, weight: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of sorted ones with the same first column, at most ``size`` at a time.
+
+    With ``weight`` the values of that column are added up to ``size`` instead; a row that is above by itself comes alone.
+    """
+    held: list[pa.RecordBatch] = []
+    n, last = 0, None
+    joined = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0)
+        cuts = [0, *(np.flatnonzero(pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+        upto = np.arange(batch.num_rows + 1) if weight is None else np.append(0, np.cumsum(batch.column(weight).to_numpy(zero_copy_only=False)))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = key[a].as_py()
+            if held and own != last:
+                yield joined()
+                held, n = [], 0
+            last = own
+            while a < b:
+                end = min(b, int(np.searchsorted(upto, upto[a] + size - n, side="right")) - 1)
+                if end <= a:
+                    if held:
+                        yield joined()
+                        held, n = [], 0
+                        continue
+                    end = a + 1
+                held.append(batch.slice(a, end - a))
+                n, a = n + int(upto[end] - upto[a]), end
+    if held:
+        yield joined()

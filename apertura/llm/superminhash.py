@@ -8,9 +8,10 @@ all shingles of a batch take a rank together.
 
 Documents with the same words are one class. Classes that share a band are a bucket; its centre is the
 class with the most company over all its buckets, and all others are verified against it on full shingle
-sets, so that a group of thousands costs one comparison a document and centre. The classes around a centre
-that still are in another component than it are then compared with all classes around it, in blocks of
-full shingle sets; a pair of blocks reports which components it joins, not the pairs.
+sets, so that a group of thousands costs one comparison a document and centre; the company of a centre is
+spread over the tasks by salts, each with one copy of its text. The classes around a centre that still are
+in another component than it are then compared with all classes around it, in blocks of full shingle sets
+of like size; a pair of blocks reports which components it joins, not the pairs.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apertura.llm.components import components
-from apertura.llm.shared import written
+from apertura.llm.shared import arrow_type, runs, spread, written
 from apertura.llm.tokens import grams, mix, words
 
 #: A pair at a similarity of 0.8 shares no band once in 150,000 pairs.
@@ -32,6 +34,8 @@ BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 #: Shingles that take a rank together.
 CHUNK = 100_000
+#: The company of a centre is spread over so many keys.
+SALTS = 256
 #: Shingles of a block of classes that meets another, and columns of the matrices in which they meet.
 BLOCK = 1 << 16
 COLUMNS = 1 << 13
@@ -140,28 +144,37 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", docs["text"].cast("string").cast("binary").alias("text")).mapInArrow(sign, schema)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs ``u, v`` whose shingle sets have 100 * intersection >= percent * union."""
-    left, right = (texts.withColumnsRenamed({"doc_id": id_, "text": text}).hint("merge") for id_, text in (("u", "a"), ("v", "b")))
-    both = pairs.join(left, "u").join(right, "v")
+def salted(company: DataFrame) -> DataFrame:
+    """``centre, rep`` with a ``salt`` by the rep: what concerns a centre goes to each of its salts once, so no task has all its company."""
+    return company.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+
+
+def verified(company: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """``centre, rep`` of those rows of ``company`` whose shingle sets have 100 * intersection >= percent * union.
+
+    The rows of a centre and salt follow one copy of the centre's text, so that its set is made once.
+    """
+    asked = salted(company.where("rep != centre"))
+    own = asked.join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep").select("centre", "salt", "rep", "text")
+    heads = asked.select("centre", "salt").distinct().join(texts.withColumnRenamed("doc_id", "centre").hint("merge"), "centre")
+    heads = heads.select("centre", "salt", F.lit(None).cast(own.schema["rep"].dataType).alias("rep"), "text")
+    rows = own.unionByName(heads).repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.asc_nulls_first("rep"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            for at, end in _groups(batch.column(2), batch.num_rows):
-                left, _ = shingle_sets(batch.column(2).slice(at, end - at).to_pylist(), n)
-                texts, seen = batch.column(3).slice(at, end - at).to_pylist(), {}
-                for text in texts:
-                    seen.setdefault(text, len(seen))
-                right, _ = shingle_sets(list(seen), n)
-                for a, text in zip(left, texts, strict=True):
-                    b = right[seen[text]]
-                    common = len(np.intersect1d(a, b, assume_unique=True))
-                    keep.append(common > 0 and 100 * common >= percent * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for at, end in _groups(batch.column(3), batch.num_rows):
+                sets, _ = shingle_sets(batch.column(3).slice(at, end - at).to_pylist(), n)
+                for own, first in zip(sets, batch.column(2).slice(at, end - at).is_null().to_pylist(), strict=True):
+                    if first:
+                        head = own
+                    common = 0 if first else len(np.intersect1d(head, own, assume_unique=True))
+                    keep.append(common > 0 and 100 * common >= percent * (len(head) + len(own) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["centre", "rep"]).filter(pa.array(keep, pa.bool_()))
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return both.select("u", "v", "a", "b").mapInArrow(check, f"u {kind}, v {kind}")
+    return rows.mapInArrow(check, f"centre {kind}, rep {kind}")
 
 
 def shingled(texts: DataFrame, n: int) -> DataFrame:
@@ -194,11 +207,12 @@ def common_shingles(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def joined_components(batches: Iterator[pa.RecordBatch], percent: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """For rows of two blocks ``a`` and ``b``, the pairs of components that links between them join, without cycles."""
+    """For rows of two blocks (components and sets of each), the pairs of components that links between them join, without cycles."""
     for batch in batches:
         u, v = [], []
-        for row in batch.to_pylist():
-            a, b = ([np.frombuffer(x["set"], np.uint64) for x in row[side]] for side in ("a", "b"))
+        for row in range(batch.num_rows):
+            of_a, of_b = (batch.column(k)[row].as_py() for k in (0, 2))
+            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(k)[row].as_py()] for k in (1, 3))
             common = common_shingles(a, b)
             size_a, size_b = np.array([len(s) for s in a]), np.array([len(s) for s in b])
             linked = (common > 0) & (100 * common >= percent * (size_a[:, None] + size_b[None] - common))
@@ -211,7 +225,7 @@ def joined_components(batches: Iterator[pa.RecordBatch], percent: int, kind: pa.
                 return x
 
             for i, j in zip(*np.nonzero(linked), strict=True):
-                x, y = find(row["a"][i]["component"]), find(row["b"][j]["component"])
+                x, y = find(of_a[i]), find(of_b[j])
                 if x != y:
                     root[max(x, y)] = min(x, y)
                     u.append(max(x, y))
@@ -219,24 +233,39 @@ def joined_components(batches: Iterator[pa.RecordBatch], percent: int, kind: pa.
         yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], ["u", "v"])
 
 
-def block_links(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``centre, part, low, high, components, sets``: rows (centre, rep, component, n_shingles, set) of like size in blocks of BLOCK shingles."""
+    rows = spread(rows.select("centre", "n_shingles", "component", "set", "rep"), "centre", "n_shingles", F.xxhash64("rep")).drop("rep")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
+        for block in runs(batches, BLOCK, weight=1):
+            whole = pa.array([0, block.num_rows], pa.int32())
+            size = block.column(1)
+            lists = [pa.ListArray.from_arrays(whole, block.column(k)) for k in (2, 3)]
+            yield pa.RecordBatch.from_arrays([block.column(0).slice(0, 1), pa.array([part]), size.slice(0, 1), size.slice(block.num_rows - 1, 1), *lists], ["centre", "part", "low", "high", "components", "sets"])
+            part += 1
+
+    kind = rows.schema["component"].dataType.simpleString()
+    return written(rows.mapInArrow(cut, f"centre {kind}, part long, low long, high long, components array<{kind}>, sets array<binary>"), "blocks")
+
+
+def block_links(around: DataFrame, percent: int) -> DataFrame:
     """Links ``u, v`` between components, found among the classes around each centre.
 
-    ``around``: centre, rep, component, n_shingles, astray (whether it is in another component than its
-    centre). Classes astray meet all others around their centre. Both are cut into blocks by hash, and the
-    pairs of blocks are spread over the tasks by the second one.
+    ``around``: centre, rep, component, n_shingles, set, astray (whether it is in another component than its
+    centre). Classes astray meet all others around their centre, in blocks of classes of like size; blocks
+    too unlike in size to hold a link don't meet. The numbers of blocks meet first, so that the blocks of a
+    centre are spread over the tasks.
     """
-    total = around.groupBy("centre").agg(F.sum("n_shingles").alias("all"), F.sum(F.when(F.col("astray"), F.col("n_shingles"))).alias("some")).where("some is not null")
-    member = F.struct("component", "set")
-    cut = lambda size: F.pmod(F.xxhash64("rep"), F.ceil(F.col(size) / BLOCK)).cast("int")
-    full = around.join(total, "centre").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    b = full.groupBy("centre", cut("all").alias("j")).agg(F.collect_list(member).alias("b"))
-    a = full.where("astray").groupBy("centre", "all", cut("some").alias("i")).agg(F.collect_list(member).alias("a"))
-    a = a.withColumn("j", F.explode(F.sequence(F.lit(0), F.ceil(F.col("all") / BLOCK).cast("int") - 1)))
-    name = around.schema["rep"].dataType.simpleString()
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
-    compare = lambda batches: joined_components(batches, percent, kind)
-    return a.join(b, ["centre", "j"]).select("a", "b").mapInArrow(compare, f"u {name}, v {name}").distinct()
+    a, b = _blocks(around.where("astray")), _blocks(around)
+    names = lambda t, n: t.select("centre", *[F.col(c).alias(f"{c}_{n}") for c in t.columns if c != "centre"])
+    a, b = names(a, "a"), names(b, "b")
+    near = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
+    pairs = a.select("centre", "part_a", "low_a", "high_a").join(b.select("centre", "part_b", "low_b", "high_b"), "centre").where(near).select("centre", "part_a", "part_b")
+    met = pairs.join(a, ["centre", "part_a"]).join(b, ["centre", "part_b"]).select("components_a", "sets_a", "components_b", "sets_b")
+    name, kind = around.schema["rep"].dataType.simpleString(), arrow_type(around, "rep")
+    return met.mapInArrow(lambda batches: joined_components(batches, percent, kind), f"u {name}, v {name}").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -244,8 +273,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     Documents link where their sets of ``n``-word shingles have at least ``percent`` hundredths in common.
     Shorter texts are one shingle; null, empty and blank texts have none and link with nothing. Rows with
-    the same id are one document for the links and stay rows of their own; rows without an id link with
-    nothing, have no component and are kept. Other columns are ignored.
+    the same id are one document for the links, also where their texts differ, and stay rows of their own;
+    rows without an id link with nothing, have no component and are kept. Very long texts are read whole, by
+    themselves. An empty table gives an empty result. Ids may have any type that can be ordered. Other
+    columns are ignored, whatever their names.
     """
     docs = docs.select("doc_id", "text")
     sig = written(signed(docs, n), "signatures")
@@ -261,22 +292,29 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     around = written(buckets.join(centres, "band").select("centre", "rep").distinct(), "around")
     near = around.select(F.col("rep").alias("doc_id")).distinct()
     texts = written(docs.select("doc_id", docs["text"].cast("string").cast("binary").alias("text")).join(near.hint("merge"), "doc_id", "left_semi"), "texts")
-    pairs = around.where("rep != centre").select(F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v")).distinct()
-    links = written(verified(pairs, texts, n, percent), "links")
+    links = written(verified(around, texts, n, percent).select(F.col("centre").alias("u"), F.col("rep").alias("v")), "links")
+    # An id with several texts is one document: its classes are one component.
+    several = there.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a != b").select("doc_id")
+    same = there.join(several, "doc_id").select("doc_id", "digest").distinct().join(classes, "digest").where("doc_id != rep")
+    links = written(links.unionByName(same.select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))), "links")
     found = components(links, "near-1")
 
     of = around.select("rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
     shingles = firsts.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"))
-    placed = around.join(of.join(shingles, "rep"), "rep").join(of.withColumnsRenamed({"rep": "centre", "component": "of_centre"}), "centre")
-    placed = placed.withColumn("astray", F.col("component") != F.col("of_centre")).drop("of_centre")
-    astray = placed.where("astray").select("centre").distinct()
-    placed = written(placed.join(astray, "centre", "left_semi"), "placed")
+    company = salted(around)
+    heads = company.select("centre", "salt").distinct()
+    of_centre = heads.join(of.withColumnsRenamed({"rep": "centre", "component": "of_centre"}), "centre")
+    placed = company.join(of.join(shingles, "rep"), "rep").join(of_centre, ["centre", "salt"])
+    placed = written(placed.withColumn("astray", F.col("component") != F.col("of_centre")).drop("of_centre"), "placed")
+    astray = heads.join(placed.where("astray").select("centre").distinct(), "centre")
+    placed = placed.join(astray, ["centre", "salt"], "left_semi")
     sets = shingled(texts.join(placed.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), n)
-    more = written(block_links(placed, sets, percent), "links-2")
+    full = placed.join(sets.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
+    more = written(block_links(full, percent), "links-2")
     if not more.isEmpty():
         found = components(links.unionByName(more), "near-2")
 
-    of_class = classes.join(found, classes["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

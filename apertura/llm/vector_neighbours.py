@@ -28,13 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apertura.llm.components import components
-from apertura.llm.shared import arrow_type, written
+from apertura.llm.shared import arrow_type, runs, spread, written
 
 #: Length of a neighbour list at first; rows of a run; runs that the lists begin with.
 LIST = 10
@@ -80,33 +79,6 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary()), pa.array(shorts, pa.binary())], ["id", "label", "dim", "vec", "short"])
 
 
-def runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of sorted ones with the same first column, at most ``size`` at a time."""
-    held: list[pa.RecordBatch] = []
-    n, last = 0, None
-    joined = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(0)
-        cuts = [0, *(np.flatnonzero(pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = key[a].as_py()
-            if held and own != last:
-                yield joined()
-                held, n = [], 0
-            last = own
-            while a < b:
-                take = min(b - a, size - n)
-                held.append(batch.slice(a, take))
-                n, a = n + take, a + take
-                if n == size:
-                    yield joined()
-                    held, n = [], 0
-    if held:
-        yield joined()
-
-
 def _stacked(column: pa.Array, kind: type) -> np.ndarray:
     """The vectors of a binary column as rows of doubles."""
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64, copy=False)
@@ -131,17 +103,12 @@ def _coded(seed: int) -> Run:
     return run
 
 
-def _spread(df: DataFrame, *by: str | Column) -> DataFrame:
-    """Sorted rows, in ranges of about equal size whatever a key's share of the rows."""
-    return df.repartitionByRange(*by).sortWithinPartitions(*by)
-
-
 def _sorted(nodes: DataFrame, seed: int, *more: str) -> DataFrame:
     """``grp, id, short`` and the columns ``more`` of the nodes, sorted by group and code."""
     types = {f.name: f.dataType.simpleString() for f in nodes.schema}
     names = ["grp", "id", "short", *more]
     coded = nodes.select(*names).mapInArrow(_coded(seed), ", ".join(f"{n} {types[n]}" for n in names) + ", code long")
-    return _spread(coded, "grp", "code", F.xxhash64(F.lit(seed), "id")).drop("code")
+    return spread(coded, "grp", "code", F.xxhash64(F.lit(seed), "id")).drop("code")
 
 
 def _leaders(least: float, kind: pa.DataType) -> Run:
@@ -301,8 +268,8 @@ def blocks(rows: DataFrame, width: int) -> DataFrame:
     """``key, part, ids, leaders, vecs``: the rows (key, id, leader, vec) in blocks of at most BLOCK_BYTES, ``width`` numbers a vector."""
     key, kind = rows.schema["key"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
     packed = _packed(max(64, BLOCK_BYTES // (8 * max(1, width))), arrow_type(rows, "id"))
-    spread = _spread(rows.select("key", "id", "leader", "vec"), "key", F.xxhash64("id"))
-    return written(spread.mapInArrow(packed, f"key {key}, part long, ids array<{kind}>, leaders array<{kind}>, vecs binary"), "blocks")
+    rows = spread(rows.select("key", "id", "leader", "vec"), "key", F.xxhash64("id"))
+    return written(rows.mapInArrow(packed, f"key {key}, part long, ids array<{kind}>, leaders array<{kind}>, vecs binary"), "blocks")
 
 
 def meetings(a: DataFrame, b: DataFrame, which: Column | None = None) -> DataFrame:

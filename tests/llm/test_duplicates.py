@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from apertura.llm import components, superminhash, vector_neighbours
+from apertura.llm import components, shared, superminhash, vector_neighbours
 
 from .helpers import DOCUMENTS, component_of, near_links
 
@@ -173,3 +174,23 @@ def test_near_vectors_of_nothing(spark):
     assert vector_neighbours.near_vectors(empty).count() == 0
     odd = spark.createDataFrame([(None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1)], empty.schema)
     assert sorted((r["vec_id"] or 0, r["n_links"], r["kept"]) for r in vector_neighbours.near_vectors(odd).collect()) == [(0, 0, True), (1, 0, True), (1, 0, True)]
+
+
+def test_runs_keep_keys_apart_and_sizes_bounded():
+    rng = random.Random(3)
+    keys = sorted(rng.choices("abcde", k=300))
+    weights = [rng.randint(1, 9) for _ in keys]
+    table = pa.table({"key": keys, "w": weights, "at": range(300)})
+    for size, by in ((7, None), (12, 1), (1, 1)):
+        found = list(shared.runs(iter(table.to_batches(max_chunksize=11)), size, by))
+        assert [x for r in found for x in r.column(2).to_pylist()] == list(range(300))
+        for r in found:
+            assert len(set(r.column(0).to_pylist())) == 1
+            assert r.num_rows == 1 or (sum(r.column(1).to_pylist()) if by else r.num_rows) <= size
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    docs = spark.createDataFrame([(5, "a b c d e f"), (5, "k l m n o p"), (3, "a b c d e f"), (7, "k l m n o p"), (8, "z")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in superminhash.near_duplicates(docs).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (8, 8, True)]
+    assert sorted(r["doc_id"] for r in superminhash.first_of_each(docs).collect()) == [3, 8]
