@@ -1,12 +1,16 @@
 """Uniform shuffle into shards of exact sizes, by a hypergeometric communication matrix (operator 9).
 
-The rows are first dealt by a hash into P source parts. A P x F matrix says how many rows each part sends
-to each of F fine shards; it is drawn from the multivariate hypergeometric distribution, so that its
-margins are exact and it is distributed as under a uniform shuffle of all rows. Each part ranks its rows
-by a random key (the local permutation) and cuts the ranks at the matrix's cumulative counts (the
-exchange); each fine shard ranks what it got by a second random key. A shard is a run of fine shards
-whose sizes are known beforehand, so a row's slot needs no further count. Only the P part counts come to
-the driver; P and F are bounded by ``MAX_PARTS``.
+The rows are first dealt by a hash into PARTS source parts. A matrix says how many rows each part sends to
+each fine shard; it is drawn from the multivariate hypergeometric distribution, so that its margins are
+exact and it is distributed as under a uniform shuffle of all rows. Each part ranks its rows by a random
+key (the local permutation) and cuts the ranks at the matrix's cumulative counts (the exchange); each fine
+shard ranks what it got by a second random key. A shard is a run of fine shards whose sizes are known
+beforehand, so a row's slot needs no further count.
+
+Only the counts of the parts come to the driver and only the matrix goes back: PARTS by at most PARTS and a
+shard's worth of numbers, whatever the rows. A part or fine shard of more than ROWS rows is ranked in
+ranges of its random keys: counts of the ranges, added up, tell the ranks at which they begin, so that the
+rows a task sorts don't grow with the table.
 """
 
 from __future__ import annotations
@@ -14,13 +18,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that a part or fine shard holds at first; beyond MAX_PARTS parts they hold more.
-ROWS_A_PART = 200
-MAX_PARTS = 2048
+#: Source parts, and fine shards at most (or as many as shards); rows of a range that is ranked at once.
+PARTS = 512
+ROWS = 4096
 SEED = 20240
 
 
@@ -73,43 +77,67 @@ def fine_sizes(n: int, shards: int, fine: int) -> list[int]:
     return out
 
 
+def _ranked(df: DataFrame, group: str, key: Column, ties: list[str], largest: int, name: str) -> DataFrame:
+    """``df`` with the rank, from 1, of each row in its group by a hash key that is spread evenly.
+
+    Groups of up to ``largest`` rows are cut into ranges of about ROWS rows by the key's leading bits.
+    """
+    bits = max(0, math.ceil(math.log2(max(1, largest) / ROWS)))
+    within = [F.col(group)]
+    if bits:
+        df = df.withColumn("__sub", F.shiftrightunsigned(key, 64 - bits))
+        counts = df.groupBy(group, "__sub").agg(F.count("*").alias("__here"))
+        upto = Window.partitionBy(group).orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
+        before = counts.select(group, "__sub", F.coalesce(F.sum("__here").over(upto), F.lit(0)).alias("__before"))
+        df = df.join(before, [group, "__sub"])
+        within.append(F.col("__sub"))
+    rank = F.row_number().over(Window.partitionBy(*within).orderBy(key, *ties)).cast("long")
+    return df.withColumn(name, rank + F.col("__before") if bits else rank).drop("__sub", "__before")
+
+
+def _place(ends: Column, rank: Column, size: int) -> Column:
+    """How many of the ascending ``ends`` are below the rank, by halving."""
+    steps = [1 << k for k in reversed(range(size.bit_length()))]
+    below = lambda at, step: F.coalesce(F.get(ends, at + step - 1) < rank, F.lit(False))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: at + F.when(below(at, step), step).otherwise(0))
+
+
 def shuffled(df: DataFrame, ident: list[str], shards: int = 40, seed: int = SEED) -> DataFrame:
     """``df`` with ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 in each shard).
 
     ``ident`` names the columns that tell rows apart; rows equal in all of them are interchangeable, and
-    which of them gets which place is not defined. Nulls are values like any other. An empty table gives
-    an empty result. Columns ``shard`` and ``slot`` of the input are replaced.
+    which of them gets which place is not defined. Nulls are values like any other; very long values are
+    only hashed and carried along. An empty table gives an empty result. Columns ``shard`` and ``slot`` of
+    the input are replaced; all others are kept, whatever their names.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    df = df.drop("shard", "slot")
-    spark, n = df.sparkSession, df.count()
-    parts = min(MAX_PARTS, max(1, math.ceil(n / ROWS_A_PART)))
-    fine = max(1, parts // shards)
-    part = F.pmod(F.xxhash64(F.lit(seed), *ident), F.lit(parts)).cast("int")
-    counts = {r[0]: r[1] for r in df.select(part.alias("p")).groupBy("p").count().collect()}
-    sizes = fine_sizes(sum(counts.values()), shards, fine)
-    here = sorted(counts)
+    names = [c for c in df.columns if c not in ("shard", "slot")]
+    rows = df.select(F.xxhash64(F.lit(seed), *ident).alias("__p"), F.xxhash64(F.lit(seed + 1), *ident).alias("__h"), F.struct(*names).alias("__row"))
+    rows = rows.withColumn("__p", F.pmod("__p", F.lit(PARTS)).cast("int"))
+    counts = {r[0]: r[1] for r in rows.groupBy("__p").count().collect()}
+    n, here = sum(counts.values()), sorted(counts)
+    fine = max(1, min(PARTS, math.ceil(n / ROWS)) // shards)
+    sizes = fine_sizes(n, shards, fine)
     matrix = communication_matrix([counts[p] for p in here], sizes, seed)
     schema = T.StructType([T.StructField("__p", T.IntegerType()), T.StructField("__ends", T.ArrayType(T.LongType()))])
-    ends = spark.createDataFrame([(p, np.cumsum(row).tolist()) for p, row in zip(here, matrix, strict=True)], schema)
+    ends = df.sparkSession.createDataFrame([(p, np.cumsum(row).tolist()) for p, row in zip(here, matrix, strict=True)], schema)
     starts, at = [], 0
     for k, size in enumerate(sizes):
         at = 0 if k % fine == 0 else at
         starts.append(at)
         at += size
-    local = Window.partitionBy("__p").orderBy(F.xxhash64(F.lit(seed + 1), *ident), *ident)
-    again = Window.partitionBy("__fine").orderBy(F.xxhash64(F.lit(seed + 2), "__p", "__r"), "__p", "__r")
+    ties = [f"__row.{c}" for c in ident]
+    ranked = _ranked(rows, "__p", F.col("__h"), ties, max(counts.values(), default=0), "__r")
+    # At most PARTS rows of as many numbers are broadcast.
+    sent = ranked.join(F.broadcast(ends), "__p").withColumn("__fine", _place(F.col("__ends"), F.col("__r"), len(sizes))).drop("__ends")
+    sent = sent.withColumn("__h", F.xxhash64(F.lit(seed + 2), "__p", "__r"))
+    again = _ranked(sent, "__fine", F.col("__h"), ["__p", "__r"], max(sizes), "__again")
     start = F.array(*map(F.lit, starts)) if len(starts) <= 64 else F.from_json(F.lit(str(starts)), T.ArrayType(T.LongType()))
-    return (
-        df.withColumn("__p", part)
-        .withColumn("__r", F.row_number().over(local))
-        .join(ends, "__p")
-        .withColumn("__fine", F.size(F.filter("__ends", lambda end: end < F.col("__r"))))
-        .drop("__ends")
-        .withColumn("shard", F.floor(F.col("__fine") / fine).cast("int"))
-        .withColumn("slot", (F.get(start, F.col("__fine")) + F.row_number().over(again) - 1).cast("long"))
-        .drop("__p", "__r", "__fine")
+    return again.select(
+        *[F.col("__row")[c].alias(c) for c in names],
+        F.floor(F.col("__fine") / fine).cast("int").alias("shard"),
+        (F.get(start, F.col("__fine")) + F.col("__again") - 1).cast("long").alias("slot"),
     )
 
 
@@ -128,6 +156,8 @@ def shard_digest(docs: DataFrame, shards: int = 40, seed: int = SEED) -> DataFra
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, seed: int = SEED) -> DataFrame:
-    """All columns of ``docs`` with ``shard`` and ``slot``, as shuffled() gives them."""
-    keyed = docs.withColumn("__crc", F.crc32(F.col("text")))
-    return shuffled(keyed, ["doc_id", "__crc"], shards, seed).drop("__crc")
+    """All columns of ``docs`` with ``shard`` and ``slot``, as shuffled() gives them; rows are told apart by id and text."""
+    packed = docs.select("doc_id", F.crc32(F.col("text")).alias("crc"), F.struct("*").alias("row"))
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    out = shuffled(packed, ["doc_id", "crc"], shards, seed)
+    return out.select(*[F.col("row")[c].alias(c) for c in names], "shard", "slot")
