@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 12
-#: The classifier is fitted on at most this many labelled documents, those with the smallest hashes of
-#: their ids in each language alike, and on at most this many windows of each.
+#: The classifier is fitted on at most this many labelled documents, those with the smallest hashes in each
+#: language alike, but one of every language at least, and on at most this many windows of each.
 SAMPLE_DOCS = 1600
 SAMPLE_WINDOWS = 4
 SEED = 11
@@ -95,18 +95,20 @@ def gradients(net: Net, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.nd
     return loss, [d_embed, *d_filters, d_pre.sum(axis=0), hidden.T @ p, p.sum(axis=0)]
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = 12, batch: int = 64, rate: float = 4e-3, seed: int = SEED) -> Net | None:
-    """Fits the network with Adam; some windows are cut short, so that short texts are known too. None without labels."""
+def drawn(data: bytes, seed: int) -> np.ndarray:
+    """Some of the text's windows, by chance."""
+    rows = windows(data)
+    return rows[np.random.default_rng(seed & (2**63 - 1)).permutation(len(rows))[:SAMPLE_WINDOWS]]
+
+
+def train(samples: list[np.ndarray], labels: list[str], epochs: int = 12, batch: int = 64, rate: float = 4e-3, seed: int = SEED) -> Net | None:
+    """Fits the network with Adam to the windows of labelled texts; some are cut short, so that short texts are known too. None without labels."""
     langs = sorted(set(labels))
     if not langs:
         return None
-    rng, xs, ys = np.random.default_rng(seed), [], []
-    for data, label in zip(texts, labels, strict=True):
-        rows = windows(data)
-        for k in rng.permutation(len(rows))[:SAMPLE_WINDOWS]:
-            xs.append(rows[k])
-            ys.append(langs.index(label))
-    x, y, net = np.array(xs), np.array(ys), new_net(langs, rng)
+    rng, number = np.random.default_rng(seed), {lang: k for k, lang in enumerate(langs)}
+    x, y = np.concatenate(samples), np.repeat([number[lang] for lang in labels], [len(rows) for rows in samples])
+    net = new_net(langs, rng)
     first = [np.zeros_like(p) for p in net.params()]
     second, step = [np.zeros_like(p) for p in net.params()], 0
     for _ in range(epochs):
@@ -153,25 +155,35 @@ class Reader:
 
 
 def fitted(docs: DataFrame) -> Net | None:
-    """The network for ``docs``, from labelled rows outside the held-out fold; a bounded sample comes to the driver."""
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("text") != "")).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_DOCS).select("lang").collect()]
-    each = max(1, SAMPLE_DOCS // max(1, len(langs)))
-    texts, labels = [], []
-    for lang in sorted(langs):
-        few = known.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(each)
-        rows = known.where(F.col("lang") == lang).join(F.broadcast(few.distinct()), "doc_id").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "text").limit(each)
-        for row in rows.select("text").collect():
-            texts.append(row[0].encode())
-            labels.append(lang)
-    return train(texts, labels)
+    """The network for ``docs``, from labelled rows outside the held-out fold.
+
+    Windows of a bounded sample come to the driver, drawn where the texts are; equal rows count once. The
+    scans are as many whatever the languages.
+    """
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("text") != "")).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(SEED), "doc_id", "text").alias("h"))
+    distinct = known.select("lang", "h").distinct()
+    each = max(1, SAMPLE_DOCS // max(1, distinct.select("lang").distinct().count()))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    few = distinct.withColumn("n", rank).where(F.col("n") <= each).drop("n")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [drawn(text.encode(), h).tobytes() for h, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["lang", "h", "windows"])
+
+    # The sample has at most SAMPLE_DOCS rows, or one of each language.
+    rows = known.join(F.broadcast(few), ["lang", "h"]).select("lang", "h", "text").mapInArrow(draw, "lang string, h long, windows binary")
+    got = sorted(map(tuple, rows.groupBy("lang", "h").agg(F.min("windows").alias("windows")).collect()))
+    return train([np.frombuffer(bytes(r[2]), np.uint8).reshape(-1, WINDOW) for r in got], [r[0] for r in got])
 
 
 def identified(docs: DataFrame, net: Net | None = None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every document; the score is its language's mean probability.
 
     A null text or one without a letter is ``und`` with score 0, as is everything where no row is labelled.
-    A null doc_id counts as held out; repeated ids are rows of their own; other columns are ignored.
+    A null doc_id counts as held out; repeated ids are rows of their own; a tie of languages goes to the
+    first by name; very long texts are read whole, window by window; an empty table gives an empty result;
+    other columns are ignored.
     """
     net = net or fitted(docs)
 
@@ -189,16 +201,17 @@ def with_language(docs: DataFrame, net: Net | None = None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score`` (as ``identified`` gives them), which replace columns of those names."""
     net = net or fitted(docs)
     docs = docs.drop("lang_pred", "lang_score")
+    place = docs.columns.index("text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(net) if net else None
         for batch in batches:
-            langs, scores = predictions(reader, batch.column(batch.num_columns - 1))
-            columns = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "lang_score"])
+            langs, scores = predictions(reader, batch.column(place).cast(pa.string()))
+            columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "lang_score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return docs.withColumn("__text", docs["text"].cast("string")).mapInArrow(read, schema)
+    return docs.mapInArrow(read, schema)
 
 
 def predictions(reader: Reader | None, texts: pa.Array) -> tuple[list[str], list[float]]:
