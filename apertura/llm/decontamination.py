@@ -1,11 +1,15 @@
 """Benchmark decontamination: rare-word seeds, then Smith-Waterman alignment of words (operator 8).
 
-Items are taken in blocks of bounded size. For a block, a first pass over the documents counts in how many
-each word of its items occurs. A copy that reaches the least score matches at least that share of the item's
-words, so of the rarest places beyond the others it matches one at least: those are the item's seeds, and no
-copy is without one, however its words were replaced, put in or left out. A second pass joins the documents'
-words with the seeds, leaves out the items of which too few words and word pairs are near each other for the
-least score, and aligns the rest. Nothing is shuffled but the counts.
+First the documents that hold each word are counted. A copy that reaches the least score matches at least
+that share of the item's words, so of the rarest places beyond the others it matches one at least: those are
+the item's seeds, and no copy is without one, however its words were replaced, put in or left out. Documents
+are joined with the seeds by word, items of which too few words and word pairs are near each other for the
+least score are left out, and the rest is aligned.
+
+Items up to BLOCK_ITEMS and BLOCK_BYTES travel to the tasks, so that the join needs no shuffle: one pass
+counts and one joins and aligns. More items stay tables: words are counted over all documents, and pairs of
+word and document meet the seeds in one shuffled join whatever the number of items; the documents and items
+of the pairs that come out are aligned, grouped by document.
 """
 
 from __future__ import annotations
@@ -15,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from apertura.llm.tokens import mix, words
+from apertura.llm.shared import arrow_type, written
+from apertura.llm.tokens import Words, mix, words
 
 #: Alignment: a match, a replaced word, a word put in or left out.
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -26,7 +31,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
 #: What parts two runs of matched words at least.
 APART = min(-MISMATCH, -GAP)
-#: Items of a block and bytes of their texts.
+#: So many items, and bytes of their texts, travel to the tasks.
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
 #: Bytes of documents that are worked on at a time.
@@ -161,68 +166,151 @@ def _bytes(df: DataFrame):  # noqa: ANN202
     return F.lower(df["text"].cast("string")).cast("binary")
 
 
-def item_blocks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Iterator[Items]:
-    """The items with their seeds, a bounded block at a time; items without words are in none."""
-    kept = benchmark.where("text is not null").select("item_id", _bytes(benchmark).alias("text"))
-    count, size = kept.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(-(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES), 1)
-    for k in range(blocks):
-        rows = kept.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        w = words([bytes(r[1]) for r in rows], letters=True)
-        vocabulary, own = np.unique(w.hashes, return_inverse=True)
-        if not len(own):
-            continue
-
-        def count_words(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray = vocabulary) -> Iterator[pa.RecordBatch]:
-            totals = np.zeros(len(vocabulary), np.int64)
-            for batch in batches:
-                for _, doc in _documents(batch, 0):
-                    at = np.minimum(np.searchsorted(vocabulary, doc), len(vocabulary) - 1)
-                    totals[np.unique(at[vocabulary[at] == doc])] += 1
-            there = np.flatnonzero(totals)
-            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(totals[there])], ["word", "n"])
-
-        counts = np.zeros(len(vocabulary), np.int64)
+def _with_pairs(ids: list, w: Words, counts_of, least: float) -> Items:  # noqa: ANN001
+    """Items of the words, given the counts of documents of a sorted vocabulary."""
+    vocabulary, own = np.unique(w.hashes, return_inverse=True)
+    two = pairs(own)
+    two[w.starts[1:][np.diff(w.starts) > 0] - 1] = 0
+    return Items(ids, w.starts, own, vocabulary, *seeds(w.starts, own, counts_of(vocabulary), least), two)
+
+
+def small_items(docs: DataFrame, items: DataFrame, least: float) -> Items:
+    """The items, of bounded number and size, with their seeds; one pass over the documents counts the words."""
+    rows = items.collect()
+    w = words([bytes(r[1]) for r in rows], letters=True)
+    known = np.unique(w.hashes)
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(len(known), np.int64)
+        for batch in batches:
+            for _, doc in _documents(batch, 0):
+                at = np.minimum(np.searchsorted(known, doc), len(known) - 1)
+                totals[np.unique(at[known[at] == doc])] += 1
+        there = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(totals[there])], ["word", "n"])
+
+    counts = np.zeros(len(known), np.int64)
+    if len(known):
         for word, n in docs.select(_bytes(docs).alias("text")).mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n")).collect():
             counts[word] = n
-        two = pairs(own)
-        two[w.starts[1:][np.diff(w.starts) > 0] - 1] = 0
-        yield Items([r[0] for r in rows], w.starts, own, vocabulary, *seeds(w.starts, own, counts, least), two)
+    return _with_pairs([r[0] for r in rows], w, lambda vocabulary: counts, least)
+
+
+def joined_pairs(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """``doc_id, h, item_id, item``: documents (by id and hash of the text) and items that share a seed, found by joins."""
+
+    def document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(doc) for _, doc in _documents(batch, 0)]
+            word, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [doc for _, doc in _documents(batch, 1)]
+            lens = np.array([len(x) for x in own], np.int64)
+            at = pa.array(np.repeat(np.arange(len(own)), lens))
+            flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(flat), pa.array(np.repeat(lens, lens))], ["item", "word", "length"])
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(doc) for _, doc in _documents(batch, 2)]
+            at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(flat)], ["doc_id", "h", "word"])
+
+    of_items = items.select(F.xxhash64("item_id", "text").alias("item"), "text").distinct().mapInArrow(item_words, "item long, word long, length long")
+    vocabulary = of_items.select("word").distinct()
+    counts = docs.select(_bytes(docs).alias("text")).mapInArrow(document_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).join(vocabulary, "word", "left_semi")
+    spare = F.col("length") - F.greatest(F.ceil(F.lit(least) * F.col("length") - 1e-9), F.lit(1)) + 1
+    order = Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "word")
+    seed = of_items.join(counts, "word", "left").withColumn("place", F.row_number().over(order)).where(F.col("place") <= spare).select("item", "word").distinct()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    hits = docs.select("doc_id", _hash(docs).alias("h"), _bytes(docs).alias("text")).mapInArrow(seen, f"doc_id {kind}, h long, word long")
+    return hits.join(seed, "word").select("doc_id", "h", "item").distinct()
+
+
+def _hash(docs: DataFrame):  # noqa: ANN202
+    return F.xxhash64(docs["text"].cast("string"))
+
+
+def joined_leaks(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """The rows of contaminated() with the hash ``h`` of the text, for any number of items."""
+    found = written(joined_pairs(docs, items, least), "pairs")
+    texts = items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", F.col("text").alias("item_text"))
+    # The items of a document are at most those that share a seed with it; their texts are short beside the document's.
+    per = found.join(texts, "item").groupBy("doc_id", "h").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+    same = docs.select("doc_id", _hash(docs).alias("h"), _bytes(docs).alias("text"))
+    both = same.join(per.withColumnsRenamed({"doc_id": "d", "h": "e"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("e"))).select("doc_id", "h", "text", "items")
+    types = (docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString())
+    kind = arrow_type(items, "item_id")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for k, doc in _documents(batch, 2):
+                own = batch.column(3)[k].as_py()
+                w = words([x["item_text"] for x in own], letters=True)
+                # Any choice of as many places keeps every copy; here the rare words of the document are as good as any.
+                items_here = _with_pairs([x["item_id"] for x in own], w, lambda v: np.zeros(len(v), np.int64), least)
+                out += [(k, items_here.ids[i], *rest) for i, *rest in leaks(doc, items_here, least)]
+            of, ids, share, start, end, n = zip(*out, strict=True) if out else [[]] * 6
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(ids, kind), *map(pa.array, (share, start, end, n), (pa.float64(), *[pa.int64()] * 3))], ["doc_id", "h", *COLUMNS])
+
+    return both.mapInArrow(find, f"doc_id {types[0]}, h long, item_id {types[1]}, score double, start_word long, end_word long, n_seeds long")
+
+
+COLUMNS = ["item_id", "score", "start_word", "end_word", "n_seeds"]
+
+
+def few(items: DataFrame) -> bool:
+    """Whether the items are few and small enough to travel to the tasks."""
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return count <= BLOCK_ITEMS and size <= BLOCK_BYTES
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """``doc_id, item_id, score, start_word, end_word, n_seeds``: a row for each document and item that it holds a copy of.
 
-    The best place counts. Words are runs of letters and digits in lower case. Null and wordless texts hold
-    and are nothing; null ids are carried along; rows with the same id report for themselves. Other columns
-    are ignored.
+    The best place counts, the first of equal ones. Words are runs of letters and digits in lower case. Null
+    and wordless texts hold and are nothing; null ids are carried along; rows with the same id, of either
+    table, report for themselves. Very long texts are read whole and aligned only around places that may
+    hold a copy. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     types = (docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString())
     schema = f"doc_id {types[0]}, item_id {types[1]}, score double, start_word long, end_word long, n_seeds long"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for items in item_blocks(docs, benchmark, least):
-
-        def find(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(k, *x) for k, doc in _documents(batch, 1) for x in leaks(doc, items, least)]
-                of, i, share, start, end, count = zip(*rows, strict=True) if rows else [[]] * 6
-                ids = batch.column(0).take(pa.array(of, pa.int64()))
-                kinds = (pa.float64(), pa.int64(), pa.int64(), pa.int64())
-                item_ids = pa.array([items.ids[x] for x in i], pa.int64() if types[1] == "bigint" else None)
-                yield pa.RecordBatch.from_arrays([ids, item_ids, *map(pa.array, (share, start, end, count), kinds)], ["doc_id", "item_id", "score", "start_word", "end_word", "n_seeds"])
-
-        out = out.unionByName(docs.select("doc_id", _bytes(docs).alias("text")).mapInArrow(find, schema))
-    return out
+    items = benchmark.where("text is not null").select("item_id", _bytes(benchmark).alias("text"))
+    if not few(items):
+        return joined_leaks(docs, items, least).drop("h")
+    known, kind = small_items(docs, items, least), arrow_type(benchmark, "item_id")
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, *x) for k, doc in _documents(batch, 1) for x in leaks(doc, known, least)]
+            of, i, share, start, end, count = zip(*rows, strict=True) if rows else [[]] * 6
+            ids = batch.column(0).take(pa.array(of, pa.int64()))
+            kinds = (pa.float64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array([known.ids[x] for x in i], kind), *map(pa.array, (share, start, end, count), kinds)], ["doc_id", *COLUMNS])
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` that hold no copy of an item."""
-    for items in item_blocks(docs, benchmark, least):
+    return docs.select("doc_id", _bytes(docs).alias("text")).mapInArrow(find, schema)
 
-        def keep(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = [not leaks(doc, items, least) for _, doc in _documents(batch, batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.withColumn("__lower", _bytes(docs)).mapInArrow(keep, docs.schema)
-    return docs
+def clean_documents(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` that hold no copy of an item; ids, texts and columns as for contaminated()."""
+    items = benchmark.where("text is not null").select("item_id", _bytes(benchmark).alias("text"))
+    if not few(items):
+        dirty = joined_leaks(docs, items, least).select(F.col("doc_id").alias("d"), F.col("h").alias("e")).distinct()
+        packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own"), F.coalesce(_hash(docs), F.lit(0)).alias("h"))
+        left = packed.join(dirty, F.col("own").eqNullSafe(F.col("d")) & (F.col("h") == F.col("e")), "left_anti")
+        return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    known, names = small_items(docs, items, least), docs.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [not leaks(doc, known, least) for _, doc in _documents(batch, 1)]
+            rows = batch.filter(pa.array(clean, pa.bool_())).column(0)
+            yield pa.RecordBatch.from_arrays(rows.flatten(), names)
+
+    return docs.select(F.struct("*").alias("row"), _bytes(docs).alias("text")).mapInArrow(keep, docs.schema)
