@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns and a token-efficiency test (operator 10).
 
 A byte-pair vocabulary made from ordinary text spends few characters a token on random strings. Runs of
-key characters that are long enough, hold digits or capitals among small letters, and have a low
-characters-per-token ratio are reported as kind ``token``, unless they are digests of usual lengths, UUIDs
-or plain numbers.
+key characters with a low characters-per-token ratio are reported as kind ``token``, unless they are digests
+of usual lengths, UUIDs or plain numbers. Where a run as a whole is efficient, what is between its ``=``
+signs, then between slashes, then between other marks is tested by itself, and at last overlapping windows
+of it, so that words beside a random string don't hide it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,29 +26,52 @@ CUES = ("passw", "secret", "token", "api")
 #: Strings that the token-efficiency test looks at, and those it leaves out: digests, UUIDs, numbers.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 KNOWN = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9+/_=-]+)", re.I)
+HELD = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})(?![0-9A-Za-z])", re.I)
+#: What parts a run, tried one after the other.
+MARKS = ("=", "/", "+_-")
+SHORTEST = 16
+#: Windows of parts that are as long at least.
+WINDOW, STEP = 32, 8
 KINDS = ("assign", "access", "hex", "token")
-#: Characters a token at most: for runs of letters and digits, and for those of small and capital letters.
+#: Characters a token at most: of runs with digits, with both cases, and of letters of one case (words may
+#: begin with a capital), which need to be longer, as words come near.
 MOST_PER_TOKEN = 2.0
-MOST_WITHOUT_DIGITS = 1.6
+MOST_OF_BOTH_CASES = 1.6
+MOST_OF_ONE_CASE, SHORTEST_OF_ONE_CASE = 1.75, 20
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split of text into pieces that public byte-level vocabularies are used with, for ASCII.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+"""
-#: No piece sent to the tokenizer is longer: its work grows with the square of a piece.
-PIECE = 256
 
 
 @functools.lru_cache(maxsize=2)
-def encoding(vocabulary: str):  # noqa: ANN201
+def encoding(ranks: bytes):  # noqa: ANN201
+    """The tokenizer of a vocabulary file's content."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("secret-scan", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+    table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
+    return tiktoken.Encoding("secret-scan", pat_str=PIECES, mergeable_ranks=table, special_tokens={})
 
 
-def per_token(run: str, vocabulary: str = VOCABULARY) -> float:
-    enc = encoding(vocabulary)
-    return len(run) / max(1, sum(len(enc.encode_ordinary(run[i : i + PIECE])) for i in range(0, len(run), PIECE)))
+def known_vocabulary(path: str = VOCABULARY) -> bytes:
+    """The content of a vocabulary file; it is read where the query is built and travels to the tasks."""
+    return Path(path).read_bytes()
+
+
+def per_token(run: str, ranks: bytes) -> float:
+    return len(run) / max(1, len(encoding(ranks).encode_ordinary(run)))
+
+
+def inefficient(part: str, ranks: bytes) -> bool:
+    """Whether the vocabulary spends more tokens on the part than it would on words."""
+    if re.search("[0-9]", part):
+        most = MOST_PER_TOKEN
+    elif re.search("[a-z]", part) and re.search("[A-Z]", part[1:]):
+        most = MOST_OF_BOTH_CASES
+    elif len(part) >= SHORTEST_OF_ONE_CASE:
+        most = MOST_OF_ONE_CASE
+    else:
+        return False
+    return per_token(part, ranks) <= most
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -60,20 +85,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def token_spans(text: str, vocabulary: str = VOCABULARY) -> list[tuple[int, int, int]]:
-    found = []
+def token_spans(text: str, ranks: bytes) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the inefficient runs or, where a run as a whole isn't one, of its inefficient parts."""
+    found: list[tuple[int, int, int]] = []
+
+    def test(start: int, end: int, level: int) -> None:
+        part = text[start:end]
+        if end - start < SHORTEST or KNOWN.fullmatch(part):
+            return
+        if not HELD.search(part) and inefficient(part, ranks):
+            found.append((start, 3, end))
+        elif level < len(MARKS):
+            for m in re.finditer(f"[^{MARKS[level]}]+", part):
+                test(start + m.start(), start + m.end(), level + 1)
+        elif end - start > WINDOW:
+            spans: list[list[int]] = []
+            for at in [*range(start, end - WINDOW, STEP), end - WINDOW]:
+                if inefficient(text[at : at + WINDOW], ranks):
+                    if spans and at <= spans[-1][1]:
+                        spans[-1][1] = at + WINDOW
+                    else:
+                        spans.append([at, at + WINDOW])
+            found.extend((a, 3, b) for a, b in spans)
+
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if KNOWN.fullmatch(run):
-            continue
-        if re.search("[0-9]", run):
-            most = MOST_PER_TOKEN
-        elif re.search("[a-z]", run) and re.search("[A-Z]", run[1:]):
-            most = MOST_WITHOUT_DIGITS
-        else:
-            continue
-        if per_token(run, vocabulary) <= most:
-            found.append((m.start(), 3, m.end()))
+        test(m.start(), m.end(), 0)
     return found
 
 
@@ -85,8 +121,10 @@ def scanned(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """A row for every document with its counts and spans; start and end in code points, end exclusive.
 
     A null text counts as empty and has no spans. A run of the same string may be reported under several
-    kinds. Null or repeated doc_ids are kept; other columns are ignored.
+    kinds. Null or repeated doc_ids are kept; very long texts and runs are read whole; an empty table gives
+    an empty result; other columns are ignored. Without a file at ``vocabulary`` the call fails.
     """
+    ranks = docs.sparkSession.sparkContext.broadcast(known_vocabulary(vocabulary))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +133,7 @@ def scanned(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 text = text.as_py() or ""
                 base = base_spans(text)
                 kinds = [kind for _, kind, _ in base]
-                row = (*map(kinds.count, range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + token_spans(text, vocabulary))))
+                row = (*map(kinds.count, range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + token_spans(text, ranks.value))))
                 for col, value in zip(cols, row, strict=True):
                     col.append(value)
             kind = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
