@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,7 +52,7 @@ RULES = (
     Rule("net", "/es/", "block"),
     Rule("net", "/fr/", "block"),
 )
-#: Rule sets up to this size travel inside the plan; larger ones are joined by token.
+#: Rule sets up to this size travel inside the plan; larger ones are a table that is joined by token. Both are filed by the rarest token.
 INLINE_RULES = 2000
 
 
@@ -70,10 +70,10 @@ def tokens_of(host: Column, path: Column) -> Column:
 
 
 def rarest_tokens(parsed: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[Rule]]:
-    """The rules by the token they are filed under; '' has those without one. Brings a count for each rule token to the driver."""
+    """The rules, of bounded number, by the token they are filed under; '' has those without one. Brings a count for each rule token to the driver."""
     words = sorted({t for rule in rules for t in rule.tokens()})
     counts = {}
-    if words and len(words) <= 8 * INLINE_RULES:
+    if words:
         hit = F.explode(F.array_intersect("__tokens", F.array(*map(F.lit, words)))).alias("t")
         counts = {r[0]: r[1] for r in parsed.select(hit).groupBy("t").count().collect()}
     filed: dict[str, list[Rule]] = {}
@@ -83,22 +83,34 @@ def rarest_tokens(parsed: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[
     return filed
 
 
+def rule_index(spark: SparkSession, parsed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The rules as a table with the ``token`` each is filed under, counted among the URLs by joins; '' for those without one."""
+    rows = [(k, r.tokens(), len(r.name), len(r.host), r.name, r.verdict, r.pattern) for k, r in enumerate(rules)]
+    table = spark.createDataFrame(rows, "k long, tokens array<string>, len int, host_len int, rule string, verdict string, pattern string")
+    named = table.select("k", F.explode("tokens").alias("t"))
+    counts = parsed.select(F.explode("__tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).join(named.select("t").distinct(), "t", "left_semi")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("t")).alias("short"), "t"))["t"].alias("token")
+    filed = named.join(counts, "t", "left").groupBy("k").agg(rarest)
+    return table.join(filed, "k", "left").withColumn("token", F.coalesce("token", F.lit(""))).drop("k", "tokens")
+
+
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = "allow") -> DataFrame:
     """``page_id, host, path, rule, verdict`` for every row.
 
     The longest fitting rule wins (of equal length, the longer host, then the larger name); a URL that no
-    rule fits gets ``default``. A null URL or one without ``://`` has an empty host and path. Null or
-    repeated page_ids are kept as they are; other columns are ignored.
+    rule fits gets ``default``. A null URL or one without ``://`` has an empty host and path; very long URLs
+    are read whole. Null or repeated page_ids are kept as they are; an empty table gives an empty result;
+    other columns are ignored, whatever their names.
     """
     url = F.col("url").cast("string")
     parsed = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     parsed = parsed.withColumn("__tokens", tokens_of(F.col("host"), F.col("path")))
-    filed = rarest_tokens(parsed, rules)
     entry = lambda r: F.struct(
         F.lit(len(r.name)).alias("len"), F.lit(len(r.host)).alias("host_len"), F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern")
     )
     subject = F.concat("host", F.lit("\x00"), "path")
     if len(rules) <= INLINE_RULES:
+        filed = rarest_tokens(parsed, rules)
         always = F.array(*map(entry, filed[""])) if "" in filed else None
         index = {t: rs for t, rs in filed.items() if t}
         found = always
@@ -112,15 +124,12 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = "al
             best = F.array_max(F.filter(found, lambda r: F.rlike(subject, r["pattern"])))
         out = parsed.withColumn("__best", best)
     else:
-        out = _by_join(parsed, filed, subject)
+        out = _by_join(parsed, rule_index(pages.sparkSession, parsed, rules), subject)
     return out.select("page_id", "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
 
 
-def _by_join(parsed: DataFrame, filed: dict[str, list[Rule]], subject: Column) -> DataFrame:
+def _by_join(parsed: DataFrame, index: DataFrame, subject: Column) -> DataFrame:
     """The same for many rules: URL tokens joined with the rule table, then the best rule of each distinct URL."""
-    spark = parsed.sparkSession
-    rows = [(t, len(r.name), len(r.host), r.name, r.verdict, r.pattern) for t, rs in filed.items() for r in rs]
-    index = spark.createDataFrame(rows, "token string, len int, host_len int, rule string, verdict string, pattern string")
     urls = parsed.select("host", "path", "__tokens").distinct()
     tokens = urls.withColumn("token", F.explode(F.array_union("__tokens", F.array(F.lit("")))))
     best = (
