@@ -1,8 +1,9 @@
 """Quality classifier by attention-based multiple-instance learning (operator 4).
 
 A document is a bag of passages of PASSAGE bytes. A passage is encoded from how often each kind of byte
-follows each other kind, its length, and how many of its document's words repeat the one before; a gated attention (Ilse et al., 2018) weighs the encodings, and the weighted mean
-is scored. Only the documents' labels train it, in numpy.
+follows each other kind, its length, and how many of its words repeat the one before; a gated attention
+(Ilse et al., 2018) weighs the encodings, and the weighted mean is scored. Only the documents' labels train
+it, in numpy.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ PASSAGE = 512
 KINDS = 16
 FEATURES = KINDS * KINDS + 3
 HIDDEN, GATE = 24, 12
-#: The classifier is fitted on at most this many labelled documents, those with the smallest hashes of their ids.
+#: The classifier is fitted on at most this many labelled documents, those with the smallest hashes of their
+#: ids, one row of each, and on at most this many passages of a document, spread over its length.
 SAMPLE_DOCS = 3000
+SAMPLE_PASSAGES = 64
 THRESHOLD = 0.3
 SEED = 5
 #: Bytes of text that are encoded at a time.
@@ -58,15 +61,17 @@ def encoded(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     x[:, : KINDS * KINDS] = np.bincount(cell[same], minlength=rows * KINDS * KINDS).reshape(rows, -1)
     size = np.bincount(passage, minlength=rows)
     x[:, : KINDS * KINDS] = np.sqrt(x[:, : KINDS * KINDS] / np.maximum(1, size)[:, None])
-    x[:, -3], x[:, -2], x[:, -1] = repeats(texts)[owner], size / PASSAGE, size == 0
+    x[:, -3], x[:, -2], x[:, -1] = repeats(texts, at, first, rows), size / PASSAGE, size == 0
     return x, owner
 
 
-def repeats(texts: list[bytes]) -> np.ndarray:
-    """The share of each text's words that are the same as the word before."""
+def repeats(texts: list[bytes], at: np.ndarray, first: np.ndarray, rows: int) -> np.ndarray:
+    """The share of each passage's words, by their first bytes, that are the same as the word before in the passage."""
     w = words(texts)
-    same = (w.hashes[1:] == w.hashes[:-1]) & (w.text[1:] == w.text[:-1])
-    return np.bincount(w.text[1:][same], minlength=len(texts)) / np.maximum(1, np.diff(w.starts))
+    # words() sees the texts with a byte between them.
+    passage = first[w.text] + (w.first - at[w.text] - w.text) // PASSAGE
+    same = (w.hashes[1:] == w.hashes[:-1]) & (passage[1:] == passage[:-1])
+    return np.bincount(passage[1:][same], minlength=rows) / np.maximum(1, np.bincount(passage, minlength=rows))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -151,7 +156,7 @@ def fitted(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model | None
     """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     few = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "quality").limit(SAMPLE_DOCS).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = docs.select("doc_id", docs["text"].cast("string").cast("binary").alias("text")).join(F.broadcast(few), "doc_id").select("doc_id", "quality", "text")
+    rows = docs.select("doc_id", docs["text"].cast("string").cast("binary").alias("text")).join(F.broadcast(few), "doc_id").select("doc_id", "quality", "text", F.xxhash64(F.lit(seed), "text").alias("h"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,11 +164,16 @@ def fitted(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model | None
             for part in _bounded(batch.column(2)):
                 x, owner = encoded(part)
                 cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-                packed += [x[a:b].astype(np.float16).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "quality", "x"])
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    some = np.unique(np.linspace(a, b - 1, min(b - a, SAMPLE_PASSAGES)).astype(np.int64))
+                    packed.append(x[some].astype(np.float16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(packed, pa.binary())], ["doc_id", "quality", "h", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(encode, f"doc_id {kind}, quality int, x binary").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "x").collect()
+    passages = rows.mapInArrow(encode, f"doc_id {kind}, quality int, h long, x binary")
+    # However often an id is repeated, one row of it, by the hash of its text, comes to the driver.
+    once = passages.groupBy("doc_id").agg(F.min(F.struct("h", "quality", "x")).alias("s")).select("doc_id", "s.quality", "s.x")
+    got = sorted(once.select(F.xxhash64(F.lit(seed), "doc_id"), "quality", "x").collect(), key=lambda r: (r[0], bytes(r[2])))
     if len({r[1] for r in got}) < 2:
         return None
     bags = [np.frombuffer(bytes(r[2]), np.float16).reshape(-1, FEATURES).astype(np.float64) for r in got]
@@ -173,9 +183,10 @@ def fitted(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model | None
 def scored(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
-    Null and empty texts are one empty passage and get its score. Where there are not labels of both kinds,
-    every score is 0.5. Null ids count as held out; rows with the same id are scored one by one; other
-    columns are ignored.
+    Null and empty texts are one empty passage and get its score; very long texts are read whole, passage by
+    passage. Where there are not labels of both kinds, every score is 0.5. Null ids count as held out; rows
+    with the same id are scored one by one, and one of them, by hash, is learnt from; an empty table gives
+    an empty result; other columns are ignored.
     """
     model = model or fitted(docs, labels)
 

@@ -37,11 +37,15 @@ def powers(n: int) -> np.ndarray:
 
 @dataclass
 class Words:
-    """hashes of all words in order; word k belongs to text ``text[k]``; text i has ``starts[i]:starts[i + 1]``."""
+    """hashes of all words in order; word k belongs to text ``text[k]``; text i has ``starts[i]:starts[i + 1]``.
+
+    ``first[k]`` is the place of its first byte in all texts, one after the other with a byte between them.
+    """
 
     hashes: np.ndarray
     text: np.ndarray
     starts: np.ndarray
+    first: np.ndarray
 
 
 def words(texts: list[bytes | None], *, letters: bool = False) -> Words:
@@ -72,10 +76,10 @@ def words(texts: list[bytes | None], *, letters: bool = False) -> Words:
             firsts.append(first + at)
         at = end
     if not hashes:
-        return Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64))
+        return Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64))
     where = np.concatenate(firsts)
     starts = np.concatenate([[0], np.searchsorted(where, ends_of)])
-    return Words(np.concatenate(hashes), np.repeat(np.arange(len(texts)), np.diff(starts)), starts)
+    return Words(np.concatenate(hashes), np.repeat(np.arange(len(texts)), np.diff(starts)), starts, where)
 
 
 def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
