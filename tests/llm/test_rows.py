@@ -71,11 +71,16 @@ def test_mix_meets_its_budgets(spark, seed):
     assert all(copies[r["doc_id"]] == -(-r["taken"] // max(1, r["size"])) for r in got if r["doc_id"] not in (None, 1002))
 
 
-@pytest.mark.parametrize(("n", "shards"), [(0, 3), (1, 40), (7, 3), (5000, 40), (1000, 1)])
-def test_shards_are_exact_and_gapless(spark, n, shards):
-    df = spark.range(n).select("id", (F.col("id") % 3).alias("shard"), F.lit("x").alias("__other"))
-    got = sharding.shuffled(df, ["id"], shards, seed=3).collect()
-    assert sorted(r["id"] for r in got) == list(range(n))
+@pytest.mark.parametrize(("n", "shards", "rows"), [(0, 3, 4096), (1, 40, 4096), (7, 3, 4096), (5000, 40, 4096), (5000, 40, 4), (3000, 3, 2), (1000, 1, 4096)])
+def test_shards_are_exact_and_gapless(spark, monkeypatch, n, shards, rows):
+    """With few rows a range, parts and fine shards are ranked in ranges of their keys."""
+    monkeypatch.setattr(sharding, "ROWS", rows)
+    monkeypatch.setattr(sharding, "PARTS", 512 if rows > 100 else 64)
+    df = spark.range(n).select("id", (F.col("id") % 3).alias("shard"), *[F.lit("x").alias(c) for c in ("__other", "__p", "__r", "__fine", "__crc", "__row")])
+    found = sharding.shuffled(df, ["id"], shards, seed=3)
+    assert found.columns == ["id", "__other", "__p", "__r", "__fine", "__crc", "__row", "shard", "slot"]
+    got = found.collect()
+    assert sorted(r["id"] for r in got) == list(range(n)) and {r["__row"] for r in got} <= {"x"}
     slots: dict = {}
     for r in got:
         slots.setdefault(r["shard"], []).append(r["slot"])
@@ -86,13 +91,59 @@ def test_shards_are_exact_and_gapless(spark, n, shards):
     assert sorted((r["id"], r["shard"], r["slot"]) for r in again) == sorted((r["id"], r["shard"], r["slot"]) for r in got)
 
 
+def plain_shuffle(ids, shards, seed, parts, fine, h, second):
+    """The shuffle told plainly: parts, ranks, cuts at the matrix's counts, ranks again; hashes are given."""
+    own: dict = {}
+    for i in ids:
+        own.setdefault(h[i][0] % parts, []).append(i)
+    here = sorted(own)
+    sizes = sharding.fine_sizes(len(ids), shards, fine)
+    matrix = sharding.communication_matrix([len(own[p]) for p in here], sizes, seed)
+    got: dict = {}
+    for p, row in zip(here, matrix, strict=True):
+        ranked = sorted(own[p], key=lambda i: h[i][1])
+        at = 0
+        for f, count in enumerate(row):
+            got.setdefault(f, []).extend((i, p, at + k + 1) for k, i in enumerate(ranked[at : at + count]))
+            at += count
+    out = {}
+    for f, members in got.items():
+        start = sum(sizes[f // fine * fine : f])
+        for k, (i, _, _) in enumerate(sorted(members, key=lambda m: second[m[1], m[2]])):
+            out[i] = (f // fine, start + k)
+    return out
+
+
+@pytest.mark.parametrize("rows", [4096, 16])
+def test_shards_equal_a_plain_shuffle(spark, monkeypatch, rows):
+    monkeypatch.setattr(sharding, "ROWS", rows)
+    monkeypatch.setattr(sharding, "PARTS", 32)
+    n, shards, seed = 2500, 5, 9
+    df = spark.range(n)
+    h = {r[0]: (r[1], r[2]) for r in df.select("id", F.xxhash64(F.lit(seed), "id"), F.xxhash64(F.lit(seed + 1), "id")).collect()}
+    pairs = spark.range(32 * 200).select((F.col("id") % 32).cast("int").alias("p"), F.floor(F.col("id") / 32 + 1).cast("long").alias("r"))
+    # Keys are ordered by their bits where they are ranked in ranges, else as signed numbers.
+    order = (lambda x: x % 2**64) if rows == 16 else (lambda x: x)
+    second = {(r[0], r[1]): order(r[2]) for r in pairs.select("p", "r", F.xxhash64(F.lit(seed + 2), "p", "r")).collect()}
+    fine = max(1, min(32, -(-n // rows)) // shards)
+    want = plain_shuffle(range(n), shards, seed, 32, fine, {i: (a, order(b)) for i, (a, b) in h.items()}, second)
+    assert {r["id"]: (r["shard"], r["slot"]) for r in sharding.shuffled(df, ["id"], shards, seed).collect()} == want
+
+
 def test_shuffle_is_uniform(spark):
-    """Over many seeds every row is as likely in any shard, and neighbours don't stay together."""
-    df = spark.range(600)
-    where = np.array([[r["shard"] for r in sorted(sharding.shuffled(df, ["id"], 4, seed=s).collect())] for s in range(12)])
-    for k in range(4):
-        assert abs((where == k).mean(axis=0) - 0.25).max() < 0.6
-    assert abs((where[:, 1:] == where[:, :-1]).mean() - 0.25) < 0.03
+    """Chi-square over rows and shards, rows and halves of a shard, and neighbours that meet again, against 5 standard deviations."""
+    n, seeds, shards = 600, 40, 4
+    df = spark.range(n)
+    got = [sorted((r["id"], r["shard"], r["slot"]) for r in sharding.shuffled(df, ["id"], shards, seed=s).collect()) for s in range(seeds)]
+    where = np.array([[shard * 2 + (slot >= n / shards / 2) for _, shard, slot in rows] for rows in got])
+    for cells, of in ((shards, where // 2), (2 * shards, where)):
+        counts = np.stack([(of == k).sum(axis=0) for k in range(cells)])
+        expected = seeds / cells
+        chi = ((counts - expected) ** 2 / expected).sum()
+        free = n * (cells - 1)
+        assert abs(chi - free) < 5 * (2 * free) ** 0.5
+        same = (of[:, 1:] == of[:, :-1]).mean()
+        assert abs(same - 1 / cells) < 5 * (1 / cells / (seeds * (n - 1))) ** 0.5
 
 
 def test_matrix_has_its_margins():
@@ -133,17 +184,43 @@ URLS = [
 ]
 
 
+def plain_verdict_of(url, rules):
+    host, path, _, _ = plain_verdict(url)
+    fits = [r for r in rules if re.fullmatch(".*".join(map(re.escape, r.path.split("*"))) + ".*", path, re.S) and (host == r.host or host.endswith("." + r.host))]
+    best = max(fits, key=lambda r: (len(r.name), len(r.host), r.name, r.verdict), default=None)
+    return host, path, best and best.name, best.verdict if best else "allow"
+
+
 @pytest.mark.parametrize("inline", [True, False])
 def test_url_rules_equal_plain_matching(spark, monkeypatch, inline):
     if not inline:
         monkeypatch.setattr(url_rules, "INLINE_RULES", 2)
-    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)] + [(None, URLS[6], "h"), (0, URLS[7], None)], "page_id long, url string, host string")
+    long = "http://www.example.com/en/" + "x/" * 200_000
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)] + [(None, URLS[6], "h"), (0, URLS[7], None), (1, long, None)], "page_id long, url string, host string")
     got = url_rules.judged(pages)
-    assert sorted(map(str, ((r["host"], r["path"], r["rule"], r["verdict"]) for r in got.collect()))) == sorted(map(str, (plain_verdict(u) for u in [*URLS, URLS[6], URLS[7]])))
+    assert sorted(map(str, ((r["host"], r["path"], r["rule"], r["verdict"]) for r in got.collect()))) == sorted(map(str, (plain_verdict(u) for u in [*URLS, URLS[6], URLS[7], long])))
     assert url_rules.judged(pages.limit(0)).count() == 0
     assert {r["verdict"] for r in url_rules.judged(pages, (), "block").collect()} == {"block"}
 
 
+@pytest.mark.parametrize("inline", [2000, 2])
+def test_many_rules_are_filed_by_rarity_too(spark, monkeypatch, inline):
+    """Rules that travel in the plan and rules that are joined, filed under the same tokens, give what plain matching gives."""
+    monkeypatch.setattr(url_rules, "INLINE_RULES", inline)
+    rng = random.Random(4)
+    part = lambda: rng.choice(["a", "bc", "shop", "en", "x1", "news"])
+    rules = tuple(url_rules.Rule(".".join(part() for _ in range(rng.randint(1, 3))), "/" + "/".join(part() + rng.choice(["", "*"]) for _ in range(rng.randint(0, 3))), rng.choice(["allow", "block"])) for _ in range(60))
+    rules = tuple({r.name: r for r in rules}.values())
+    urls = [f"http://{'.'.join(part() for _ in range(rng.randint(1, 4)))}/{'/'.join(part() + rng.choice(['', 'q']) for _ in range(rng.randint(0, 4)))}" for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_rules.judged(pages, rules).collect()}
+    assert got == {k: plain_verdict_of(u, rules) for k, u in enumerate(urls)}
+    parsed = pages.select(url_rules.tokens_of(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("__tokens"))
+    counts = Counter(t for r in parsed.collect() for t in r[0])
+    filed = {r["rule"]: r["token"] for r in url_rules.rule_index(spark, parsed, rules).collect()}
+    assert filed == {r.name: min(r.tokens(), key=lambda t: (counts.get(t, 0), -len(t), t), default="") for r in rules}
+
+
 def test_rules_are_filed_under_their_rarest_token(spark):
     pages = spark.createDataFrame([(1, "http://a.example.com/en/"), (2, "http://b.com/en/")], "page_id long, url string")
     parsed = pages.select(url_rules.tokens_of(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("__tokens"))
@@ -180,13 +257,78 @@ def test_secrets_equal_the_plain_patterns(spark):
     assert len(got) == len(TEXTS) + 2 and secret_scan.scanned(docs.limit(0)).count() == 0
 
 
-def test_token_efficiency_tells_random_strings_from_words():
-    rng = random.Random(2)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+ALPHABETS = {"base62": (LOWER + LOWER.upper() + "0123456789", 0.95), "base36": (LOWER + "0123456789", 0.9), "both cases": (LOWER + LOWER.upper(), 0.9), "capitals": (LOWER.upper(), 0.85), "small": (LOWER, 0.6)}
+
+
+@pytest.mark.parametrize("before", ["", "session=", "path/to/resource/download/session=", "api/v1/projects/production/deployments/", "customer-service-production-"])
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+def test_token_efficiency_finds_random_strings(alphabet, before):
+    """The share found of random strings of 32 characters, by alphabet and place, and that they are what is reported."""
+    ranks, rng = secret_scan.known_vocabulary(), random.Random(2)
+    letters, least = ALPHABETS[alphabet]
     keys = ["".join(rng.choices(letters, k=32)) for _ in range(200)]
-    assert sum(bool(secret_scan.token_spans(k)) for k in keys) >= 190
-    words = ["internationalization", "getUserAuthenticationHandler", "https_connection_pool_size", "Donaudampfschifffahrtsgesellschaft"]
-    assert not any(secret_scan.token_spans(w) for w in words)
+    spans = [secret_scan.token_spans(f"see {before}{k} there", ranks) for k in keys]
+    at = 4 + len(before)
+    assert sum(any(a <= at and b == at + 32 for a, _, b in s) for s in spans) >= least * 200
+
+
+def test_token_efficiency_leaves_words_and_known_identifiers():
+    ranks = secret_scan.known_vocabulary()
+    words = ["internationalization", "getUserAuthenticationHandler", "https_connection_pool_size", "Donaudampfschifffahrtsgesellschaft", "api/v1/projects/production/deployments/list", "INTERNATIONALIZATION", "0" * 40]
+    known = [hashlib.md5(b"x").hexdigest(), "commit/" + hashlib.sha1(b"x").hexdigest(), "user=123e4567-e89b-12d3-a456-426614174000", "sha256-" + hashlib.sha256(b"x").hexdigest()]
+    assert [w for w in words + known if secret_scan.token_spans(w, ranks)] == []
+    hidden = "thisisaverylongnamewithoutanymarksinit" + "Zq8xW3vT9kLm2RfY7bNcP4sHd6gJ1aXe5U" + "andthenmorewordsfollowit"
+    (a, _, b), = secret_scan.token_spans(hidden, ranks)
+    assert a <= 46 and b >= 66 and secret_scan.token_spans("ab" * 300_000, ranks) is not None
+
+
+def plain_tokens(ranks):
+    """The same test told with a plain byte-pair merge over all parts of all runs."""
+    import base64
+
+    table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines())}
+
+    def count(part):
+        total = 0
+        for m in re.finditer(secret_scan.PIECES, part):
+            symbols = [bytes([c]) for c in m[0].encode()]
+            while True:
+                options = [(table[symbols[k] + symbols[k + 1]], k) for k in range(len(symbols) - 1) if symbols[k] + symbols[k + 1] in table]
+                if not options:
+                    break
+                _, k = min(options)
+                symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            total += len(symbols)
+        return total
+
+    def low(part):
+        digits, small, large = (any(c in cs for c in p) for p, cs in ((part, "0123456789"), (part, LOWER), (part[1:], LOWER.upper())))
+        most = 2.0 if digits else 1.6 if small and large else 1.75 if len(part) >= 20 else 0
+        return len(part) / count(part) <= most
+
+    return low
+
+
+def test_token_spans_equal_a_plain_byte_pair_merge(spark):
+    ranks = secret_scan.known_vocabulary()
+    low = plain_tokens(ranks)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    text_of = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    runs = 0
+    for r in secret_scan.scanned(docs).collect():
+        found = {tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("token:")}
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text_of[r["doc_id"]]):
+            if not re.search("[/=+_-]", m[0]) and len(m[0]) <= 32:
+                runs += 1
+                known = re.fullmatch("[0-9]+", m[0]) or (len(m[0]) == 32 and re.fullmatch("[0-9a-fA-F]+", m[0]))
+                assert (m.span() in found) == (not known and low(m[0]))
+    assert runs > 30
+
+
+def test_a_missing_vocabulary_is_told(spark):
+    with pytest.raises(FileNotFoundError):
+        secret_scan.scanned(documents(spark, [(1, "x", "s")]), "/nowhere/vocabulary.tiktoken")
 
 
 def smith_waterman(a, b):
@@ -204,7 +346,10 @@ def test_alignment_equals_the_plain_recurrence():
         assert decontamination.align(a, b)[0] == smith_waterman(a, b)
 
 
-def test_copies_of_items_are_found(spark):
+@pytest.mark.parametrize("together", [20_000, 3])
+def test_copies_of_items_are_found(spark, monkeypatch, together):
+    """Items that travel to the tasks, and more than that."""
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", together)
     rng = random.Random(8)
     say = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
     items = [say(rng.randint(15, 60)) for _ in range(30)]
@@ -222,7 +367,7 @@ def test_copies_of_items_are_found(spark):
             want.add((i, k))
         rows.append((i, " ".join(text).upper() if i % 5 == 0 else ", ".join(text), "s"))
     rows += [(500, None, "s"), (501, "", "s"), (502, "...", "s"), (503, " ".join(say(100_000) + items[4]), "s"), (503, "short one", "s"), (None, " ".join(items[5]), "s")]
-    docs = documents(spark, rows).withColumn("item_id", F.lit("clash"))
+    docs = documents(spark, rows).withColumns({c: F.lit("clash") for c in ("item_id", "h", "row", "__lower", "d")})
     benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(90, None), (91, ""), (None, " ".join(say(20)))], "item_id long, text string")
     got = decontamination.contaminated(docs, benchmark).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want | {(503, 4), (None, 5)}
@@ -233,8 +378,10 @@ def test_copies_of_items_are_found(spark):
     assert decontamination.contaminated(docs.limit(0), benchmark).count() == 0
 
 
-def test_leaks_equal_smith_waterman_of_all_pairs(spark):
+@pytest.mark.parametrize("together", [20_000, 3])
+def test_leaks_equal_smith_waterman_of_all_pairs(spark, monkeypatch, together):
     """Copies with 15 to 33 hundredths of the words replaced, put in or left out, parts of items, and common words."""
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", together)
     rng = random.Random(11)
     common = [f"c{k}" for k in range(12)]
     say = lambda n: [rng.choice(common) if rng.random() < 0.3 else f"v{rng.randrange(2000)}" for _ in range(n)]
