@@ -1,7 +1,7 @@
 """Leaf blocks of an HTML page: the runs of text between block-level tags, with what their ancestors are.
 
 The parser is lenient and linear in the page's length: missing end tags are implied, stray ones ignored, and
-inline tags other than links leave no trace. An element hands its features down to its children, so no block
+inline tags other than links, those of formulas and drawings among them, leave no trace. An element hands its features down to its children, so no block
 walks up the tree.
 """
 
@@ -9,17 +9,20 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^<>]*+\Z", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|</?[a-zA-Z][^<>]*+\Z",  # a quote that is never closed ends with its tag
+    re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)(?:\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
-#: Elements whose content is no markup; none of it is text of the page.
-RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "title", "textarea", "iframe", "noscript", "noembed", "noframes", "xmp")}
-SKIPPED = {"svg", "math", "template", "select", "button", "datalist", "object", "audio", "video", "canvas"}
+#: Elements whose content is no markup; none of it is text of the page, but for that of LITERAL.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "title", "textarea", "iframe", "noscript", "noembed", "noframes", "xmp", "plaintext")}
+LITERAL = {"xmp", "plaintext"}
+#: Controls of forms and templates: no text of the page, and no break in the text around them.
+SKIPPED = {"template", "select", "button", "datalist"}
 BLOCK = set(
     "address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup ins legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -33,8 +36,6 @@ IMPLIED = {
     "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
     **dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})),
 }
-#: How far up an end tag is implied.
-NEAR = 64
 
 
 @dataclass(frozen=True)
@@ -85,7 +86,7 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, without empty ones; character references are decoded and white space is one space."""
     out: list[Block] = []
     stack: list[tuple[str, Context]] = [("body", Context())]
-    open_tags: Counter[str] = Counter()
+    open_at: dict[str, list[int]] = {}  # of each tag the places of its open elements in the stack
     parts: list[str] = []
     linked, link = 0, 0  # characters in links; depth of the open link's block, 0 without one
     at = 0
@@ -101,7 +102,7 @@ def blocks(page: str) -> list[Block]:
 
     def pop() -> None:
         nonlocal link
-        open_tags[stack.pop()[0]] -= 1
+        open_at[stack.pop()[0]].pop()
         link = 0 if len(stack) < link else link
 
     def add(text: str) -> None:
@@ -110,45 +111,57 @@ def blocks(page: str) -> list[Block]:
             parts.append(text)
             linked += len(text.strip()) if link else 0
 
+    def push(tag: str, attrs: str) -> None:
+        open_at.setdefault(tag, []).append(len(stack))
+        stack.append((tag, _inside(stack[-1][1], tag, attrs)))
+
+    def innermost(tags: set[str]) -> int:
+        return max((places[-1] for t in tags if (places := open_at.get(t))), default=0)
+
     def close(tags: set[str], bounds: set[str]) -> None:
-        for k in range(len(stack) - 1, max(0, len(stack) - NEAR), -1):
-            if stack[k][0] in bounds:
-                return
-            if stack[k][0] in tags:
-                while len(stack) > k:
-                    pop()
+        while (k := innermost(tags)) > innermost(bounds):
+            while len(stack) > k:
+                pop()
 
     while m := TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        ends, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if not m[1] and tag in RAW:
+        tag = tag.lower()
+        if not ends and tag in RAW:
             end = RAW[tag].search(page, at)
+            content = page[at : end.start() if end else len(page)]
             at = end.end() if end else len(page)
+            if tag in LITERAL:
+                flush()
+                push("pre", attrs)
+                add(html.escape(content))
+                flush()
+                pop()
         elif tag == "a":
-            link = 0 if m[1] else len(stack)
+            link = 0 if ends else len(stack)
         elif tag == "br":
             add(" ")
         elif tag == "hr":
             flush()
-        elif tag == "body" and not m[1]:
-            stack[0] = ("body", _inside(stack[0][1], tag, m[3]))
+        elif tag == "body" and not ends:
+            stack[0] = ("body", _inside(stack[0][1], tag, attrs))
         elif tag in BLOCK or tag in SKIPPED:
-            flush()
-            if m[1]:
-                if open_tags[tag] > 0:
+            if tag in BLOCK:
+                flush()
+            if ends:
+                if open_at.get(tag):
                     while stack[-1][0] != tag:
                         pop()
                     pop()
-            elif not (tag in SKIPPED and m[3].rstrip().endswith("/")):
-                if tag in BLOCK and open_tags["p"] > 0:
+            elif not (tag in SKIPPED and attrs.rstrip().endswith("/")):
+                if tag in BLOCK and open_at.get("p"):
                     close({"p"}, {"table", "td", "th"} - {tag})
                 if tag in IMPLIED:
                     close(*IMPLIED[tag])
-                stack.append((tag, _inside(stack[-1][1], tag, m[3])))
-                open_tags[tag] += 1
+                push(tag, attrs)
     add(page[at:])
     flush()
     return out

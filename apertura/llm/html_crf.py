@@ -27,8 +27,6 @@ STEPS, RATE, DECAY = 140, 0.12, 5e-4
 #: A feature of fewer training pages is left out.
 LEAST_PAGES = 3
 CUES = ("©", "cookie", "copyright", "privacy", "advertisement", "sponsored", "subscribe", "newsletter", "sign in", "log in", "comment", "reply", "related", "rights reserved", "read more", "share", "search")
-#: Texts of more words aren't searched for cues.
-CUE_WORDS = 40
 #: Blocks alike in all that is scored keep their score; so many kinds are remembered.
 KINDS = 50_000
 
@@ -37,10 +35,8 @@ def text_kind(block: Block) -> tuple[str, str, str, bool]:
     """What of a block's text is scored: its number of words, share of links, ending, and whether it has a cue."""
     text, n = block.text, block.text.count(" ") + 1
     end = "stop" if text[-1] in ".!?…\"'”»" else "colon" if text[-1] in ":;" else "no"
-    cue = False
-    if n <= CUE_WORDS:
-        low = text.lower()
-        cue = any(c in low for c in CUES)
+    low = text.lower()
+    cue = any(c in low for c in CUES)
     return f"words:{min(6, n.bit_length())}", f"linked:{min(3, int(block.linked * 4))}", f"end:{end}", cue
 
 
@@ -53,7 +49,7 @@ def features(block: Block, alone: bool) -> list[str]:
     ctx = block.context
     size, link, end, cue = text_kind(block)
     found = [*ctx.names, *ctx.near, f"inner:{ctx.inner}", f"tag:{block.tag}", size, link, end, f"{size},{end}", f"{size},{link}", f"{ctx.inner.rpartition('>')[2]},{block.tag}"]
-    return found + [f"cue:{ctx.inner.rpartition('>')[2]}"] * cue + ["bare"] * alone
+    return found + [f"cue:{ctx.inner.rpartition('>')[2]}", f"cue,{size}"] * cue + ["bare"] * alone
 
 
 @dataclass
@@ -81,7 +77,7 @@ class Field:
         return out
 
     def decode(self, page: list[Block]) -> list[bool]:
-        """The likeliest labels of a page's blocks (Viterbi); blocks that aren't shown are never main."""
+        """The likeliest labels of a page's blocks (Viterbi)."""
         if not page:
             return []
         leanings, ((oo, om), (mo, mm)) = self.leanings(page), self.moves.tolist()
@@ -95,7 +91,7 @@ class Field:
         for from_other, from_main in reversed(back):
             label = from_main if label else from_other
             path.append(label)
-        return [is_main and "hidden" not in block.context.names for is_main, block in zip(reversed(path), page, strict=True)]
+        return path[::-1]
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -169,8 +165,8 @@ def extracted(pages: DataFrame, model: Field | None = None) -> DataFrame:
 
     The main blocks in page order, joined by an empty line; character references are decoded and white
     space inside a block is one space. A null, empty or textless page, or one without main blocks, has the
-    empty text and 0 characters. Null or repeated page_ids and null urls are kept; other columns are
-    ignored.
+    empty text and 0 characters. Null or repeated page_ids and null urls are kept; very long pages are read
+    whole; an empty table gives an empty result; other columns are ignored.
     """
     model = model or default_model()
 

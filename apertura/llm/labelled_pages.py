@@ -39,7 +39,7 @@ CUES = {
 class Writer:
     def __init__(self, seed: int) -> None:
         self.rng = random.Random(seed)
-        self.styles: list[Callable[[str], str]] = [str, str, str, str, lambda s: s.upper() + "!!", lambda s: s.replace(" ", " | "), lambda s: s.replace(".", "###")]
+        self.styles: list[Callable[[str], str]] = [str, str, str, str, str.upper, lambda s: s.replace(".", ""), lambda s: s.replace(",", ";")]
         self.style = self.styles[0]
 
     def one(self, options: list[str]) -> str:
@@ -85,6 +85,8 @@ class Writer:
         if kind in ("header", "sidebar", "footer") and self.chance(0.3):
             body = self.element(self.one(["h1", "h2", "h3"]), self.words(1, 5)) + body
         options = OPENINGS[kind]
+        if self.chance(0.05):  # a part that isn't shown
+            return self.element(self.one(["div hidden", 'div style="display:none"', 'div aria-hidden="true"', "aside hidden", 'section style="display: none"']), body, ' data-main="0"')
         return self.element(options[0] if self.chance(0.3) else self.one(options), body, ' data-main="0"')
 
     def paragraph(self, short: float) -> str:
@@ -92,6 +94,8 @@ class Writer:
         text = self.style(text)
         if short > 0.1 and self.chance(0.08):  # texts, too, may say such things
             text = self.one(self.one(list(CUES.values())))
+        elif self.chance(0.08):
+            text = f"{text} {self.one(self.one(list(CUES.values())))} {self.sentences(1, 3)}"
         if self.chance(0.15):
             text = f'<a href="/x">{text[:20]}</a>{text[20:]}'
         if self.chance(0.15):
@@ -138,6 +142,8 @@ class Writer:
             if self.chance(0.3):
                 body = f'<body data-main="1">{self.style(self.words(1, 30))}</body>'
             return f"<html>{body}</html>"
+        if self.chance(0.06):  # a main part and nothing else
+            return f"<html><body>{self.main()}</body></html>"
         before = [k for k, p in (("notice", 0.35), ("header", 0.5), ("menu", 0.7), ("advert", 0.4), ("form", 0.2), ("sidebar", 0.15)) if self.chance(p)]
         after = [k for k, p in (("advert", 0.25), ("sidebar", 0.4), ("comments", 0.35), ("form", 0.2), ("menu", 0.15), ("footer", 0.8), ("notice", 0.15)) if self.chance(p)]
         body = "".join(map(self.aside, before)) + self.nested() + "".join(map(self.aside, after))

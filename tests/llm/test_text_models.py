@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -60,10 +61,9 @@ def test_quality_on_the_held_out_fold(spark):
     got = op4_quality(spark, MIDDLE)
     held = got.where("held_out").join(labels, "doc_id").where("quality is not null").toPandas()
     assert len(held) > 100
-    base = max(held.quality.mean(), 1 - held.quality.mean())
-    assert (held.predicted == held.quality).mean() > base
+    assert (held.predicted == held.quality).mean() >= 0.95
     one, zero = held.score[held.quality == 1].values, held.score[held.quality == 0].values
-    assert (one[:, None] > zero[None]).mean() + 0.5 * (one[:, None] == zero[None]).mean() > 0.8
+    assert (one[:, None] > zero[None]).mean() + 0.5 * (one[:, None] == zero[None]).mean() >= 0.98
 
 
 def test_quality_odd_rows(spark):
@@ -77,6 +77,84 @@ def test_quality_odd_rows(spark):
     assert {r["score"] for r in quality_mil.scored(docs.limit(3), labels.limit(0)).collect()} == {0.5}
 
 
+def test_one_id_on_many_rows_is_learnt_from_once(spark):
+    """The sample's size doesn't grow with the rows of an id, nor with the length of a text."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    texts = [(i, "good text here. " * 40 if i % 2 else "### $$$ !!!! " * 40) for i in range(40)]
+    once = spark.createDataFrame(texts, "doc_id long, text string")
+    more = spark.createDataFrame([*texts, *[texts[6]] * 3000, (7, texts[7][1] + "x" * 2_000_000)], "doc_id long, text string")
+    seen = []
+    train = quality_mil.train
+    quality_mil.train = lambda x, owner, y: seen.append((len(x), len(y))) or train(x, owner, y)
+    try:
+        assert all(quality_mil.fitted(d, labels) for d in (once, more))
+    finally:
+        quality_mil.train = train
+    (rows, docs), (more_rows, more_docs) = seen
+    assert docs == more_docs and more_rows <= rows + quality_mil.SAMPLE_PASSAGES
+
+
+def plain_features(text):
+    """The encoding of a text's passages told plainly, byte by byte."""
+    out = []
+    for at in range(0, max(1, len(text)), quality_mil.PASSAGE):
+        part = text[at : at + quality_mil.PASSAGE]
+        row = np.zeros(quality_mil.FEATURES)
+        for a, b in zip(part, part[1:]):
+            row[quality_mil._KIND[a] * quality_mil.KINDS + quality_mil._KIND[b]] += 1
+        row[:-3] = np.sqrt(row[:-3] / max(1, len(part)))
+        begun = [m for m in re.finditer(rb"[^\x20\x09-\x0D]+", text) if at <= m.start() < at + quality_mil.PASSAGE]
+        row[-3] = sum(a[0].lower() == b[0].lower() for a, b in zip(begun, begun[1:])) / max(1, len(begun))
+        row[-2], row[-1] = len(part) / quality_mil.PASSAGE, not part
+        out.append(row)
+    return np.array(out)
+
+
+def test_scores_equal_a_plain_reading_of_every_passage(spark):
+    """The query's scores over the smallest tables against the same model applied text by text, without batches."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = quality_mil.fitted(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in op4_quality(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.collect():
+        x, p = plain_features((r["text"] or "").encode()).astype(np.float32).astype(float), model.p
+        h = np.tanh(x @ p["W"] + p["b"])
+        e = (np.tanh(h @ p["V"]) / (1 + np.exp(-h @ p["U"]))) @ p["w"]
+        a = np.exp(e - e.max())
+        z = (a / a.sum()) @ h
+        assert got[r["doc_id"]] == pytest.approx(float(1 / (1 + np.exp(-(z @ p["c"] + p["c0"])))[0]), abs=1e-5)
+
+
+def test_predictions_equal_a_plain_network_over_windows(spark):
+    """The language query over the smallest table against plain convolutions, window by window."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    net = lang_cnn.fitted(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in op7_language(spark, folder).collect()}
+    for r in docs.collect():
+        text = r["text"] or ""
+        if not re.search(r"[^\W\d_]", text):
+            assert got[r["doc_id"]] == ("und", 0)
+            continue
+        total, data = np.zeros(len(net.langs)), text.encode()
+        for at in range(0, len(data), lang_cnn.WINDOW):
+            part = data[at : at + lang_cnn.WINDOW]
+            x = net.embed[np.frombuffer(part.ljust(lang_cnn.WINDOW, b"\0"), np.uint8)].astype(float)
+            pooled = [np.max([np.tensordot(x[j : j + w], f, axes=((0, 1), (0, 1))) for j in range(lang_cnn.WINDOW - w + 1)], axis=0) for w, f in zip(lang_cnn.WIDTHS, net.filters)]
+            out = np.maximum(np.concatenate(pooled) + net.bias, 0) @ net.out + net.out_bias
+            total += np.exp(out - out.max()) / np.exp(out - out.max()).sum() * len(part)
+        p = total / len(data)
+        lang, score = got[r["doc_id"]]
+        assert score == pytest.approx(p.max(), abs=1e-4) and (lang == net.langs[int(p.argmax())] or np.sort(p)[-1] - np.sort(p)[-2] < 1e-4)
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    """More languages than the sample has documents: each has one at least, and equal rows count once."""
+    monkeypatch.setattr(lang_cnn, "SAMPLE_DOCS", 3)
+    rows = [(10 * k + j, f"{chr(97 + k)}" * 300, f"l{k}", None, None) for k in range(8) for j in range(6)] + [(5, "zz", "l0", None, None)] * 50
+    net = lang_cnn.fitted(spark.createDataFrame(rows, DOCUMENTS))
+    assert net.langs == [f"l{k}" for k in range(8)]
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(1)
     model = quality_mil.Model(rng)
@@ -107,16 +185,15 @@ def test_main_text_of_a_page():
 def test_main_text_of_unseen_layouts():
     model = html_crf.default_model()
     right = total = 0
-    for page in labelled_pages.labelled_pages(150, seed=77):
+    for page in labelled_pages.labelled_pages(300, seed=77):
         found = html_blocks.blocks(page)
         right += sum(a == b.context.main for a, b in zip(model.decode(found), found, strict=True))
         total += len(found)
-    assert right >= 0.98 * total
+    assert right >= 0.99 * total
 
 
 def test_pages_with_an_article_give_its_blocks(spark):
     import html
-    import re
 
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html_crf.extracted(pages).collect()}
@@ -136,6 +213,27 @@ def test_viterbi_finds_the_best_path():
     assert [int(x) for x in model.decode(page)] == list(max(product((0, 1), repeat=len(page)), key=value))
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>In symbols, <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, which holds.</p></article>", "In symbols, x=2, which holds."),
+        ('<article><p title="x>One text that follows an open quote.</p><p>And more of it.</p></article>', "One text that follows an open quote.\n\nAnd more of it."),
+        ("<article><p>One <button>press</button> two <svg><text>three</text></svg> <object>four</object>.</p></article>", "One two three four."),
+        ("<article><p>Some text before.</p><xmp><p>raw &amp; text</p></xmp><pre>a  b\nc</pre></article>", "Some text before.\n\n<p>raw &amp; text</p>\n\na b c"),
+        ("<article><ul><li>Item one" + "<div>" * 100 + "deep text" + "</div>" * 100 + "<li>Item two</ul></article>", "Item one\n\ndeep text\n\nItem two"),
+        ("<article><p>" + "Words to share and search, related to a comment. " * 30 + "</p></article>", ("Words to share and search, related to a comment. " * 30).strip()),
+        ("<article><p>First paragraph of the text.</p><table><tr><td>a<td>b<tr><td>c</table></article>", "First paragraph of the text.\n\na\n\nb\n\nc"),
+    ],
+)
+def test_no_text_of_an_article_is_lost(page, text):
+    assert html_crf.main_text(html_crf.default_model(), page) == text
+
+
+def test_implied_ends_in_deep_pages_take_linear_time():
+    page = "<li>x<ul>" + "<div>" * 20_000 + "<li></li>" * 20_000
+    assert [b.text for b in html_blocks.blocks(page)] == ["x"]
+
+
 @pytest.mark.parametrize("page", ["<" * 20000, "<a " * 20000, "<p>" * 20000 + "x", "<div>" * 5000 + "text", "<!-- never closed", "<script>never closed", "<p class='x", "</p></div>text", "&#0;&bogus;&#x110000;", "a\0b"])
 def test_broken_pages(page):
     assert isinstance(html_crf.main_text(html_crf.default_model(), page), str)
