@@ -61,11 +61,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_E
 
     The words of a source's documents add up to its target, rounded: one document of a source may be taken
     in part. A null or blank text has size 0 and is never taken; a null source is a source. Documents with
-    the same id and text have the same key and follow each other in any order. An empty table gives an
-    empty result. Input columns with the names of the new ones are replaced.
+    the same id and text have the same key and follow each other in any order. Very long texts are counted
+    whole. An empty table gives an empty result. Input columns with the names of the new ones are replaced,
+    all others are kept. Sources, one row each, are ranked in one task.
     """
-    docs = docs.drop("size", "source_size", "target", "taken")
-    keyed = docs.withColumns({"size": word_count(F.col("text")), "__source": source_key(F.col("source")), "__key": order_key(seed)})
+    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    keyed = docs.select("doc_id", word_count(F.col("text")).alias("size"), source_key(F.col("source")).alias("__source"), order_key(seed).alias("__key"), F.struct(*names).alias("__row"))
     keyed = keyed.withColumn("__range", F.substring("__key", 1, 3))
     ranges = keyed.groupBy("__source", "__range").agg(F.sum("size").alias("__sum"))
     aim = targets(ranges.groupBy("__source").agg(F.sum("__sum").alias("__has")), weights, most)
@@ -76,11 +77,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_E
     epochs = F.when(F.col("__has") > 0, F.floor(budget / F.col("__has"))).otherwise(0)
     left = budget - epochs * F.col("__has") - (F.col("__before") + F.sum("size").over(within) - F.col("size"))
     taken = epochs * F.col("size") + F.least(F.greatest(left, F.lit(0)), F.col("size"))
-    return (
-        keyed.join(offsets, ["__source", "__range"])
-        .withColumns({"taken": taken.cast("long"), "source_size": F.col("__has"), "target": F.col("__target")})
-        .drop("__source", "__key", "__range", "__before", "__has", "__weight", "__target")
-    )
+    whole = keyed.join(offsets, ["__source", "__range"]).withColumn("__taken", taken.cast("long"))
+    return whole.select(*[F.col("__row")[c].alias(c) for c in names], "size", F.col("__has").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
@@ -90,10 +88,10 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` as the mix takes them: a document once for each epoch, begun ones whole."""
     names = docs.columns
-    copies = F.when(F.col("__m.taken") > 0, F.ceil(F.col("__m.taken") / F.col("__m.size"))).otherwise(0).cast("int")
-    packed = docs.select("doc_id", "text", "source", F.struct(*names).alias("__row"))
-    out = mixed(packed).withColumn("__m", F.struct("taken", "size")).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return out.select(*[F.col("__row")[c].alias(c) for c in names])
+    packed = docs.select("doc_id", "text", "source", F.struct(*names).alias("row"))
+    copies = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    out = mixed(packed).select("row", F.explode(F.array_repeat(F.lit(1), copies)))
+    return out.select(*[F.col("row")[c].alias(c) for c in names])
 
 
 MIX_SQL = """

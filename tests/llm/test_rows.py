@@ -48,7 +48,7 @@ def test_mix_meets_its_budgets(spark, seed):
     share = [rng.random() ** 3 for _ in sources]
     rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choices(sources, share)[0]) for i in range(400)]
     rows += [(1000, None, "a"), (1001, " \n", "e"), (None, "x y", "a"), (None, "x y", "a"), (1002, "w " * 9000, "a"), (1002, "w", "a")]
-    docs = documents(spark, rows).withColumn("taken", F.lit("clash"))
+    docs = documents(spark, rows).withColumns({c: F.lit("clash") for c in ("taken", "__source", "__key", "__range", "__row", "row")})
     got = mixing.mix_digest(docs.repartition(7)).collect()
     sizes = Counter()
     for _, t, s in rows:
@@ -444,7 +444,34 @@ def test_pipeline_equals_its_stages_one_by_one(spark):
 
 
 def test_pipeline_odd_rows(spark, tmp_path):
-    rows = [(1, "the and of to " * 9, "en", "a", 1), (1, "the and of to " * 9, "en", "a", 1), (None, "die und der " * 9, "de", None, 1), (2, None, None, None, None), (3, "", "en", "a", 0), (4, "12 34", "en", "b", 5)]
-    spark.createDataFrame(rows, DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {1, None}
+    """Nulls, empty and long texts, ties, repeated rows and clashing columns: what each stage keeps of them."""
+    rng = random.Random(6)
+    say = lambda words, n: " ".join(rng.choices(words.split(), k=n))
+    en, de = "the and of to with that was for", "der die und nicht ein das mit auf"
+    rows = [(i, say(en if i % 2 else de, 40), "en" if i % 2 else "de", "ab"[i % 2], 1) for i in range(100, 200)]
+    copy, item = say(en, 60), " ".join(f"q{k}" for k in range(30))
+    rows += [(1, copy, "en", "a", 1), (1, copy, "en", "a", 1), (7, copy, "en", "b", 1), (None, say(de, 30), "de", None, 1), (2, None, None, None, None), (3, "", "en", "a", 0), (4, "12 34", "en", "b", 5)]
+    rows += [(5, say(en, 30_000), "en", "a", 1), (6, f"{say(en, 20)} {item} {say(en, 20)}", "en", "b", 1)]
+    clash = {c: F.lit("kept") for c in ("shard", "size", "taken", "row", "component_id", "lang_pred", "__row", "h")}
+    spark.createDataFrame(rows, DOCUMENTS).withColumns(clash).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, None), (2, item), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    folder, docs = str(tmp_path), spark.read.parquet(str(tmp_path / "documents.parquet"))
+    ids = lambda df: sorted(((r["doc_id"] or 0) for r in df.select("doc_id").collect()))
+    known = corpus_pipeline.language(spark, docs, folder)
+    assert ids(known) == sorted([0, 1, 1, 5, 6, 7, *range(100, 200)]) and known.columns == docs.columns
+    first = corpus_pipeline.near_duplicates(spark, known, folder)
+    assert ids(first) == sorted([0, 1, 5, 6, *range(100, 200)]) and first.columns == docs.columns
+    clean = corpus_pipeline.decontamination_(spark, first, folder)
+    assert ids(clean) == sorted([0, 1, 5, *range(100, 200)]) and clean.columns == docs.columns
+    mixed = corpus_pipeline.mixing_(spark, clean, folder)
+    assert mixed.columns == docs.columns and set(ids(mixed)) <= set(ids(clean)) and mixed.where("size != 'kept'").count() == 0
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == [*[c for c in docs.columns if c != "shard"], "shard", "slot"]
+    assert ids(out) == ids(mixed) and len({(r["shard"], r["slot"]) for r in out.collect()}) == mixed.count()
+    assert out.where("row != 'kept' or __row != 'kept'").count() == 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
