@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from apertura.functions import scalars as S
 from apertura.sources import dims
@@ -43,6 +44,18 @@ def shown(field: str, value: Column) -> Column:
     return value.cast("string")
 
 
+def shown_degrees(dms: Column) -> Column:
+    """The text of degrees, minutes and seconds as an array of numbers; null with fewer than three."""
+    part = lambda k: S.plain_number(F.get(dms, F.lit(k)).cast("double"))
+    return F.concat(part(0), F.lit(" deg "), part(1), F.lit("'"), part(2), F.lit('"'))
+
+
+def _shown_of(df: DataFrame, record: str, field: str) -> Column:
+    """The text of a record's field, by its type where that matters."""
+    kind, value = df.schema[record].dataType[field].dataType, F.col(f"{record}.{field}")
+    return shown_degrees(value) if isinstance(kind, T.ArrayType) else shown(field, value)
+
+
 def display_fields(df: DataFrame, record: str, keys: list[str]) -> DataFrame:
     """A row for each shown field of each record: the keys, section, field, label and text; empty fields are left out.
 
@@ -54,7 +67,7 @@ def display_fields(df: DataFrame, record: str, keys: list[str]) -> DataFrame:
     rows = [
         F.struct(
             F.lit(s).alias("section_ord"), F.lit(title).alias("section"), F.lit(f).alias("field_ord"), F.lit(field).alias("field"), F.lit(label).alias("label"),
-            shown(field, value(field)).alias("text"), (link if field == "GPSLatitude" else F.lit(None).cast("string")).alias("map_url"),
+            _shown_of(df, record, field).alias("text"), (link if field == "GPSLatitude" else F.lit(None).cast("string")).alias("map_url"),
         )
         for s, _, title, f, field, label in dims.FIELDS
         if field in have
@@ -62,13 +75,46 @@ def display_fields(df: DataFrame, record: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.inline(F.array(*rows))).where("text != ''")
 
 
-def field_counts(shown_fields: DataFrame, keys: list[str]) -> DataFrame:
-    """How many fields each section of each record shows."""
-    return shown_fields.groupBy(*keys, "section_ord", "section").agg(F.count("*").alias("n_fields"))
+#: What is said of a record that is missing, and of one without a field that is shown.
+NO_RECORD, NO_FIELDS = "No EXIF metadata found in this image.", "No recognized EXIF fields found."
+
+
+def _sections(df: DataFrame, record: str) -> list[tuple[int, str, list[tuple[str, str, Column]]]]:
+    """The sections with their place, title and fields: name, label and text."""
+    have = set(df.schema[record].dataType.names)
+    out: list[tuple[int, str, list]] = []
+    for s, _, title, _, field, label in dims.FIELDS:
+        if not out or out[-1][0] != s:
+            out.append((s, title, []))
+        if field in have:
+            out[-1][2].append((field, label, _shown_of(df, record, field)))
+    return out
 
 
-def as_html(shown_fields: DataFrame, keys: list[str]) -> DataFrame:
-    """Each record's rows as escaped HTML, in section and field order."""
-    row = F.concat(F.lit("<dt>"), S.escaped_html(F.col("label")), F.lit("</dt><dd>"), S.escaped_html(F.col("text")), F.lit("</dd>"))
-    ordered = F.sort_array(F.collect_list(F.struct("section_ord", "field_ord", row.alias("html"))))
-    return shown_fields.groupBy(*keys).agg(F.concat_ws("", F.transform(ordered, lambda x: x["html"])).alias("html"))
+def field_counts(df: DataFrame, record: str, keys: list[str]) -> DataFrame:
+    """How many fields each section of each record shows, sections without any left out: counted within the row."""
+    there = lambda text: F.coalesce((text != "").cast("int"), F.lit(0))
+    rows = [F.struct(F.lit(s).alias("section_ord"), F.lit(title).alias("section"), sum((there(t) for _, _, t in fields), F.lit(0)).cast("long").alias("n_fields")) for s, title, fields in _sections(df, record)]
+    return df.select(*keys, F.inline(F.array(*rows))).where("n_fields > 0")
+
+
+def as_html(df: DataFrame, record: str, keys: list[str]) -> DataFrame:
+    """Each record as escaped HTML, ``html`` and ``n_fields``: titled sections of labelled texts, made within the row.
+
+    The latitude has a link to a map. A record that is null or shows nothing says so and counts 0.
+    """
+    value = lambda f: F.col(f"{record}.{f}")
+    link = S.map_url(value("GPSLatitude"), value("GPSLongitude"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    parts, count = [], F.lit(0)
+    for _, title, fields in _sections(df, record):
+        rows = []
+        for field, label, text in fields:
+            more = F.coalesce(F.concat(F.lit(' <a href="'), S.escaped_html(link), F.lit('">Map</a>')), F.lit("")) if field == "GPSLatitude" else F.lit("")
+            rows.append(F.when(text != "", F.concat(F.lit("<dt>"), S.escaped_html(F.lit(label)), F.lit("</dt><dd>"), S.escaped_html(text), more, F.lit("</dd>"))))
+            count = count + F.coalesce((text != "").cast("int"), F.lit(0))
+        body = F.concat_ws("", *rows)
+        parts.append(F.when(body != "", F.concat(F.lit("<section><h3>"), S.escaped_html(F.lit(title)), F.lit("</h3><dl>"), body, F.lit("</dl></section>"))))
+    whole = F.concat_ws("", *parts)
+    none = lambda text: F.lit(f"<p>{text}</p>")
+    html = F.when(F.col(record).isNull(), none(NO_RECORD)).when(whole == "", none(NO_FIELDS)).otherwise(whole)
+    return df.select(*keys, html.alias("html"), count.cast("long").alias("n_fields"))

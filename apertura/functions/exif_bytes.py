@@ -204,6 +204,80 @@ def parsed(data: bytes) -> dict:
     return {}
 
 
+def searched(data: bytes) -> dict:
+    """The record of a block that is looked for anywhere in the bytes, whatever the segments around it say.
+
+    A reader of its own beside parsed(): it trusts no lengths but those of the block's entries, and leaves
+    out single entries that can't be read. Empty if nothing is found.
+    """
+    start = data.find(b"Exif\0\0")
+    if start < 0:
+        return {}
+    tiff = memoryview(data)[start + 6 :]
+    order = "little" if bytes(tiff[:2]) == b"II" else "big"
+    number = lambda at, size, signed=False: int.from_bytes(tiff[at : at + size], order, signed=signed)
+    names = {ifd: {tag: (name, kind) for name, (tag, kind) in known.items()} for ifd, known in TAGS.items()}
+    out: dict = {ifd: {} for ifd in TAGS}
+    waiting = [("ifd0", number(4, 4))] if number(2, 2) == 42 else []
+    while waiting:
+        ifd, at = waiting.pop()
+        for entry in range(at + 2, min(at + 2 + 12 * number(at, 2), len(tiff) - 11), 12):
+            tag, kind, count = number(entry, 2), number(entry + 2, 2), number(entry + 4, 4)
+            if ifd == "ifd0" and tag in (EXIF_POINTER, GPS_POINTER):
+                waiting.append(("exif" if tag == EXIF_POINTER else "gps", number(entry + 8, 4)))
+                continue
+            size = WIDTH.get(kind, 0) * count
+            value_at = entry + 8 if size <= 4 else number(entry + 8, 4)
+            if tag not in names[ifd] or not size or value_at + size > len(tiff):
+                continue
+            name, expected = names[ifd][tag]
+            raw = bytes(tiff[value_at : value_at + size])
+            if expected == ASCII and kind == ASCII:
+                out[ifd][name] = raw.split(b"\0", 1)[0].decode("utf-8", "replace")
+            elif expected == UNDEFINED or name in RAW:
+                out[ifd][name] = raw
+            elif expected in (RATIONAL, SRATIONAL) and kind in (RATIONAL, SRATIONAL):
+                pairs = [{k: number(value_at + 8 * j + 4 * (k == "den"), 4, kind == SRATIONAL) for k in ("num", "den")} for j in range(count)]
+                if all(max(p.values()) < 2**31 for p in pairs):
+                    out[ifd][name] = pairs if name in TRIPLES else pairs[0]
+            elif expected in (BYTE, SHORT, LONG) and kind in (BYTE, SHORT, LONG) and (found := number(value_at, WIDTH[kind])) < 2**31:
+                out[ifd][name] = found
+    return out if any(out.values()) else {}
+
+
+# Numbers of the IPTC datasets (record 2) that are read.
+IPTC = {"ObjectName": 5, "Keywords": 25, "DateCreated": 55, "Byline": 80, "City": 90, "Country": 101, "Headline": 105, "Copyright": 116, "Caption": 120}
+IPTC_TYPE = T.StructType([T.StructField(n, T.ArrayType(T.StringType()) if n == "Keywords" else T.StringType()) for n in IPTC])
+
+
+def iptc(data: bytes) -> dict:
+    """The IPTC texts of a JPEG's APP13 segments; keywords are a list. Empty without any."""
+    found: dict = {}
+    names = {number: name for name, number in IPTC.items()}
+    for marker, a, b in segments(data):
+        body = data[a + 4 : b]
+        if marker != 0xED or not body.startswith(b"Photoshop 3.0\0"):
+            continue
+        at = 14
+        while body[at : at + 4] == b"8BIM":
+            kind, title = struct.unpack(">HB", body[at + 4 : at + 7])
+            at += 6 + (title + 2) // 2 * 2
+            size = struct.unpack(">I", body[at : at + 4])[0]
+            block, at = body[at + 4 : at + 4 + size], at + 4 + (size + 1) // 2 * 2
+            place = 0
+            while kind == 0x0404 and place + 5 <= len(block) and block[place] == 0x1C:
+                record, dataset, n = struct.unpack(">BBH", block[place + 1 : place + 5])
+                text = block[place + 5 : place + 5 + n].decode("utf-8", "replace")
+                place += 5 + n
+                if record == 2 and dataset in names:
+                    name = names[dataset]
+                    if name == "Keywords":
+                        found.setdefault(name, []).append(text)
+                    else:
+                        found.setdefault(name, text)
+    return found
+
+
 def _full(tags: dict) -> dict:
     return {ifd: {name: (tags.get(ifd) or {}).get(name) for name in known} for ifd, known in TAGS.items()}
 
@@ -218,19 +292,42 @@ def _attempt(make, *args) -> dict:  # noqa: ANN001, ANN002
         return {"content": None, "error": str(e) or type(e).__name__}
 
 
-@arrow_udf(TAG_TYPE)
-def read_tags(content: pa.Array) -> pa.Array:
-    """Null for bytes that are null, broken or without a block."""
+def _tags(content: pa.Array, reader) -> pa.Array:  # noqa: ANN001
     out = []
     for data in content.to_pylist():
         try:
-            tags = parsed(data) if data else {}
+            tags = reader(data) if data else {}
         except (ValueError, struct.error):
             tags = {}
         out.append(_full(tags) if any(tags.values()) else None)
     return pa.array(out, _TAG_ARROW)
 
 
+@arrow_udf(TAG_TYPE)
+def read_tags(content: pa.Array) -> pa.Array:
+    """Null for bytes that are null, broken or without a block."""
+    return _tags(content, parsed)
+
+
+@arrow_udf(TAG_TYPE)
+def search_tags(content: pa.Array) -> pa.Array:
+    """The same by the second reader, which finds a block in bytes whose segments are broken, too."""
+    return _tags(content, searched)
+
+
+@arrow_udf(IPTC_TYPE)
+def read_iptc(content: pa.Array) -> pa.Array:
+    """Null for bytes that are null, broken or without IPTC texts."""
+    out = []
+    for data in content.to_pylist():
+        try:
+            found = iptc(data) if data else {}
+        except (ValueError, struct.error):
+            found = {}
+        out.append({name: found.get(name) for name in IPTC} if found else None)
+    return pa.array(out, to_arrow_type(IPTC_TYPE))
+
+
 @arrow_udf(CONTENT_TYPE)
 def write_tags(content: pa.Array, tags: pa.Array) -> pa.Array:
     """The JPEG with its metadata replaced by the tags, or an error."""

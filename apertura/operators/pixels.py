@@ -1,8 +1,8 @@
 """Pixels of decoded images (Spark's ``image`` source: rows of BGR bytes) under a render plan.
 
 The crop, the fit into the export size, the small rotation and the 1 % enlargement are one affine map, which
-is sampled bilinearly; noise of -1, 0 or 1 is added to each channel afterwards. Encoding to JPEG isn't part
-of it: the workers have no encoder.
+is sampled bilinearly; noise of -1, 0 or 1 is added to each channel afterwards. functions/jpeg encodes the
+result.
 """
 
 from __future__ import annotations

@@ -48,7 +48,7 @@ def overridden(record: Column, **values: Column) -> Column:
 
 def verified(df: DataFrame, primary: str, fallback: str, primary_error: Column | None = None) -> DataFrame:
     """``df`` with ``verified`` (what the first reader found, else the second), ``parser``, ``warning`` and ``error``."""
-    reason = F.coalesce(F.lit(None).cast("string") if primary_error is None else primary_error, F.lit("no fields"))
+    reason = F.lit("no fields") if primary_error is None else F.coalesce(primary_error, F.lit("no fields"))
     first, second = F.col(primary).isNotNull(), F.col(fallback).isNotNull()
     return df.withColumns(
         {

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from apertura.functions import scalars as S
 from apertura.functions.draws import SEED
-from apertura.functions.exif_bytes import jpeg_size, read_tags, strip_tags, write_tags
+from apertura.functions.exif_bytes import jpeg_size, read_tags, search_tags, strip_tags, write_tags
+from apertura.functions.jpeg import encode_jpeg
 from apertura.operators import generate as G
-from apertura.operators.records import display_fields_of, display_from_tags
+from apertura.operators.pixels import rendered
+from apertura.operators.records import display_fields_of, display_from_tags, verified
+from apertura.plans.render import render_plan
 
 
 def original_day(tags: Column) -> Column:
@@ -21,36 +24,70 @@ def original_day(tags: Column) -> Column:
     return S.rolled_date(S.first_given(fields["DateTimeOriginal"], fields["DateTime"]))
 
 
-def randomized(items: DataFrame, keep_date: bool = False, as_of: str = G.AS_OF, seed: int = SEED) -> DataFrame:
-    """Items (``item_id, content``) with their metadata replaced by a synthetic record.
+DONE = ("output", "fake", "output_name", "city", "parser", "warning", "message", "error", "is_synthetic")
 
-    Adds ``output`` (bytes), ``fake`` (the record as read back from them), ``output_name``, ``city``,
-    ``warning`` and ``error``. ``keep_date`` keeps the original's calendar day. Picture data is not
-    re-encoded. Bytes that aren't a JPEG give an error and null outputs.
-    """
-    drop = ["output", "fake", "output_name", "city", "warning", "error", "is_synthetic"]
-    names = [c for c in items.columns if c not in drop]
-    df = items.select(*names)
-    if keep_date:
-        df = df.withColumn("__day", original_day(read_tags("content")).cast("timestamp"))
+
+def _written(df: DataFrame, content: str, names: list[str], keep_date: bool, as_of: str, seed: int) -> DataFrame:
+    """The columns ``names`` with DONE: a synthetic record written into the JPEG bytes ``content`` and read back by two readers."""
     df = G.synthetic_records(df, "item_id", "__day" if keep_date else None, as_of, seed)
-    df = df.withColumn("__size", jpeg_size("content"))
-    df = df.withColumn("__written", write_tags("content", G.tag_record(F.col("__size.width"), F.col("__size.height"))))
-    df = df.withColumn("__read", read_tags("__written.content"))
+    df = df.withColumn("__size", jpeg_size(content))
+    df = df.withColumn("__written", write_tags(content, G.tag_record(F.col("__size.width"), F.col("__size.height"))))
+    df = df.withColumns({"__read": read_tags("__written.content"), "__found": search_tags("__written.content")})
     place = {"GPSLatitude": F.col("place.lat"), "GPSLongitude": -F.abs(F.col("place.lon")), "GPSAltitude": F.col("altitude").cast("double")}
-    good = F.col("__written.error").isNull() & F.col("__read").isNotNull()
+    shown = {f"__{k}": display_from_tags(F.col(f"__{v}"), dates=True, **place) for k, v in (("first", "read"), ("second", "found"))}
+    df = verified(df.withColumns(shown), "__first", "__second", F.col("__written.error"))
+    good, city = F.col("error").isNull() & F.col("__written.error").isNull(), F.col("loc.city")
+    name = G.output_name(F.col("cam.make"), F.col("item_id"), as_of, seed)
     return df.select(
         *names,
         F.when(good, F.col("__written.content")).alias("output"),
-        F.when(good, display_from_tags(F.col("__read"), dates=True, **place)).alias("fake"),
-        F.when(good, G.output_name(F.col("cam.make"), F.col("item_id"), as_of, seed)).alias("output_name"),
-        F.when(good, F.col("loc.city")).alias("city"),
-        F.lit(None).cast("string").alias("warning"),
-        F.when(~good, F.coalesce("__written.error", F.lit("metadata verification failed"))).alias("error"),
+        F.when(good, F.col("verified")).alias("fake"),
+        F.when(good, name).alias("output_name"),
+        F.when(good, city).alias("city"),
+        F.when(good, F.col("parser")).alias("parser"),
+        F.when(good, F.col("warning")).alias("warning"),
+        F.when(good, F.coalesce("warning", done_text(name, city))).alias("message"),
+        F.when(~good, F.coalesce("__written.error", "error")).alias("error"),
         "is_synthetic",
     )
 
 
+def done_text(name: Column, city: Column) -> Column:
+    """What is said of a finished item: its name and, if there is one, its city."""
+    return F.concat(F.lit("Randomized "), name, F.coalesce(F.concat(F.lit(" | "), city), F.lit("")))
+
+
+def randomized(items: DataFrame, keep_date: bool = False, as_of: str = G.AS_OF, seed: int = SEED) -> DataFrame:
+    """Items (``item_id, content``) with their metadata replaced by a synthetic record; the picture data is not touched.
+
+    Adds ``output`` (bytes), ``fake`` (the record as read back from them), ``output_name``, ``city``,
+    ``parser`` (which reader read it back), ``warning`` (only the second could), ``message`` and ``error``.
+    ``keep_date`` keeps the original's calendar day. Bytes that aren't a JPEG give an error and null outputs.
+    """
+    names = [c for c in items.columns if c not in DONE]
+    df = items.select(*names)
+    if keep_date:
+        df = df.withColumn("__day", original_day(read_tags("content")).cast("timestamp"))
+    return _written(df, "content", names, keep_date, as_of, seed)
+
+
+def reencoded(images: DataFrame, keep_date: bool = False, as_of: str = G.AS_OF, seed: int = SEED) -> DataFrame:
+    """Decoded images (``item_id, image`` and, to keep the date, ``content``) from pixels to verified files.
+
+    Each image is cropped, resized, turned and encoded under its plan, and then as in randomized(); the
+    columns are those, with ``plan``. Images that can't be read give an error and null outputs.
+    """
+    names = [c for c in images.columns if c not in (*DONE, "plan", "image", "content")]
+    df = images.select(*[c for c in images.columns if c not in (*DONE, "plan")])
+    if keep_date:
+        df = df.withColumn("__day", original_day(read_tags("content")).cast("timestamp"))
+    df = df.drop("content").withColumns({"__width": F.col("image.width"), "__height": F.col("image.height")})
+    df = rendered(render_plan(df, "item_id", "__width", "__height", seed), "item_id", seed=seed).drop("image")
+    r = lambda name: F.col(f"rendered.{name}")
+    df = df.withColumn("__jpeg", encode_jpeg(r("data"), r("width"), r("height"), r("channels"), F.col("plan.quality"))).drop("rendered")
+    return _written(df, "__jpeg", [*names, "plan"], keep_date, as_of, seed)
+
+
 def stripped_items(items: DataFrame, as_of: str = G.AS_OF, seed: int = SEED) -> DataFrame:
     """Items with their metadata taken out: ``output``, ``output_name`` and ``error``; a failed row has no outputs at all."""
     done = items.drop("output", "output_name", "error", "fake").withColumn("__s", strip_tags("content"))

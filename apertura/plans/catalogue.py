@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from apertura.functions import display as D
 from apertura.functions import scalars as S
+from apertura.functions.exif_bytes import read_tags
 from apertura.operators import generate as G
 from apertura.operators import records as R
 from apertura.operators import workflow as W
 from apertura.plans.render import render_plan
 from apertura.sources import dims
+from apertura.sources.images import item_id
 
 #: The smallest JPEG that has a picture size (8 x 16) and no metadata, for the byte round trip.
 TINY_JPEG = bytes.fromhex("ffd8ffc0000b080010000801011100ffda0008010100003f00ffd9")
@@ -25,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of orders, spread over the tasks: a record is much work for eight bytes, and a small table is one partition."""
-    return table(spark, sf_dir, "orders").select("o_orderkey").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey").repartition("o_orderkey")
 
 
 def cameras_by_make(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,21 +155,64 @@ def code_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", *[D.code_label(f, code).alias(f) for f in fields])
 
 
-def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rec = G.synthetic_records(_order_keys(spark, sf_dir), "o_orderkey").withColumn("record", G.display_record())
-    return D.display_fields(rec, "record", ["o_orderkey"])
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.synthetic_records(_order_keys(spark, sf_dir), "o_orderkey").withColumn("record", G.display_record())
 
 
 def display_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(spark, sf_dir)
+    return D.display_fields(_records(spark, sf_dir), "record", ["o_orderkey"])
 
 
 def field_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.field_counts(_shown(spark, sf_dir), ["o_orderkey"])
+    return D.field_counts(_records(spark, sf_dir), "record", ["o_orderkey"])
 
 
 def html_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.as_html(_shown(spark, sf_dir), ["o_orderkey"])
+    """Every seventh record is missing and every eleventh is empty, as files without metadata are."""
+    k = F.col("o_orderkey")
+    rec = _records(spark, sf_dir)
+    kind = rec.schema["record"].dataType
+    empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind])
+    return D.as_html(rec.withColumn("record", F.when(k % 7 == 0, F.lit(None).cast(kind)).when(k % 11 == 0, empty).otherwise(F.col("record"))), "record", ["o_orderkey"])
+
+
+def pixel_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a picture size, replaced in every fifth, as they are shown."""
+    size = F.col("p_size")
+    record = F.struct((size * 100).alias("PixelXDimension"), (size * 75).alias("PixelYDimension"))
+    record = F.when(F.col("p_partkey") % 5 == 0, R.overridden(record, PixelXDimension=size * 200)).otherwise(record)
+    sized = table(spark, sf_dir, "part").select("p_partkey", record.alias("record"))
+    return D.display_fields(sized, "record", ["p_partkey"]).select("p_partkey", "field", "label", "text")
+
+
+def degree_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places given as degrees, minutes and seconds."""
+    part = lambda x, k: F.array(*[(F.abs(x) % m).cast("double") for m in (90, 60, 50)][:k])
+    record = F.struct(part(F.col("c_custkey"), 3).alias("GPSLatitude"), part(F.col("c_nationkey"), 3).alias("GPSLongitude"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", record.alias("record"))
+    return rows.select("c_custkey", D.shown_degrees(F.col("record.GPSLatitude")).alias("lat"), D.shown_degrees(F.col("record.GPSLongitude")).alias("lon"))
+
+
+def item_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", item_id(F.col("url")).alias("item_id"), S.image_type(F.concat(F.when(F.col("page_id") % 3 != 0, "image/").otherwise("text/"), F.lit("png"))).alias("is_image"))
+
+
+def strip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata is written into JPEG bytes and taken out again; every seventh row is no JPEG."""
+    items = _order_keys(spark, sf_dir).select(F.col("o_orderkey").alias("item_id"), F.lit(TINY_JPEG).alias("content"))
+    done = W.randomized(items).select("item_id", F.when(F.col("item_id") % 7 == 0, F.lit(b"none")).otherwise(F.col("output")).alias("content"))
+    out = W.stripped_items(done)
+    return out.select(F.col("item_id").alias("o_orderkey"), F.lower(F.hex("output")).alias("output"), read_tags("output").isNull().alias("bare"), "output_name", "error")
+
+
+def reencoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grey images rendered, encoded, tagged and read back: their sizes and whether the pixels kept their value."""
+    k = F.col("s_suppkey")
+    side = (90 + k % 40).cast("int")
+    data = F.unhex(F.repeat(F.lit("80"), side * 96))
+    image = F.struct(F.lit(96).alias("width"), side.alias("height"), F.lit(1).alias("nChannels"), F.when(k % 9 != 0, data).alias("data"))
+    out = W.reencoded(table(spark, sf_dir, "supplier").select(k.alias("item_id"), image.alias("image")))
+    return out.select(F.col("item_id").alias("s_suppkey"), F.col("fake.PixelXDimension").alias("width"), F.col("fake.PixelYDimension").alias("height"), "parser", "warning", "message", "error")
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,5 +279,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         synthetic_metadata, cameras_by_make, camera_options, lens_range_join, lens_unmatched, prefix_filter, bytes_texts, dms_encode, dms_round_trip, rational_decode, exif_datetimes,
         keep_date, rolled_dates, apex_values, export_plans, tag_values, exif_round_trip, enforce_gps, code_labels, display_fields, field_counts, html_records, item_status,
         batch_summary, processed_items, output_names, split_names, escape_html, data_urls, verify_fallback, map_links,
+        pixel_sizes, degree_arrays, item_ids, strip_round_trip, reencoded_images,
     ]
     return {f.__name__: f for f in found}

@@ -215,7 +215,23 @@ def oracle_sql() -> dict[str, str]:
         "code_labels": "select event_id, " + ", ".join(f'{_label(f, "cast(event_id % 32 as int)")} as "{f}"' for f in fields) + " from events",
         "display_fields": f"with {SHOWN} select * from shown",
         "field_counts": f"with {SHOWN} select {_K}, section_ord, section, count(*) as n_fields from shown group by all",
-        "html_records": f"""with {SHOWN} select {_K}, string_agg('<dt>' || {_escaped("label")} || '</dt><dd>' || {_escaped("text")} || '</dd>', '' order by section_ord, field_ord) as html from shown group by {_K}""",
+        "html_records": f"""with {SHOWN}, r as (
+              select {_K}, section_ord, field_ord, section, '<dt>' || {_escaped("label")} || '</dt><dd>' || {_escaped("text")} || case when map_url is not null then ' <a href="' || {_escaped("map_url")} || '">Map</a>' else '' end || '</dd>' as html from shown),
+            p as (select {_K}, section_ord, '<section><h3>' || section || '</h3><dl>' || string_agg(html, '' order by field_ord) || '</dl></section>' as html, count(*) as n from r group by {_K}, section_ord, section),
+            w as (select {_K}, string_agg(html, '' order by section_ord) as html, cast(sum(n) as bigint) as n from p group by {_K})
+            select {_K}, case when {_K} % 7 = 0 then '<p>No EXIF metadata found in this image.</p>' when {_K} % 11 = 0 then '<p>No recognized EXIF fields found.</p>' else html end as html,
+              case when {_K} % 7 = 0 or {_K} % 11 = 0 then 0 else n end as n_fields from w""",
+        "pixel_sizes": """with s as (select p_partkey, case when p_partkey % 5 = 0 then p_size * 200 else p_size * 100 end as w, p_size * 75 as h from part)
+            select p_partkey, 'PixelXDimension' as field, 'Pixel Width' as label, w || ' px' as text from s union all select p_partkey, 'PixelYDimension', 'Pixel Height', h || ' px' from s""",
+        "degree_arrays": """select c_custkey, (c_custkey % 90) || ' deg ' || (c_custkey % 60) || chr(39) || (c_custkey % 50) || '"' as lat, (c_nationkey % 90) || ' deg ' || (c_nationkey % 60) || chr(39) || (c_nationkey % 50) || '"' as lon from customer""",
+        "item_ids": "select page_id, sha256(url) as item_id, page_id % 3 != 0 as is_image from pages",
+        "strip_round_trip": f"""select {_K}, case when {_K} % 7 != 0 then 'ffd8ffc0000b080010000801011100ffda0008010100003f00ffd9' end as output, true as bare,
+            case when {_K} % 7 != 0 then {_name(_K, "''")} end as output_name, case when {_K} % 7 = 0 then 'not a JPEG' end as error from orders""",
+        "reencoded_images": f"""with {_dim("cameras")}, {_dim("locations")}, s as (
+              select s_suppkey, cast(90 + s_suppkey % 40 as int) as h, make, city from supplier join cameras on camera_id = {_int("s_suppkey", "camera", 0, 18)} join locations on location_id = {_int("s_suppkey", "location", 0, 57)}),
+            o as (select *, s_suppkey % 9 != 0 as good from s)
+            select s_suppkey, case when good then 96 end as width, case when good then h end as height, case when good then 'primary' end as parser, cast(null as varchar) as warning,
+              case when good then 'Randomized ' || {_name("s_suppkey", "make")} || ' | ' || city end as message, case when not good then 'not a JPEG' end as error from o""",
         "item_status": f"with {STATES} select user_id, status from states",
         "batch_summary": f"""with {STATES} select count(*) as n_items, count(*) filter (status in ('Randomized', 'Stripped')) as n_processed, count(*) filter (status = 'Error') as n_failed,
             coalesce(bool_or(status = 'Processing'), false) as any_processing,

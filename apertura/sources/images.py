@@ -5,21 +5,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apertura.functions import scalars as S
+from apertura.functions.exif_bytes import read_iptc, read_tags
+from apertura.operators.records import display_from_tags
 
 #: MIME types by file extension; anything else has none.
 MIME = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "heic": "image/heic", "tif": "image/tiff", "tiff": "image/tiff"}
 
 
+def item_id(path: Column) -> Column:
+    """The id of a file: a hash of its path, however many slashes the scheme is followed by."""
+    return F.sha2(F.regexp_replace(path, "^file:/+", "file:/"), 256)
+
+
 def as_items(files: DataFrame) -> DataFrame:
     """``item_id, path, name, mime, size, loaded_at, content`` of rows of the binaryFile source, images only."""
     name = F.element_at(F.split("path", "/"), -1)
     types = F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair])
     mime = F.try_element_at(types, F.lower(F.element_at(F.split(name, r"\."), -1)))
-    items = files.select(F.sha2("path", 256).alias("item_id"), "path", name.alias("name"), mime.alias("mime"), F.col("length").alias("size"), F.col("modificationTime").alias("loaded_at"), "content")
+    items = files.select(item_id(F.col("path")).alias("item_id"), "path", name.alias("name"), mime.alias("mime"), F.col("length").alias("size"), F.col("modificationTime").alias("loaded_at"), "content")
     return items.where(S.image_type(F.col("mime")))
 
 
@@ -35,8 +42,15 @@ def stream_items(spark: SparkSession, path: str, files_per_trigger: int = 1000)
 
 
 def load_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images; files that can't be decoded are left out."""
-    return spark.read.format("image").option("dropInvalid", "true").load(path)
+    """``item_id, image`` of decoded images, with the ids of load_items(); files that can't be decoded are left out."""
+    found = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path)
+    return found.select(item_id(F.col("image.origin")).alias("item_id"), "image")
+
+
+def hydrated(items: DataFrame) -> DataFrame:
+    """Items with what their bytes say: ``tags``, the shown ``record`` and the ``iptc`` texts; null where there are none."""
+    read = items.drop("tags", "record", "iptc").withColumns({"tags": read_tags("content"), "iptc": read_iptc("content")})
+    return read.withColumn("record", display_from_tags(F.col("tags")))
 
 
 def export(items: DataFrame, path: str) -> None:
@@ -47,12 +61,11 @@ def export(items: DataFrame, path: str) -> None:
 def export_files(items: DataFrame, folder: str) -> DataFrame:
     """Writes processed rows as files into a folder that all executors share; ``item_id, file, error`` for each.
 
-    A name that several rows have gets the row's id in front. A file is written under another name first
-    and then renamed, so that a repeated task leaves no half file.
+    The row's id stands before the name, as names repeat, so no bytes are shuffled to find out which do. A
+    file is written under another name first and then renamed, so that a repeated task leaves no half file.
     """
-    ready = items.where("output is not null").select("item_id", "output_name", "output")
-    counts = ready.groupBy("output_name").agg((F.count("*") > 1).alias("taken"))
-    named = ready.join(counts, "output_name").select("item_id", F.when(F.col("taken"), F.concat_ws("_", "item_id", "output_name")).otherwise(F.col("output_name")).alias("file"), "output")
+    ready = items.where("output is not null")
+    named = ready.select("item_id", F.concat_ws("_", "item_id", "output_name").alias("file"), "output")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os

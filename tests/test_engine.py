@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from apertura.functions import exif_bytes as X
+from apertura.functions import jpeg as jpeg_codec
 from apertura.functions.draws import pick, unit
 from apertura.operators import generate as G
 from apertura.operators import records as R
@@ -99,7 +100,7 @@ def test_randomize_strip_and_keep_date(spark, tmp_path):
     images.export(same, str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).count() == 1
     assert [r["error"] for r in images.export_files(same, str(tmp_path)).collect()] == [None]
-    assert (tmp_path / "x.jpg").read_bytes() == bytes(out["a"]["output"])
+    assert (tmp_path / "a_x.jpg").read_bytes() == bytes(out["a"]["output"])
 
 
 def test_sources(spark, tmp_path):
@@ -146,6 +147,87 @@ def test_render_plan_and_pixels(spark):
     assert out[2]["rendered"]["data"] is None
 
 
+def test_encoded_pictures_decode_to_themselves(spark, tmp_path):
+    """The JVM's own decoder reads what the encoder wrote, in grey and colour, at odd sizes."""
+    rng = np.random.default_rng(3)
+    y, x = np.mgrid[0:61, 0:83]
+    smooth = np.stack([np.sin(x / 20) * 60 + 128, np.cos(y / 30) * 80 + 128, x + y], axis=-1).clip(0, 255).astype(np.uint8)
+    noise = rng.integers(0, 256, (40, 33, 3), dtype=np.uint8)
+    flat = np.full((16, 16, 1), 128, np.uint8)
+    rows = {"smooth": (smooth, 0.95, 3), "noise": (noise, 1.0, 3), "grey": (smooth[..., :1], 0.9, 3), "flat": (flat, 0.8, 0), "one": (noise[:1, :1], 0.99, 4)}
+    for name, (pixels, quality, _) in rows.items():
+        data = jpeg_codec.encoded(pixels, quality)
+        assert X.picture_size(data) == pixels.shape[1::-1]
+        (tmp_path / f"{name}.jpg").write_bytes(data)
+    images_read = {r["image"]["origin"].split("/")[-1][:-4]: r["image"] for r in images.load_pixels(spark, str(tmp_path)).collect()}
+    for name, (pixels, _, most) in rows.items():
+        i = images_read[name]
+        got = np.frombuffer(i["data"], np.uint8).reshape(i["height"], i["width"], i["nChannels"])
+        assert got.shape == pixels.shape and np.abs(got.astype(int) - pixels).mean() <= most
+    bad = spark.createDataFrame([(b"abc", 2, 2, 3, 0.8), (None, 1, 1, 1, 0.8), (b"a", 1, 1, 1, 0.8)], "d binary, w int, h int, c int, q double")
+    assert [r[0] is None for r in bad.select(jpeg_codec.encode_jpeg("d", "w", "h", "c", "q")).collect()] == [True, True, False]
+
+
+def test_code_lengths_are_limited_and_prefix_free():
+    counts = np.zeros(256, np.int64)
+    counts[:40] = [int(1.7**k) + 1 for k in range(40)]
+    lengths = jpeg_codec.code_lengths(counts)
+    assert set(lengths) == set(range(40)) and max(lengths.values()) <= 16
+    assert sum(2.0**-n for n in lengths.values()) < 1
+    code, size, _ = jpeg_codec.codes(lengths)
+    words = [format(code[s], f"0{size[s]}b") for s in lengths]
+    assert not any(a != b and b.startswith(a) for a in words for b in words) and "1" * 16 not in words
+
+
+def test_from_pixels_to_verified_files(spark, tmp_path):
+    """Files are loaded, decoded, rendered, encoded, tagged and read back, and the day of the original is kept."""
+    y, x = np.mgrid[0:140, 0:180]
+    picture = jpeg_codec.encoded(np.stack([x, y, x + y], axis=-1).astype(np.uint8), 0.9)
+    source = tmp_path / "in"
+    source.mkdir()
+    first = W.randomized(spark.createDataFrame([("k", picture)], "item_id string, content binary")).first()
+    (source / "a.jpg").write_bytes(bytes(first["output"]))
+    (source / "b.jpg").write_bytes(picture)
+    items, pixels = images.load_items(spark, str(source)), images.load_pixels(spark, str(source))
+    both = pixels.join(items.select("item_id", "content", "name"), "item_id")
+    assert both.count() == 2
+    out = {r["name"]: r for r in W.reencoded(both, keep_date=True, seed=5).collect()}
+    for r in out.values():
+        assert r["error"] is None and r["parser"] == "primary" and r["warning"] is None and r["message"].endswith(f" | {r['city']}")
+        data = bytes(r["output"])
+        assert X.picture_size(data) == (r["plan"]["out_width"], r["plan"]["out_height"]) == (r["fake"]["PixelXDimension"], r["fake"]["PixelYDimension"])
+    assert out["a.jpg"]["fake"]["DateTimeOriginal"].date() == first["fake"]["DateTimeOriginal"].date()
+    broken = both.withColumn("image", F.col("image").withField("data", F.lit(None).cast("binary")))
+    assert all(r["error"] and r["output"] is None for r in W.reencoded(broken).collect())
+    found = {r["name"]: r for r in images.hydrated(items).collect()}
+    assert found["a.jpg"]["record"]["Make"] == first["fake"]["Make"] and found["b.jpg"]["record"] is None and found["b.jpg"]["iptc"] is None
+
+
+def test_second_reader(spark):
+    """It reads what the first one reads, and bytes whose segments are broken, which give a warning."""
+    out = W.randomized(spark.createDataFrame([(str(k), TINY_JPEG) for k in range(40)], "item_id string, content binary"))
+    assert out.select(X.read_tags("output").alias("a"), X.search_tags("output").alias("b")).where("a != b or a is null").count() == 0
+    data = bytes(out.first()["output"])
+    damaged = data[:2] + b"\0\0" + data[2:]
+    df = spark.createDataFrame([(damaged,), (data,), (b"junk",), (None,), (b"Exif\0\0II*\0",)], "content binary")
+    read = R.verified(df.select(X.read_tags("content").alias("a"), X.search_tags("content").alias("b")), "a", "b").collect()
+    assert [r["parser"] for r in read] == ["fallback", "primary", None, None, None]
+    assert read[0]["warning"] and read[1]["warning"] is None and read[2]["error"]
+    assert read[0]["verified"] == read[1]["verified"]
+
+
+def test_iptc(spark):
+    dataset = lambda n, text: b"\x1c\x02" + bytes([n]) + struct.pack(">H", len(text)) + text
+    body = dataset(80, b"A. Writer") + dataset(25, b"one") + dataset(25, b"two") + dataset(90, "Zürich".encode()) + b"\x1c\x01\x5a\0\x03\x1b%G"
+    resource = b"8BIM" + struct.pack(">H", 0x0404) + b"\0\0" + struct.pack(">I", len(body)) + body + b"\0" * (len(body) % 2)
+    other = b"8BIM" + struct.pack(">H", 0x03ED) + b"\x03abc" + struct.pack(">I", 3) + b"xyz\0"
+    data = jpeg((0xED, b"Photoshop 3.0\0" + other + resource))
+    df = spark.createDataFrame([(data,), (TINY_JPEG,), (None,), (b"junk",), (jpeg((0xED, b"Photoshop 3.0\x008BIM\4\4\0\0\0\0\xff\xff")),)], "content binary")
+    got = [r[0] for r in df.select(X.read_iptc("content")).collect()]
+    assert got[0]["Byline"] == "A. Writer" and got[0]["Keywords"] == ["one", "two"] and got[0]["City"] == "Zürich" and got[0]["Caption"] is None
+    assert got[1:] == [None] * 4
+
+
 def test_noise_and_sampling():
     flat = np.full((40, 60, 4), 100, np.uint8)
     noisy = with_noise(flat, np.random.default_rng(1))
