@@ -162,9 +162,14 @@ def fitted(docs: DataFrame) -> Net | None:
     """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("text") != "")).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(SEED), "doc_id", "text").alias("h"))
     distinct = known.select("lang", "h").distinct()
-    each = max(1, SAMPLE_DOCS // max(1, distinct.select("lang").distinct().count()))
+    counts = distinct.groupBy("lang").count().collect()  # as many rows as the network has languages
+    each = max(1, SAMPLE_DOCS // max(1, len(counts)))
+    # The smallest hashes of a language lie below a bound under which more are expected, by far, than are taken.
+    share = [(r[0], min(1.0, (2 * each + 64) / r[1])) for r in counts]
+    bounds = docs.sparkSession.createDataFrame([(lang, min(2**63 - 1, int(part * 2.0**64) - 2**63)) for lang, part in share], "lang string, most long")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    few = distinct.withColumn("n", rank).where(F.col("n") <= each).drop("n")
+    low = distinct.join(F.broadcast(bounds), "lang").where("h <= most")
+    few = low.withColumn("n", rank).where(F.col("n") <= each).select("lang", "h")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
