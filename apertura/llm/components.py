@@ -36,4 +36,4 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if state == before or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = state
-        now = written(_small(_large(now)), name)
+        now = written(_small(_large(now)), name, instead=now)

@@ -213,13 +213,13 @@ def _met(kind: pa.DataType) -> Run:
     return run
 
 
-def _merged(graph: DataFrame, candidates: DataFrame) -> DataFrame:
+def _merged(graph: DataFrame, candidates: DataFrame, replaced: DataFrame | None = None) -> DataFrame:
     """Lists (id, cap, near: dot and other, fresh) after taking in candidates; a list keeps its ``cap`` nearest."""
     new = candidates.groupBy("id").agg(F.collect_set(F.struct("dot", "other")).alias("new"))
     near = F.slice(F.sort_array(F.array_union("near", F.coalesce("new", F.array().cast(new.schema["new"].dataType))), asc=False), F.lit(1), F.col("cap"))
     out = graph.join(new, "id", "left").withColumn("all", near)
     fresh = F.filter("all", lambda x: ~F.array_contains("near", x))
-    return written(out.select("id", "cap", F.col("all").alias("near"), F.transform(F.array_union(F.filter("all", lambda x: F.array_contains("fresh", x["other"])), fresh), lambda x: x["other"]).alias("fresh")), "graph")
+    return written(out.select("id", "cap", F.col("all").alias("near"), F.transform(F.array_union(F.filter("all", lambda x: F.array_contains("fresh", x["other"])), fresh), lambda x: x["other"]).alias("fresh")), "graph", instead=replaced)
 
 
 def descended(graph: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def descended(graph: DataFrame, nodes: DataFrame) -> DataFrame:
         )
         candidates = lists.mapInArrow(_met(arrow), f"id {kind}, other {kind}, dot long")
         settled = graph.join(waits, "id", "left").withColumn("fresh", F.array_intersect("fresh", F.coalesce("waits", F.array().cast(f"array<{kind}>")))).drop("waits")
-        graph = _merged(settled, candidates)
+        graph = _merged(settled, candidates, graph)
         if (graph.agg(F.sum(F.size("fresh"))).first()[0] or 0) <= 0.001 * LIST * total:
             break
     return graph
