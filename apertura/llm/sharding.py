@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 #: Source parts, and fine shards at most (or as many as shards); rows of a range that is ranked at once.
 PARTS = 512
-ROWS = 4096
+ROWS = 1024
 SEED = 20240
 
 

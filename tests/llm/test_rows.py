@@ -71,7 +71,7 @@ def test_mix_meets_its_budgets(spark, seed):
     assert all(copies[r["doc_id"]] == -(-r["taken"] // max(1, r["size"])) for r in got if r["doc_id"] not in (None, 1002))
 
 
-@pytest.mark.parametrize(("n", "shards", "rows"), [(0, 3, 4096), (1, 40, 4096), (7, 3, 4096), (5000, 40, 4096), (5000, 40, 4), (3000, 3, 2), (1000, 1, 4096)])
+@pytest.mark.parametrize(("n", "shards", "rows"), [(0, 3, 1024), (1, 40, 1024), (7, 3, 1024), (5000, 40, 1024), (5000, 40, 4), (3000, 3, 2), (1000, 1, 1024)])
 def test_shards_are_exact_and_gapless(spark, monkeypatch, n, shards, rows):
     """With few rows a range, parts and fine shards are ranked in ranges of their keys."""
     monkeypatch.setattr(sharding, "ROWS", rows)
