@@ -8,7 +8,7 @@ shard ranks what it got by a second random key. A shard is a run of fine shards
 beforehand, so a row's slot needs no further count.
 
 Only the counts of the parts come to the driver and only the matrix goes back: PARTS by at most PARTS and a
-shard's worth of numbers, whatever the rows. A part or fine shard of more than ROWS rows is ranked in
+shard's worth of numbers, whatever the rows. A part or fine shard of twice ROWS rows or more is ranked in
 ranges of its random keys: counts of the ranges, added up, tell the ranks at which they begin, so that the
 rows a task sorts don't grow with the table.
 """
@@ -80,9 +80,9 @@ def fine_sizes(n: int, shards: int, fine: int) -> list[int]:
 def _ranked(df: DataFrame, group: str, key: Column, ties: list[str], largest: int, name: str) -> DataFrame:
     """``df`` with the rank, from 1, of each row in its group by a hash key that is spread evenly.
 
-    Groups of up to ``largest`` rows are cut into ranges of about ROWS rows by the key's leading bits.
+    Groups of up to ``largest`` rows are cut by the key's leading bits into ranges of ROWS rows or up to twice as many.
     """
-    bits = max(0, math.ceil(math.log2(max(1, largest) / ROWS)))
+    bits = max(0, math.floor(math.log2(max(1, largest) / ROWS)))
     within = [F.col(group)]
     if bits:
         df = df.withColumn("__sub", F.shiftrightunsigned(key, 64 - bits))
