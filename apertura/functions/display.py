@@ -53,6 +53,8 @@ def shown_degrees(dms: Column) -> Column:
 def _shown_of(df: DataFrame, record: str, field: str) -> Column:
     """The text of a record's field, by its type where that matters."""
     kind, value = df.schema[record].dataType[field].dataType, F.col(f"{record}.{field}")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        value = F.when(~F.isnan(value), value)
     return shown_degrees(value) if isinstance(kind, T.ArrayType) else shown(field, value)
 
 

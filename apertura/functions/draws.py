@@ -12,12 +12,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEED = 42
+#: Draws that take their 32 bits from one digest; a name that stands in none has a digest of its own.
+GROUPS = (
+    ("camera", "location", "lens", "sub_sec"),
+    ("shutter", "aperture", "iso", "focal"),
+    ("date", "hour", "minute", "second"),
+    ("flash", "metering", "program", "white_balance"),
+    ("lat", "lon", "altitude", "dpi"),
+    ("seq", "name_hour", "name_minute", "name_second"),
+    ("crop_top", "crop_bottom", "crop_left", "crop_right"),
+    ("max_edge", "angle", "quality"),
+)
+PLACES = {name: (group[0], 8 * k + 1) for group in GROUPS for k, name in enumerate(group)}
 
 
 def draw(key: Column, name: str, seed: int = SEED) -> Column:
     """A whole number from 0 to 2**32 - 1."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.lit(name)))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    group, at = PLACES.get(name, (name, 1))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.lit(group)))
+    return F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
 
 
 def unit(key: Column, name: str, seed: int = SEED) -> Column:

@@ -60,6 +60,11 @@ def verified(df: DataFrame, primary: str, fallback: str, primary_error: Column |
     )
 
 
+def n_fields(record: Column, names: list[str]) -> Column:
+    """How many of the record's fields are there; none of a null record's are."""
+    return sum((F.coalesce(record[n].isNotNull().cast("int"), F.lit(0)) for n in names), F.lit(0))
+
+
 def has_fields(record: Column, names: list[str]) -> Column:
     """Whether any of the record's fields is there."""
-    return F.coalesce(F.greatest(*[record[n].isNotNull() for n in names]), F.lit(False))
+    return n_fields(record, names) > 0

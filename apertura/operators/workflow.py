@@ -71,6 +71,14 @@ def randomized(items: DataFrame, keep_date: bool = False, as_of: str = G.AS_OF,
     return _written(df, "content", names, keep_date, as_of, seed)
 
 
+def _encoded(df: DataFrame, seed: int) -> DataFrame:
+    """``df`` with its ``image`` rendered under a ``plan`` and encoded as ``__jpeg``."""
+    df = df.withColumns({"__width": F.col("image.width"), "__height": F.col("image.height")})
+    df = rendered(render_plan(df, "item_id", "__width", "__height", seed), "item_id", seed=seed).drop("image")
+    r = lambda name: F.col(f"rendered.{name}")
+    return df.withColumn("__jpeg", encode_jpeg(r("data"), r("width"), r("height"), r("channels"), F.col("plan.quality"))).drop("rendered")
+
+
 def reencoded(images: DataFrame, keep_date: bool = False, as_of: str = G.AS_OF, seed: int = SEED) -> DataFrame:
     """Decoded images (``item_id, image`` and, to keep the date, ``content``) from pixels to verified files.
 
@@ -81,10 +89,7 @@ def reencoded(images: DataFrame, keep_date: bool = False, as_of: str = G.AS_OF,
     df = images.select(*[c for c in images.columns if c not in (*DONE, "plan")])
     if keep_date:
         df = df.withColumn("__day", original_day(read_tags("content")).cast("timestamp"))
-    df = df.drop("content").withColumns({"__width": F.col("image.width"), "__height": F.col("image.height")})
-    df = rendered(render_plan(df, "item_id", "__width", "__height", seed), "item_id", seed=seed).drop("image")
-    r = lambda name: F.col(f"rendered.{name}")
-    df = df.withColumn("__jpeg", encode_jpeg(r("data"), r("width"), r("height"), r("channels"), F.col("plan.quality"))).drop("rendered")
+    df = _encoded(df.drop("content"), seed)
     return _written(df, "__jpeg", [*names, "plan"], keep_date, as_of, seed)
 
 
@@ -97,6 +102,15 @@ def stripped_items(items: DataFrame, as_of: str = G.AS_OF, seed: int = SEED) ->
     )
 
 
+def stripped_images(images: DataFrame, as_of: str = G.AS_OF, seed: int = SEED) -> DataFrame:
+    """As stripped_items(), for decoded images (``item_id, image``): encoded anew, so nothing but pixels is left."""
+    names = [c for c in images.columns if c not in (*DONE, "plan", "image", "content")]
+    done = _encoded(images.select(*names, "image"), seed)
+    name = G.output_name(F.lit(""), F.col("item_id"), as_of, seed)
+    good = F.col("__jpeg").isNotNull()
+    return done.select(*names, "plan", F.col("__jpeg").alias("output"), F.when(good, name).alias("output_name"), F.when(~good, "the image can't be read").alias("error"))
+
+
 def item_status(processing: Column, error: Column, has_output: Column, has_fake: Column) -> Column:
     """Processing, Error, Randomized, Stripped or Loaded, the first that holds."""
     yes = lambda c: F.coalesce(c, F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from apertura.functions.draws import SEED
+from apertura.functions.draws import PLACES, SEED
 from apertura.operators.generate import AS_OF
 from apertura.plans.dimension_sql import ROWS_SQL
 
@@ -27,7 +27,8 @@ def _dim(name: str) -> str:
 
 
 def _draw(key: str, name: str) -> str:
-    return f"cast(('0x' || substr(md5('{SEED}:' || cast({key} as varchar) || ':{name}'), 1, 8)) as bigint)"
+    group, at = PLACES.get(name, (name, 1))
+    return f"cast(('0x' || substr(md5('{SEED}:' || cast({key} as varchar) || ':{group}'), {at}, 8)) as bigint)"
 
 
 def _unit(key: str, name: str) -> str:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from apertura.functions import display as D
 from apertura.functions import exif_bytes as X
 from apertura.functions import jpeg as jpeg_codec
 from apertura.functions.draws import pick, unit
@@ -120,7 +121,9 @@ def test_verified(spark):
     got = [(r["verified"], r["parser"], r["warning"] is None, r["error"] is None) for r in R.verified(df, "a", "b").collect()]
     assert got == [(1, "primary", True, True), (2, "fallback", False, True), (None, None, True, False)]
     record = spark.range(1).select(F.struct(F.lit(1).alias("x"), F.lit(None).cast("int").alias("y")).alias("r"))
-    assert record.select(R.has_fields(F.col("r"), ["x", "y"]), R.overridden(F.col("r"), y=F.lit(5))["y"]).first()[:] == (True, 5)
+    assert record.select(R.has_fields(F.col("r"), ["x", "y"]), R.n_fields(F.col("r"), ["x", "y"]), R.overridden(F.col("r"), y=F.lit(5))["y"]).first()[:] == (True, 1, 5)
+    nothing = spark.sql("select double('NaN') as FNumber, double(28) as FocalLength").select(F.struct("*").alias("record"))
+    assert [(r["field"], r["text"]) for r in D.display_fields(nothing, "record", []).collect()] == [("FocalLength", "28mm")]
 
 
 def test_status_order(spark):
@@ -199,6 +202,9 @@ def test_from_pixels_to_verified_files(spark, tmp_path):
     assert out["a.jpg"]["fake"]["DateTimeOriginal"].date() == first["fake"]["DateTimeOriginal"].date()
     broken = both.withColumn("image", F.col("image").withField("data", F.lit(None).cast("binary")))
     assert all(r["error"] and r["output"] is None for r in W.reencoded(broken).collect())
+    bare = W.stripped_images(both)
+    assert bare.select(X.read_tags("output").isNull().alias("bare"), (F.col("error").isNull() & F.col("output_name").isNotNull()).alias("good")).distinct().collect() == [(True, True)]
+    assert all(r["error"] and r["output"] is None and r["output_name"] is None for r in W.stripped_images(broken).collect())
     found = {r["name"]: r for r in images.hydrated(items).collect()}
     assert found["a.jpg"]["record"]["Make"] == first["fake"]["Make"] and found["b.jpg"]["record"] is None and found["b.jpg"]["iptc"] is None
 
