@@ -26,8 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of orders, spread over the tasks: a record is much work for eight bytes, and a small table is one partition."""
-    return table(spark, sf_dir, "orders").select("o_orderkey").repartition("o_orderkey")
+    """Keys of orders, spread over the tasks: a record is much work for eight bytes, and a small table is one partition.
+
+    With a number, as adaptive execution would join so small partitions into one again.
+    """
+    return table(spark, sf_dir, "orders").select("o_orderkey").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
 
 
 def cameras_by_make(spark: SparkSession, sf_dir: str) -> DataFrame:
