@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from apertura.llm import decontamination, html_crf, lang_cnn, mixing, quality_mil, secret_scan, sharding, superminhash, url_rules, vector_neighbours
+from apertura.llm import decontamination, fill_in_middle, html_crf, importance, lang_cnn, mixing, piece_bpe, quality_mil, secret_scan, sharding, superminhash, url_rules, vector_neighbours
 from apertura.llm.shared import table
 
 
@@ -51,6 +51,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scanned(table(spark, sf_dir, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.piece_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fim_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_vector_neighbours": op1_vector_neighbours,
@@ -63,6 +75,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_shards": op9_shards,
         "op10_secrets": op10_secrets,
+        "op11_pieces": op11_pieces,
+        "op12_importance": op12_importance,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
@@ -72,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_mix_sources": mixing.MIX_SQL,
         "op5_near_duplicates": superminhash.NEAR_DUPLICATES_SQL,
         "op6_url_rules": url_rules.URL_SQL,
+        "op13_fill_in_middle": fill_in_middle.FIM_SQL,
     }
