@@ -155,7 +155,9 @@ def fitted(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model | None
     Rows whose id or label is null are not labels; of several labels of an id the smallest counts.
     """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    few = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "quality").limit(SAMPLE_DOCS).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    # One label of an id, and only ids that have a document: neither repeats nor strangers take places in the sample.
+    once = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    few = once.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(SAMPLE_DOCS)
     rows = docs.select("doc_id", docs["text"].cast("string").cast("binary").alias("text")).join(F.broadcast(few), "doc_id").select("doc_id", "quality", "text", F.xxhash64(F.lit(seed), "text").alias("h"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +174,8 @@ def fitted(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model | None
     kind = docs.schema["doc_id"].dataType.simpleString()
     passages = rows.mapInArrow(encode, f"doc_id {kind}, quality int, h long, x binary")
     # However often an id is repeated, one row of it, by the hash of its text, comes to the driver.
-    once = passages.groupBy("doc_id").agg(F.min(F.struct("h", "quality", "x")).alias("s")).select("doc_id", "s.quality", "s.x")
-    got = sorted(once.select(F.xxhash64(F.lit(seed), "doc_id"), "quality", "x").collect(), key=lambda r: (r[0], bytes(r[2])))
+    bags_of = passages.groupBy("doc_id").agg(F.min(F.struct("h", "quality", "x")).alias("s")).select("doc_id", "s.quality", "s.x")
+    got = sorted(bags_of.select(F.xxhash64(F.lit(seed), "doc_id"), "quality", "x").collect(), key=lambda r: (r[0], bytes(r[2])))
     if len({r[1] for r in got}) < 2:
         return None
     bags = [np.frombuffer(bytes(r[2]), np.float16).reshape(-1, FEATURES).astype(np.float64) for r in got]

@@ -246,3 +246,25 @@ def test_main_text_odd_rows(spark):
     assert [(r["text"], r["n_chars"]) for r in got if r["page_id"] in (1, 2)] == [("", 0), ("", 0)]
     assert sorted(r["n_chars"] for r in got)[2:] == [29, 40, 1_019_999] and all(len(r["text"]) == r["n_chars"] for r in got)
     assert html_crf.extracted(pages.limit(0)).count() == 0
+
+
+def test_texts_of_numerals_have_no_language(spark):
+    rows = [(k, "the and of" if k % 2 else "der die und", "en" if k % 2 else "de", None, 1) for k in range(60)]
+    rows += [(900 + k, t, None, None, 1) for k, t in enumerate(["½ ² Ⅷ", "１２ ٣", "_ __", "½ a"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.lang_pred for r in lang_cnn.identified(docs).collect()}
+    assert [got[900 + k] for k in range(3)] == ["und"] * 3
+    assert got[903] in ("en", "de")
+
+
+def test_repeated_and_foreign_labels_take_no_places_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality_mil, "SAMPLE_DOCS", 40)
+    good, bad = "clear careful words about rivers and hills ", "x9 zz qq !! buy now "
+    docs = spark.createDataFrame([(k, (good if k % 2 else bad) * 3, None, None, 1) for k in range(120)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = [(k, k % 2, 0) for k in range(120)]
+    kind = "doc_id long, quality int, toxic int"
+    plain = {r.doc_id: r.score for r in quality_mil.scored(docs, spark.createDataFrame(labels, kind)).collect()}
+    more = [(1, 1, 0)] * 3000 + [(2, 0, 0)] * 3000 + [(k, k % 2, 0) for k in range(10_000, 13_000)]
+    again = {r.doc_id: r.score for r in quality_mil.scored(docs, spark.createDataFrame(labels + more, kind)).collect()}
+    assert again == pytest.approx(plain)
+    assert min(plain[k] for k in plain if k % 2) > max(plain[k] for k in plain if not k % 2)
