@@ -12,7 +12,7 @@ import functools
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -69,19 +69,47 @@ def run_crcs(crcs: np.ndarray, lengths: np.ndarray, longest: int = LONGEST_RUN)
     return found
 
 
-def feature_buckets(text: bytes, longest: int = LONGEST_RUN, buckets: int = BUCKETS) -> Iterator[tuple[int, np.ndarray]]:
-    """For pieces of a whole text, the number of new words and the buckets of the runs that end in the piece."""
-    words = (m.group() for m in WORD.finditer(text.translate(FOLD)))
-    old_crcs, old_lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    while piece := list(islice(words, PIECE)):
-        crcs = np.concatenate([old_crcs, np.fromiter(map(zlib.crc32, piece), np.uint32, len(piece))])
-        lengths = np.concatenate([old_lengths, np.fromiter(map(len, piece), np.int64, len(piece))])
-        old = len(old_crcs)
-        # A run of k + 1 words that begins at i ends at i + k; those that end before the piece were counted before.
-        runs = [r[max(0, old - k) :] for k, r in enumerate(run_crcs(crcs, lengths, longest))]
-        yield len(piece), np.concatenate(runs) % np.uint32(buckets)
+def feature_buckets(texts: Iterable[bytes], longest: int = LONGEST_RUN, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For pieces of PIECE words of whole texts: the texts' places by word, and by feature, and the features' buckets.
+
+    A piece has the words of many short texts or part of a long one; each run is given once, in the piece it ends in.
+    """
+    old = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def piece(words: list[bytes], places: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        nonlocal old
+        own = np.repeat(*np.array(places, np.int64).T)
+        new = (np.fromiter(map(zlib.crc32, words), np.uint32, len(words)), np.fromiter(map(len, words), np.int64, len(words)), own)
+        before = len(old[0])
+        crcs, lengths, owner = (np.concatenate(pair) for pair in zip(old, new, strict=True))
+        found, owners = [], []
+        for k, run in enumerate(run_crcs(crcs, lengths, longest)):
+            # The run of k + 1 words from i on ends at i + k: in this piece, and in the same text.
+            start = max(0, before - k)
+            first, last = owner[start : len(run)], owner[start + k : len(run) + k]
+            found.append(run[start:][first == last])
+            owners.append(first[first == last])
         keep = max(0, len(crcs) - longest + 1)
-        old_crcs, old_lengths = crcs[keep:], lengths[keep:]
+        old = (crcs[keep:], lengths[keep:], owner[keep:])
+        return own, np.concatenate(owners), np.concatenate(found) % np.uint32(buckets)
+
+    words: list[bytes] = []
+    places: list[tuple[int, int]] = []
+    for at, text in enumerate(texts):
+        folded = text.translate(FOLD)
+        rest = iter(WORD.findall(folded)) if len(folded) <= PIECE else (m.group() for m in WORD.finditer(folded))
+        while more := list(islice(rest, PIECE - len(words))):
+            words += more
+            places.append((at, len(more)))
+            if len(words) >= PIECE:
+                yield piece(words, places)
+                words, places = [], []
+    if words:
+        yield piece(words, places)
+
+
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    return ((text.as_py() or "").encode() for text in column)
 
 
 def bucket_counts(texts: DataFrame, longest: int = LONGEST_RUN, buckets: int = BUCKETS) -> DataFrame:
@@ -90,9 +118,8 @@ def bucket_counts(texts: DataFrame, longest: int = LONGEST_RUN, buckets: int = B
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                for _, found in feature_buckets((text.as_py() or "").encode(), longest, buckets):
-                    total += np.bincount(found, minlength=buckets)
+            for _, _, found in feature_buckets(_texts(batch.column(0)), longest, buckets):
+                total += np.bincount(found, minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bucket", "n"])
 
@@ -118,14 +145,13 @@ def weighed(docs: DataFrame, gain: np.ndarray, longest: int = LONGEST_RUN) -> Da
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                words = features = total = 0
-                for new, found in feature_buckets((text.as_py() or "").encode(), longest, len(table)):
-                    words, features, total = words + new, features + len(found), total + int(table[found].sum())
-                rows.append((words, features, total // features if features else 0))
-            columns = zip(*rows, strict=True) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), *(pa.array(list(c), pa.int64()) for c in columns)], ["doc_id", "n_words", "n_features", "weight"])
+            words, features, total = np.zeros((3, batch.num_rows), np.int64)
+            for own, owner, found in feature_buckets(_texts(batch.column(1)), longest, len(table)):
+                words += np.bincount(own, minlength=batch.num_rows)
+                features += np.bincount(owner, minlength=batch.num_rows)
+                np.add.at(total, owner, table[found])
+            weight = np.floor_divide(total, np.maximum(features, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), *map(pa.array, (words, features, weight))], ["doc_id", "n_words", "n_features", "weight"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_features long, weight long"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(weigh, schema)

@@ -98,11 +98,14 @@ def test_crcs_of_runs_equal_those_of_their_strings(monkeypatch, longest):
     words = ["w" * rng.randint(1, 300) if rng.random() < 0.1 else rng.choice(["a", "Bc", "déf", "日本", "x9"]) for _ in range(47)]
     got = Counter()
     n = 0
-    for new, found in importance.feature_buckets("-".join(words).encode(), longest, 1 << 20):
-        n += new
-        got.update(found.tolist())
+    cut = "-".join(words[:13]), "", "-".join(words[13:14]), "-".join(words[14:])
+    for own, owner, found in importance.feature_buckets([t.encode() for t in cut], longest, 1 << 20):
+        n += len(own)
+        assert len(owner) == len(found)
+        got.update(zip(owner.tolist(), found.tolist(), strict=True))
     low = [w.translate(FOLD) for w in words]
-    want = Counter(zlib.crc32(" ".join(low[k : k + m]).encode()) % (1 << 20) for m in range(1, longest + 1) for k in range(len(low) - m + 1))
+    parts = {0: low[:13], 2: low[13:14], 3: low[14:]}
+    want = Counter((at, zlib.crc32(" ".join(w[k : k + m]).encode()) % (1 << 20)) for at, w in parts.items() for m in range(1, longest + 1) for k in range(len(w) - m + 1))
     assert n == len(words)
     assert got == want
 
