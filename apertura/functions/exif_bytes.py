@@ -188,19 +188,23 @@ def _read_directory(tiff: bytes, order: str, at: int, known: dict) -> tuple[dict
     return found, pointers
 
 
+def tiff_tags(tiff: bytes) -> dict:
+    """The record of tags of a TIFF block, as all containers hold it. Raises ValueError or struct.error for broken bytes."""
+    order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
+    if order is None or struct.unpack(order + "H", tiff[2:4])[0] != 42:
+        raise ValueError("broken TIFF header")
+    ifd0, pointers = _read_directory(tiff, order, struct.unpack(order + "I", tiff[4:8])[0], TAGS["ifd0"])
+    out = {"ifd0": ifd0}
+    for name, tag in (("exif", EXIF_POINTER), ("gps", GPS_POINTER)):
+        out[name] = _read_directory(tiff, order, pointers[tag], TAGS[name])[0] if tag in pointers else {}
+    return out
+
+
 def parsed(data: bytes) -> dict:
     """The record of tags of a JPEG's Exif block; empty without one. Raises ValueError or struct.error for broken bytes."""
     for marker, a, b in segments(data):
         if marker == 0xE1 and data[a + 4 : a + 10] == b"Exif\0\0":
-            tiff = data[a + 10 : b]
-            order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
-            if order is None or struct.unpack(order + "H", tiff[2:4])[0] != 42:
-                raise ValueError("broken TIFF header")
-            ifd0, pointers = _read_directory(tiff, order, struct.unpack(order + "I", tiff[4:8])[0], TAGS["ifd0"])
-            out = {"ifd0": ifd0}
-            for name, tag in (("exif", EXIF_POINTER), ("gps", GPS_POINTER)):
-                out[name] = _read_directory(tiff, order, pointers[tag], TAGS[name])[0] if tag in pointers else {}
-            return out
+            return tiff_tags(data[a + 10 : b])
     return {}
 
 
