@@ -21,7 +21,7 @@ from apertura.plans.render import render_plan
 def original_day(tags: Column) -> Column:
     """The calendar day of a record of tags: of the first date text given, with months and days rolled over."""
     fields = display_fields_of(tags)
-    return S.rolled_date(S.first_given(fields["DateTimeOriginal"], fields["DateTime"]))
+    return S.rolled_date(S.first_given(fields["DateTimeOriginal"], fields["DateTime"], tags["exif"]["DateTimeDigitized"]))
 
 
 DONE = ("output", "fake", "output_name", "city", "parser", "warning", "message", "error", "is_synthetic")
