@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from apertura.functions import display as D
 from apertura.functions import scalars as S
+from apertura.functions.containers import KINDS, build_file, file_kind, read_file_tags
 from apertura.functions.exif_bytes import read_tags
 from apertura.operators import generate as G
 from apertura.operators import records as R
 from apertura.operators import workflow as W
+from apertura.operators.sequence import load_order
+from apertura.operators.sequence import unique_names as unique_file_names
 from apertura.plans.render import render_plan
 from apertura.sources import dims
 from apertura.sources.images import item_id
@@ -245,6 +248,32 @@ def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rec.select("o_orderkey", G.output_name(F.coalesce(make, F.lit("")), F.col("o_orderkey")).alias("output_name"))
 
 
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output names of orders, numbered where they repeat."""
+    return unique_file_names(output_names(spark, sf_dir), "output_name", F.col("o_orderkey"))
+
+
+def load_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events loaded in two batches, each in the order of its times; the second goes on after the first."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    early = F.dayofmonth("ts") <= 15
+    order = (F.col("ts").asc_nulls_first(), F.col("event_id"))
+    first = load_order(events.where(early), *order)
+    second = load_order(events.where(~early), *order, loaded=first)
+    return first.unionByName(second).select("event_id", F.dayofmonth("ts").alias("day"), "load_seq")
+
+
+def container_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as PNG, WebP, HEIC, TIFF and JPEG files in turn, and read back; every thirteenth file is cut off."""
+    k = F.col("o_orderkey")
+    rec = G.synthetic_records(_order_keys(spark, sf_dir), "o_orderkey").select("o_orderkey", G.tag_record().alias("tags"))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (k % len(KINDS) + 1).cast("int"))
+    files = rec.select("o_orderkey", kind.alias("kind"), build_file(kind, F.col("tags")).alias("content"))
+    files = files.withColumn("content", F.when(k % 13 == 0, F.substring("content", 1, 30)).otherwise(F.col("content")))
+    read = files.select("o_orderkey", "kind", file_kind("content").alias("found"), read_file_tags("content").alias("t"))
+    return read.select("o_orderkey", "kind", "found", F.col("t.ifd0.Make").alias("make"), F.col("t.exif.ISOSpeedRatings").alias("iso"), F.get("t.gps.GPSLatitude", F.lit(0))["num"].alias("lat_0"))
+
+
 def split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.element_at(F.split("url", "/"), -1)
     return table(spark, sf_dir, "pages").select("page_id", S.split_name(name)["base"].alias("base"), S.split_name(name)["ext"].alias("ext"))
@@ -282,6 +311,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         synthetic_metadata, cameras_by_make, camera_options, lens_range_join, lens_unmatched, prefix_filter, bytes_texts, dms_encode, dms_round_trip, rational_decode, exif_datetimes,
         keep_date, rolled_dates, apex_values, export_plans, tag_values, exif_round_trip, enforce_gps, code_labels, display_fields, field_counts, html_records, item_status,
         batch_summary, processed_items, output_names, split_names, escape_html, data_urls, verify_fallback, map_links,
-        pixel_sizes, degree_arrays, item_ids, strip_round_trip, reencoded_images,
+        pixel_sizes, degree_arrays, item_ids, strip_round_trip, reencoded_images, unique_names, load_sequence, container_tags,
     ]
     return {f.__name__: f for f in found}

@@ -241,6 +241,15 @@ def oracle_sql() -> dict[str, str]:
         "output_names": f"""with {_dim("cameras")}, m as (
               select o.{_K}, case when o.{_K} % 10 != 0 then c.make else '' end as make from orders o join cameras c on c.camera_id = {_int("o." + _K, "camera", 0, 18)})
             select {_K}, {_name(_K, "make")} as output_name from m""",
+        "unique_names": f"""with {_dim("cameras")}, m as (
+              select o.{_K}, case when o.{_K} % 10 != 0 then c.make else '' end as make from orders o join cameras c on c.camera_id = {_int("o." + _K, "camera", 0, 18)}),
+            n as (select {_K}, {_name(_K, "make")} as output_name from m),
+            r as (select *, row_number() over (partition by output_name order by {_K}) as nth, regexp_extract(output_name, '(\\.[^.]*)$', 1) as ending from n)
+            select {_K}, output_name, case when nth = 1 then output_name else left(output_name, length(output_name) - length(ending)) || ' (' || nth || ')' || ending end as unique_name from r""",
+        "load_sequence": """select event_id, cast(day(ts) as int) as day, row_number() over (order by day(ts) > 15, ts nulls first, event_id) as load_seq from events""",
+        "container_tags": f"""with {RECORDS}, k as (select *, ['png', 'webp', 'heic', 'tiff', 'jpeg'][cast({_K} % 5 + 1 as int)] as kind, {_K} % 13 != 0 as whole from rec)
+            select {_K}, kind, kind as found, case when whole then make end as make, case when whole then least(iso, 65535) end as iso,
+              case when whole then cast(floor(abs(lat)) as int) end as lat_0 from k""",
         "split_names": """with n as (select page_id, coalesce(nullif(trim(string_split(url, '/')[-1]), ''), 'image.jpg') as name from pages),
             e as (select *, coalesce(nullif(regexp_extract(name, '(\\.[^.]+)$', 1), ''), '') as ext from n)
             select page_id, coalesce(nullif(trim(coalesce(nullif(left(name, length(name) - length(ext)), ''), name)), ''), 'image') as base, trim(ext) as ext from e""",

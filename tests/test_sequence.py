@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from apertura.operators.sequence import load_order, numbered
+from apertura.operators.sequence import load_order, numbered, numbered_within, unique_names
 
 
 @pytest.mark.parametrize("parts", [1, 3, 16])
@@ -27,3 +27,20 @@ def test_a_second_batch_goes_on(spark):
     assert [r.load_seq for r in second.orderBy("k").collect()] == [11, 12, 13, 14, 15]
     assert load_order(spark.range(0).toDF("k"), F.col("k"), loaded=first).count() == 0
     assert load_order(spark.range(2).toDF("k"), F.col("k"), loaded=first.limit(0)).agg(F.min("load_seq")).first()[0] == 1
+
+
+def test_numbers_within_groups_of_any_size(spark):
+    rows = [("hot", k) for k in range(600)] + [(None, k) for k in range(5)] + [(f"g{k % 9}", k) for k in range(90)]
+    df = spark.createDataFrame(rows, "g string, k int").repartition(7)
+    got = numbered_within(df, "g", F.col("k")).collect()
+    assert {(r.g, r.k): r.nth for r in got} == {(g, k): 1 + sum(h == g and j < k for h, j in rows) for g, k in rows}
+
+
+def test_names_that_look_numbered_meet_no_other(spark):
+    names = ["a.jpg", "a.jpg", "a.jpg", "a (2).jpg", "a (2).jpg", "a (2) (1).jpg", "b", "b", "b (2)", "", "", None, "x.tar.gz", "x.tar.gz"]
+    df = spark.createDataFrame(list(enumerate(names)), "k int, n string")
+    got = {r.k: r.unique_name for r in unique_names(df, "n", F.col("k")).collect()}
+    given = [n for n in got.values() if n is not None]
+    assert len(given) == len(set(given)) == len(names) - 1
+    assert (got[0], got[1], got[2], got[11]) == ("a.jpg", "a (2).jpg", "a (3).jpg", None)
+    assert got[13] == "x.tar (2).gz"
