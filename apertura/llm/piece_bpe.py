@@ -254,6 +254,17 @@ class Encoder:
         return text[1:] if first and lead is not None and self.v.pieces[lead].startswith(SPACE) else text
 
 
+#: The last encoder of this process: a reused Python worker goes on with what the task before it remembered.
+_last: dict[str, Encoder] = {}
+
+
+def _encoder(key: str, v: Vocabulary) -> Encoder:
+    if key not in _last:
+        _last.clear()
+        _last[key] = Encoder(v)
+    return _last[key]
+
+
 def _digest(encoder: Encoder, text: str) -> tuple[int, str, str]:
     """Number of ids, digest of the ids and of the decoded text, a bounded number of ids at a time."""
     ids_sha, text_sha, n = hashlib.sha256(), hashlib.sha256(), 0
@@ -278,9 +289,10 @@ def _digest(encoder: Encoder, text: str) -> tuple[int, str, str]:
 def _mapped(docs: DataFrame, model: str | None, names: list[str], types: list[pa.DataType], schema: str, row) -> DataFrame:  # noqa: ANN001
     content = Path(model or vocabulary_path()).read_bytes()
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(content))
+    key = hashlib.sha256(content).hexdigest()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(key, shared.value)
         for batch in batches:
             rows = [row(encoder, value.as_py()) for value in batch.column(1)]
             columns = zip(*rows, strict=True) if rows else [[] for _ in types]
