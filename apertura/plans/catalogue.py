@@ -14,6 +14,7 @@ from apertura.functions.exif_bytes import read_tags
 from apertura.operators import generate as G
 from apertura.operators import records as R
 from apertura.operators import workflow as W
+from apertura.operators.asof import asof_join
 from apertura.operators.sequence import load_order
 from apertura.operators.sequence import unique_names as unique_file_names
 from apertura.plans.render import render_plan
@@ -263,6 +264,16 @@ def load_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second).select("event_id", F.dayofmonth("ts").alias("day"), "load_seq")
 
 
+def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures (orders, a moment of January each) with the last event of their user up to then, at most two hours back."""
+    k = F.col("o_orderkey")
+    moment = F.timestamp_seconds(F.lit(1_704_067_200) + (k * 7919) % 2_592_000)
+    pictures = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), moment.alias("ts"))
+    points = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    got = asof_join(pictures, points, "user_id", "ts", tolerance=7200)
+    return got.select("o_orderkey", "user_id", F.col("matched.event_id").alias("event_id"))
+
+
 def container_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written as PNG, WebP, HEIC, TIFF and JPEG files in turn, and read back; every thirteenth file is cut off."""
     k = F.col("o_orderkey")
@@ -311,6 +322,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         synthetic_metadata, cameras_by_make, camera_options, lens_range_join, lens_unmatched, prefix_filter, bytes_texts, dms_encode, dms_round_trip, rational_decode, exif_datetimes,
         keep_date, rolled_dates, apex_values, export_plans, tag_values, exif_round_trip, enforce_gps, code_labels, display_fields, field_counts, html_records, item_status,
         batch_summary, processed_items, output_names, split_names, escape_html, data_urls, verify_fallback, map_links,
-        pixel_sizes, degree_arrays, item_ids, strip_round_trip, reencoded_images, unique_names, load_sequence, container_tags,
+        pixel_sizes, degree_arrays, item_ids, strip_round_trip, reencoded_images, unique_names, load_sequence, container_tags, track_points,
     ]
     return {f.__name__: f for f in found}

@@ -247,6 +247,9 @@ def oracle_sql() -> dict[str, str]:
             r as (select *, row_number() over (partition by output_name order by {_K}) as nth, regexp_extract(output_name, '(\\.[^.]*)$', 1) as ending from n)
             select {_K}, output_name, case when nth = 1 then output_name else left(output_name, length(output_name) - length(ending)) || ' (' || nth || ')' || ending end as unique_name from r""",
         "load_sequence": """select event_id, cast(day(ts) as int) as day, row_number() over (order by day(ts) > 15, ts nulls first, event_id) as load_seq from events""",
+        "track_points": """with p as (select o_orderkey, o_custkey % 150 as user_id, timestamp '2024-01-01' + to_seconds(cast((o_orderkey * 7919) % 2592000 as bigint)) as ts from orders)
+            select p.o_orderkey, p.user_id, case when epoch_us(p.ts) - epoch_us(e.ts) <= 7200000000 then e.event_id end as event_id
+            from p asof left join events e on p.user_id = e.user_id and p.ts >= e.ts""",
         "container_tags": f"""with {RECORDS}, k as (select *, ['png', 'webp', 'heic', 'tiff', 'jpeg'][cast({_K} % 5 + 1 as int)] as kind, {_K} % 13 != 0 as whole from rec)
             select {_K}, kind, kind as found, case when whole then make end as make, case when whole then least(iso, 65535) end as iso,
               case when whole then cast(floor(abs(lat)) as int) end as lat_0 from k""",
