@@ -1,15 +1,20 @@
-"""Benchmark decontamination: rare-word seeds, then Smith-Waterman alignment of words (operator 8).
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words (operator 8).
 
-First the documents that hold each word are counted. A copy that reaches the least score matches at least
-that share of the item's words, so of the rarest places beyond the others it matches one at least: those are
-the item's seeds, and no copy is without one, however its words were replaced, put in or left out. Documents
-are joined with the seeds by word, items of which too few words and word pairs are near each other for the
-least score are left out, and the rest is aligned.
+The n-grams are pairs of words with at most one word between them, in the item and in the document. A copy
+that reaches the least score spends less than two words on most of the ways from one matched word to the
+next, so at least ``needed`` of the item's places begin a pair that the document has too. The places are
+ranked by how many documents hold their pairs; of the rarest ones, as many as a copy can do without and
+ASKED more are the item's seeds, and a document is asked to hit ASKED of them before the two become a pair.
+No copy is missed, however its words were replaced, put in or left out. Items too short for such a pair have
+their words as seeds.
+
+Of the pairs that come out, those are left out of which too few places are hit, or too few words and
+neighbours are near each other for the least score; the rest is aligned.
 
 Items up to BLOCK_ITEMS and BLOCK_BYTES travel to the tasks, so that the join needs no shuffle: one pass
-counts and one joins and aligns. More items stay tables: words are counted over all documents, and pairs of
-word and document meet the seeds in one shuffled join whatever the number of items; the documents and items
-of the pairs that come out are aligned, grouped by document.
+counts and one joins and aligns. More items stay tables: their pairs are counted over all documents and meet
+them in one shuffled join; a bit map of fixed size keeps most other pairs of the documents out of it. Seeds,
+and so the rows, are the same either way.
 """
 
 from __future__ import annotations
@@ -36,18 +41,32 @@ BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
 #: Bytes of documents that are worked on at a time.
 BYTES = 1 << 21
+#: Seeds that a document is asked to hit, where a copy hits as many for sure.
+ASKED = 2
+#: Bits of the map that keeps pairs of no item out of the join.
+MAP_BITS = 26
 
 
 @dataclass
 class Items:
-    """The items' words, one after the other, as numbers of a sorted vocabulary, and the items that have a word as a seed."""
+    """The items' words, one after the other, as numbers of a sorted vocabulary, and the keys of their places.
+
+    A place is a word of an item; its keys are those of the pairs that it begins, as numbers of the sorted
+    ``keys``, or of the word itself in a short item.
+    """
 
     ids: list
     starts: np.ndarray
     words: np.ndarray
     vocabulary: np.ndarray
-    first: np.ndarray  # of each word the first of its seeds
-    seeds: np.ndarray  # items
+    item: np.ndarray  # of each place
+    keys: np.ndarray
+    at: np.ndarray  # of each place its two keys; -1 for none
+    need: np.ndarray  # of each item the places that a copy hits
+    asked: np.ndarray  # and how many seeds
+    short: bool  # whether any item's keys are words
+    first: np.ndarray  # of each key the first of its seeds
+    seeds: np.ndarray  # places
     pairs: np.ndarray  # of each place the hash of its word and the next one; 0 at an item's end
 
     def of(self, i: int) -> np.ndarray:
@@ -77,14 +96,66 @@ def reached(matched: np.ndarray, adjacent: np.ndarray, length: np.ndarray | int,
     return enough & (matched >= matches(length, least))
 
 
-def seeds(starts: np.ndarray, own: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each item its words in the fewest documents: as many as a copy can do without, and one."""
+def needed(length: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of items of so many words the places that a copy with the least share of the full score hits, and whether they are short.
+
+    With m matched words the score is 2 m less what the m - 1 ways between them cost, which is at least the
+    longer of the two ways. At most m - t / 2 of them cost two or more for a score of t, so at least t / 2 - 1 don't.
+    """
+    score = np.ceil(least * MATCH * length - 1e-9)
+    places = np.ceil((score - MATCH) / (2 * APART)).astype(np.int64)
+    short = places < 1
+    return np.where(short, matches(length, least), places), short
+
+
+def gapped(own: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Keys of each word with the next one and with the one after it, in two rows; 0 where that is none of the same item."""
+    out = np.zeros((2, len(own)), np.uint64)
+    left = mix(own)
+    for k in (1, 2):
+        same = np.flatnonzero(item[:-k] == item[k:])
+        with np.errstate(over="ignore"):
+            out[k - 1, same] = mix(left[same] + own[same + k]) | np.uint64(1)
+    return out
+
+
+def single(own: np.ndarray) -> np.ndarray:
+    """Keys of words by themselves."""
+    return mix(~own) | np.uint64(1)
+
+
+def document_keys(doc: np.ndarray, known: np.ndarray | None, short: bool) -> np.ndarray:
+    """The distinct keys of a document's words, those of ``known`` places only where it is given."""
+    left, found = mix(doc), []
+    for k in (1, 2):
+        at = np.arange(max(len(doc) - k, 0)) if known is None else np.flatnonzero(known[:-k] & known[k:])
+        with np.errstate(over="ignore"):
+            found.append(mix(left[at] + doc[at + k]) | np.uint64(1))
+    if short:
+        found.append(single(doc if known is None else doc[known]))
+    return np.unique(np.concatenate(found))
+
+
+def item_keys(starts: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+    """Of the words of items (hashes): two keys of each place (0 for none), its item, and of each item the places a copy hits, the seeds asked and those to choose."""
     length = np.diff(starts)
     item = np.repeat(np.arange(len(length)), length)
-    order = np.lexsort((counts[own], item))
-    keep = order[np.arange(len(own)) - starts[item] < (length - matches(length, least) + 1)[item]]
-    keep = keep[np.argsort(own[keep], kind="stable")]
-    return np.searchsorted(own[keep], np.arange(len(counts) + 1)), item[keep]
+    need, short = needed(length, least)
+    keys = np.where(short[item], np.stack([single(own), np.zeros(len(own), np.uint64)]), gapped(own, item))
+    asked = np.minimum(need, np.where(short, 1, ASKED))
+    return keys, item, need, asked, np.where(short, length, length - 1) - need + asked
+
+
+def seeds(keys: np.ndarray, item: np.ndarray, chosen: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest places of each item, first ones first among equals, filed by their keys (numbers, -1 for none)."""
+    place = np.flatnonzero(keys[0] >= 0)
+    rarity = np.where(keys[:, place] >= 0, np.append(counts, 0)[keys[:, place]], 0).sum(axis=0)
+    place = place[np.lexsort((place, rarity, item[place]))]
+    rank = np.arange(len(place)) - np.searchsorted(item[place], item[place])
+    place = place[rank < chosen[item[place]]]
+    key, place = keys[:, place].ravel(), np.tile(place, 2)
+    order = np.argsort(key, kind="stable")[np.count_nonzero(key < 0) :]
+    return np.searchsorted(key[order], np.arange(len(counts) + 1)), place[order]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -105,21 +176,45 @@ def _spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
+def known_words(doc: np.ndarray, items: Items) -> np.ndarray:
+    """The document's words as numbers of the items' vocabulary; -1 for others."""
+    text = np.minimum(np.searchsorted(items.vocabulary, doc), len(items.vocabulary) - 1)
+    text[items.vocabulary[text] != doc] = -1
+    return text
+
+
+def known_keys(doc: np.ndarray, text: np.ndarray, items: Items) -> np.ndarray:
+    """The numbers of the items' keys that the document has."""
+    key = document_keys(doc, text >= 0, items.short)
+    at = np.minimum(np.searchsorted(items.keys, key), len(items.keys) - 1)
+    return at[items.keys[at] == key]
+
+
 def leaks(doc: np.ndarray, items: Items, least: float = LEAST) -> list[tuple[int, float, int, int, int]]:
     """(item, share of the full score, first word, word after the last, seeds) of the items that the words hold a copy of."""
     if not len(doc) or not len(items.vocabulary):
         return []
-    text = np.minimum(np.searchsorted(items.vocabulary, doc), len(items.vocabulary) - 1)
-    text[items.vocabulary[text] != doc] = -1
-    here, often = np.unique(text[text >= 0], return_counts=True)
-    count = items.first[here + 1] - items.first[here]
-    hit, back = np.unique(items.seeds[_spans(items.first[here], count)], return_inverse=True)
+    text = known_words(doc, items)
+    key = known_keys(doc, text, items)
+    place = np.unique(items.seeds[_spans(items.first[key], items.first[key + 1] - items.first[key])])
+    hit, n = np.unique(items.item[place], return_counts=True)
+    enough = n >= items.asked[hit]
+    return confirmed(doc, text, key, items, hit[enough], n[enough], least)
+
+
+def confirmed(doc: np.ndarray, text: np.ndarray, key: np.ndarray, items: Items, hit: np.ndarray, found_seeds: np.ndarray, least: float) -> list[tuple[int, float, int, int, int]]:
+    """The rows of leaks() of the items ``hit`` with so many seeds found, given the document's words and keys as numbers of the items'."""
+    there = np.zeros(len(items.keys) + 1, bool)
+    there[key] = True
+    length = items.starts[hit + 1] - items.starts[hit]
+    if len(hit):
+        places = there[items.at[:, _spans(items.starts[hit], length)]].any(axis=0)
+        enough = np.add.reduceat(places, np.cumsum(length) - length, dtype=np.int64) >= items.need[hit]
+        hit, length, found_seeds = hit[enough], length[enough], found_seeds[enough]
     if not len(hit):
         return []
-    found_seeds = np.bincount(back, np.repeat(often, count)).astype(np.int64)
     there = np.zeros(len(items.vocabulary), bool)
-    there[here] = True
-    length = items.starts[hit + 1] - items.starts[hit]
+    there[text[text >= 0]] = True
     held = np.add.reduceat(there[items.words[_spans(items.starts[hit], length)]], np.cumsum(length) - length, dtype=np.int64)
     may = np.flatnonzero(reached(held, held - 1, length, least))
     if not len(may):
@@ -166,69 +261,91 @@ def _bytes(df: DataFrame):  # noqa: ANN202
     return F.lower(df["text"].cast("string")).cast("binary")
 
 
-def _with_pairs(ids: list, w: Words, counts_of, least: float) -> Items:  # noqa: ANN001
-    """Items of the words, given the counts of documents of a sorted vocabulary."""
+def _items(ids: list, w: Words, counts_of, least: float) -> Items:  # noqa: ANN001
+    """Items of the words, given the counts of documents of sorted keys."""
     vocabulary, own = np.unique(w.hashes, return_inverse=True)
     two = pairs(own)
     two[w.starts[1:][np.diff(w.starts) > 0] - 1] = 0
-    return Items(ids, w.starts, own, vocabulary, *seeds(w.starts, own, counts_of(vocabulary), least), two)
+    keys, item, need, asked, chosen = item_keys(w.starts, w.hashes, least)
+    known = np.unique(keys[keys > 0])
+    at = np.where(keys > 0, np.searchsorted(known, keys), -1)
+    short = bool(needed(np.diff(w.starts), least)[1].any())
+    return Items(ids, w.starts, own, vocabulary, item, known, at, need, asked, short, *seeds(at, item, chosen, counts_of(known)), two)
 
 
 def small_items(docs: DataFrame, items: DataFrame, least: float) -> Items:
-    """The items, of bounded number and size, with their seeds; one pass over the documents counts the words."""
+    """The items, of bounded number and size, with their seeds; one pass over the documents counts their keys."""
     rows = items.collect()
     w = words([bytes(r[1]) for r in rows], letters=True)
-    known = np.unique(w.hashes)
+    plain = _items([], w, lambda known: np.zeros(len(known), np.int64), least)
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(len(known), np.int64)
+    def count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(len(plain.keys), np.int64)
         for batch in batches:
             for _, doc in _documents(batch, 0):
-                at = np.minimum(np.searchsorted(known, doc), len(known) - 1)
-                totals[np.unique(at[known[at] == doc])] += 1
+                totals[known_keys(doc, known_words(doc, plain), plain)] += 1
         there = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(totals[there])], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(totals[there])], ["key", "n"])
+
+    counts = np.zeros(len(plain.keys), np.int64)
+    if len(counts):
+        for key, n in docs.select(_bytes(docs).alias("text")).mapInArrow(count_keys, "key long, n long").groupBy("key").agg(F.sum("n")).collect():
+            counts[key] = n
+    return _items([r[0] for r in rows], w, lambda known: counts, least)
 
-    counts = np.zeros(len(known), np.int64)
-    if len(known):
-        for word, n in docs.select(_bytes(docs).alias("text")).mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n")).collect():
-            counts[word] = n
-    return _with_pairs([r[0] for r in rows], w, lambda vocabulary: counts, least)
+
+def key_map(keys: DataFrame) -> np.ndarray:
+    """A map of 2 ** MAP_BITS bits, whatever the number of ``key``, in which the first bits of each key are marked."""
+    bit = F.shiftrightunsigned("key", 64 - MAP_BITS)
+    marked = keys.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - MAP_BITS}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out[marked["at"].to_numpy()] = marked["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def mapped(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The keys whose first bits are marked."""
+    bit = keys >> np.uint64(64 - MAP_BITS)
+    return keys[(marks[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0]
 
 
 def joined_pairs(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
-    """``doc_id, h, item_id, item``: documents (by id and hash of the text) and items that share a seed, found by joins."""
+    """``doc_id, h, item, n_seeds``: documents (by id and hash of the text) and items of which they hit enough seeds, found by joins."""
 
-    def document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(doc) for _, doc in _documents(batch, 0)]
-            word, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+            for k, own in _documents(batch, 1):
+                keys, _, need, asked, chosen = item_keys(np.array([0, len(own)]), own, least)
+                kind, place = np.nonzero(keys)
+                same = [pa.array(np.full(len(place), x[0])) for x in (asked, chosen)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(place), k))), pa.array(place), pa.array(keys[kind, place].view(np.int64)), *same], ["item", "place", "key", "asked", "chosen"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    same_text = items.select(F.xxhash64("item_id", "text").alias("item"), "text").distinct()
+    of_items = written(same_text.mapInArrow(places, "item long, place long, key long, asked long, chosen long"), "places")
+    marks = key_map(of_items)
 
-    def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [doc for _, doc in _documents(batch, 1)]
-            lens = np.array([len(x) for x in own], np.int64)
-            at = pa.array(np.repeat(np.arange(len(own)), lens))
-            flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(flat), pa.array(np.repeat(lens, lens))], ["item", "word", "length"])
+            found = [mapped(document_keys(doc, None, True), marks) for _, doc in _documents(batch, 0)]
+            key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.unique(doc) for _, doc in _documents(batch, 2)]
+            own = [mapped(document_keys(doc, None, True), marks) for _, doc in _documents(batch, 2)]
             at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
             flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(flat)], ["doc_id", "h", "word"])
-
-    of_items = items.select(F.xxhash64("item_id", "text").alias("item"), "text").distinct().mapInArrow(item_words, "item long, word long, length long")
-    vocabulary = of_items.select("word").distinct()
-    counts = docs.select(_bytes(docs).alias("text")).mapInArrow(document_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).join(vocabulary, "word", "left_semi")
-    spare = F.col("length") - F.greatest(F.ceil(F.lit(least) * F.col("length") - 1e-9), F.lit(1)) + 1
-    order = Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "word")
-    seed = of_items.join(counts, "word", "left").withColumn("place", F.row_number().over(order)).where(F.col("place") <= spare).select("item", "word").distinct()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    hits = docs.select("doc_id", _hash(docs).alias("h"), _bytes(docs).alias("text")).mapInArrow(seen, f"doc_id {kind}, h long, word long")
-    return hits.join(seed, "word").select("doc_id", "h", "item").distinct()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(flat)], ["doc_id", "h", "key"])
+
+    counts = docs.select(_bytes(docs).alias("text")).mapInArrow(document_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rarity = F.sum(F.coalesce("n", F.lit(0))).alias("rarity")
+    ranked = of_items.join(counts, "key", "left").groupBy("item", "place", "asked", "chosen").agg(rarity, F.collect_list("key").alias("keys"))
+    order = Window.partitionBy("item").orderBy("rarity", "place")
+    seed = ranked.withColumn("rank", F.row_number().over(order)).where("rank <= chosen").select("item", "place", "asked", F.explode("keys").alias("key"))
+    hits = docs.select("doc_id", _hash(docs).alias("h"), _bytes(docs).alias("text")).mapInArrow(held, f"doc_id {kind}, h long, key long")
+    found = hits.join(seed, "key").groupBy("doc_id", "h", "item", "asked").agg(F.count_distinct("place").alias("n_seeds"))
+    return found.where("n_seeds >= asked").drop("asked")
 
 
 def _hash(docs: DataFrame):  # noqa: ANN202
@@ -239,8 +356,8 @@ def joined_leaks(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
     """The rows of contaminated() with the hash ``h`` of the text, for any number of items."""
     found = written(joined_pairs(docs, items, least), "pairs")
     texts = items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", F.col("text").alias("item_text"))
-    # The items of a document are at most those that share a seed with it; their texts are short beside the document's.
-    per = found.join(texts, "item").groupBy("doc_id", "h").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+    # The items of a document are at most those of which it hits enough seeds; their texts are short beside the document's.
+    per = found.join(texts, "item").groupBy("doc_id", "h").agg(F.collect_list(F.struct("item_id", "item_text", "n_seeds")).alias("items"))
     same = docs.select("doc_id", _hash(docs).alias("h"), _bytes(docs).alias("text"))
     both = same.join(per.withColumnsRenamed({"doc_id": "d", "h": "e"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("e"))).select("doc_id", "h", "text", "items")
     types = (docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString())
@@ -252,9 +369,10 @@ def joined_leaks(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
             for k, doc in _documents(batch, 2):
                 own = batch.column(3)[k].as_py()
                 w = words([x["item_text"] for x in own], letters=True)
-                # Any choice of as many places keeps every copy; here the rare words of the document are as good as any.
-                items_here = _with_pairs([x["item_id"] for x in own], w, lambda v: np.zeros(len(v), np.int64), least)
-                out += [(k, items_here.ids[i], *rest) for i, *rest in leaks(doc, items_here, least)]
+                here = _items([x["item_id"] for x in own], w, lambda known: np.zeros(len(known), np.int64), least)
+                text, count = known_words(doc, here), np.array([x["n_seeds"] for x in own])
+                rows = confirmed(doc, text, known_keys(doc, text, here), here, np.arange(len(own)), count, least)
+                out += [(k, here.ids[i], *rest) for i, *rest in rows]
             of, ids, share, start, end, n = zip(*out, strict=True) if out else [[]] * 6
             at = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(ids, kind), *map(pa.array, (share, start, end, n), (pa.float64(), *[pa.int64()] * 3))], ["doc_id", "h", *COLUMNS])
@@ -274,7 +392,7 @@ def few(items: DataFrame) -> bool:
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """``doc_id, item_id, score, start_word, end_word, n_seeds``: a row for each document and item that it holds a copy of.
 
-    The best place counts, the first of equal ones. Words are runs of letters and digits in lower case. Null
+    The best place counts, the first of equal ones; ``n_seeds`` are the places of the item's seeds that the document hits. Words are runs of letters and digits in lower case. Null
     and wordless texts hold and are nothing; null ids are carried along; rows with the same id, of either
     table, report for themselves. Very long texts are read whole and aligned only around places that may
     hold a copy. An empty table gives an empty result. Other columns are ignored, whatever their names.

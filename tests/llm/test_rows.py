@@ -408,6 +408,36 @@ def test_leaks_equal_smith_waterman_of_all_pairs(spark, monkeypatch, together):
     assert {r["doc_id"] for r in decontamination.clean_documents(docs, benchmark).collect()} == set(range(len(rows))) - {i for i, _ in want}
 
 
+def test_seeds_are_the_same_whether_items_travel_or_are_joined(spark, monkeypatch):
+    """Whole rows, seeds counted, on both sides of the limit; and few pairs besides the leaks come out of the join."""
+    docs, benchmark = (spark.read.parquet(f"{SMALL}/{name}.parquet") for name in ("documents", "benchmark"))
+    docs = docs.unionByName(docs.limit(40))
+    one = sorted(map(tuple, decontamination.contaminated(docs, benchmark).collect()))
+    items = benchmark.where("text is not null").select("item_id", decontamination._bytes(benchmark).alias("text"))
+    assert decontamination.joined_pairs(docs, items, decontamination.LEAST).count() <= 10 * max(1, len(one))
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 0)
+    assert sorted(map(tuple, decontamination.contaminated(docs, benchmark).collect())) == one
+
+
+def test_a_copy_hits_as_many_places_as_needed():
+    """Random edits of random items: whatever keeps the least score hits the places asked, and of the seeds too."""
+    rng = np.random.default_rng(5)
+    for trial in range(400):
+        n, least = int(rng.integers(1, 14)), (0.5, 0.35, 0.8)[trial % 3]
+        item = rng.integers(0, 8, n).astype(np.uint64)
+        doc = [x for w in item for x in ([w], [w], [], [w, rng.integers(0, 8)], [rng.integers(0, 8)])[rng.integers(5)]]
+        doc = np.array(doc, np.uint64)
+        if decontamination.align(item, doc)[0] < least * decontamination.MATCH * n - 1e-9:
+            continue
+        keys, of, need, asked, chosen = decontamination.item_keys(np.array([0, n]), item, least)
+        hits = np.isin(keys, decontamination.document_keys(doc, None, True)).any(axis=0)
+        assert hits.sum() >= need[0]
+        known = np.unique(keys[keys > 0])
+        at = np.where(keys > 0, np.searchsorted(known, keys), -1)
+        _, places = decontamination.seeds(at, of, chosen, rng.integers(0, 9, len(known)))
+        assert hits[np.unique(places)].sum() >= asked[0]
+
+
 def test_words_of_a_batch_are_those_of_each_text():
     rng = random.Random(0)
     texts = ["".join(rng.choices("aBé \t\n.x", k=rng.randint(0, 60))).encode() for _ in range(200)] + [None, b"z" * 700_000 + b" tail"]
