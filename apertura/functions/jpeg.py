@@ -1,7 +1,9 @@
 """A baseline JPEG encoder over Arrow batches: eight-by-eight cosine transform, quantization, optimal Huffman codes.
 
 Written from the published standard (ITU-T T.81) in numpy. The Huffman tables are made for each image from
-its own symbol counts, so none are stated here. Colours are not subsampled.
+its own symbol counts, so none are stated here. A picture is worked on in bands of rows, which restart
+markers part: besides its pixels, its quantized coefficients and its file, only one band is held. Chrominance
+may be halved in both directions.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ CHROMINANCE = [
 #: The order of coefficients: along the antidiagonals, in turns up and down.
 ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, (k // 8 if (k // 8 + k % 8) % 2 else k % 8))))
 _K, _N = np.arange(8)[:, None], np.arange(8)[None]
+#: Blocks of a band at least, if the picture has as many.
+BAND = 4096
 COSINES = np.where(_K == 0, 8**-0.5, 0.5 * np.cos((2 * _N + 1) * _K * np.pi / 16))
 
 
@@ -99,13 +103,28 @@ def planes(pixels: np.ndarray) -> list[np.ndarray]:
     return [y - 128, (b - y) / 1.772, (r - y) / 1.402]
 
 
-def coefficients(plane: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Quantized coefficients in zigzag order, a row for each block; edges are repeated to full blocks."""
+def coefficients(plane: np.ndarray, table: np.ndarray, side: int = 1) -> np.ndarray:
+    """Quantized coefficients in zigzag order, a row for each block, squares of ``side`` x ``side`` blocks after each other."""
     height, width = plane.shape
-    full = np.pad(plane, ((0, -height % 8), (0, -width % 8)), mode="edge")
-    blocks = full.reshape(full.shape[0] // 8, 8, full.shape[1] // 8, 8).transpose(0, 2, 1, 3)
+    blocks = plane.reshape(height // 8, 8, width // 8, 8).transpose(0, 2, 1, 3)
     turned = COSINES @ blocks @ COSINES.T
-    return np.rint(turned.reshape(-1, 64) / table).astype(np.int64)[:, ZIGZAG]
+    quantized = np.rint(turned.reshape(height // 8, width // 8, 64) / table).astype(np.int16)[..., ZIGZAG]
+    return quantized.reshape(height // 8 // side, side, width // 8 // side, side, 64).transpose(0, 2, 1, 3, 4).reshape(-1, 64)
+
+
+def bands(pixels: np.ndarray, tables: list[np.ndarray], side: int) -> tuple[list[list[np.ndarray]], int]:
+    """Coefficients of each band's components, in the order of the stream, and the units (squares of ``side`` blocks) of a full band."""
+    height, width = pixels.shape[:2]
+    across = -(-width // (8 * side))
+    rows = min(max(1, -(-BAND // (across * side * side))), 65535 // across)
+    out = []
+    for top in range(0, height, rows * 8 * side):
+        part = pixels[top : top + rows * 8 * side]
+        part = np.pad(part, ((0, -part.shape[0] % (8 * side)), (0, -width % (8 * side)), (0, 0)), mode="edge")
+        luminance, *others = planes(part)
+        others = [x.reshape(x.shape[0] // side, side, x.shape[1] // side, side).mean(axis=(1, 3)) for x in others]
+        out.append([coefficients(luminance, tables[0], side), *[coefficients(x, tables[1]) for x in others]])
+    return out, rows * across
 
 
 def bit_size(x: np.ndarray) -> np.ndarray:
@@ -114,7 +133,8 @@ def bit_size(x: np.ndarray) -> np.ndarray:
 
 
 def symbols(rows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Place in the stream, whether it begins a block, symbol, and the further bits with their number, of one component's blocks."""
+    """Place in the stream, whether it begins a block, symbol, and the further bits with their number, of one component's blocks of a band."""
+    rows = rows.astype(np.int64)
     n = len(rows)
     steps = np.diff(rows[:, 0], prepend=0)
     block, at = np.nonzero(rows[:, 1:])
@@ -136,25 +156,14 @@ def symbols(rows: np.ndarray) -> tuple[np.ndarray, ...]:
     return place, place % 128 == 0, symbol, np.where(number < 0, number + (1 << size) - 1, number), size
 
 
-def encoded(pixels: np.ndarray, quality: float) -> bytes:
-    """The pixels (height, width, channels: grey, or blue, green, red) as a JPEG file."""
-    height, width = pixels.shape[:2]
-    if not 0 < height < 65536 or not 0 < width < 65536:
-        raise ValueError("picture size out of range")
-    tables = [quantization(t, quality) for t in (LUMINANCE, CHROMINANCE)]
-    parts = [symbols(coefficients(p, tables[min(c, 1)])) for c, p in enumerate(planes(pixels))]
-    kinds = min(len(parts), 2)
-    made = {}
-    for kind in range(kinds):
-        own = parts[:1] if kind == 0 else parts[1:]
-        for begins in (True, False):
-            counts = sum(np.bincount(s[b == begins], minlength=256) for _, b, s, _, _ in own)
-            made[kind, begins] = codes(code_lengths(counts))
+def packed(parts: list[tuple[np.ndarray, ...]], side: int, made: dict) -> bytes:
+    """The bits of a band, its components' blocks in turn, filled with ones to whole bytes."""
+    per = [side * side, *[1] * (len(parts) - 1)]
     place, value, bits = [], [], []
     for c, (at, begins, symbol, more, size) in enumerate(parts):
-        code, length, _ = (np.stack([made[min(c, 1), b][k] for b in (False, True)]) if k < 2 else None for k in range(3))
-        which = begins.astype(np.int64)
-        place.append((at // 128 * len(parts) + c) * 128 + at % 128)
+        code, length = (np.stack([made[min(c, 1), b][k] for b in (False, True)]) for k in range(2))
+        which, block = begins.astype(np.int64), at // 128
+        place.append((block // per[c] * sum(per) + sum(per[:c]) + block % per[c]) * 128 + at % 128)
         value.append((code[which, symbol] << size) | more)
         bits.append(length[which, symbol] + size)
     place, value, bits = (np.concatenate(x) for x in (place, value, bits))
@@ -164,22 +173,55 @@ def encoded(pixels: np.ndarray, quality: float) -> bytes:
     shift = np.repeat(ends, bits) - 1 - np.arange(ends[-1])
     stream = ((np.repeat(value, bits) >> shift) & 1).astype(np.uint8)
     stream = np.append(stream, np.ones(-len(stream) % 8, np.uint8))
+    return np.packbits(stream).tobytes().replace(b"\xff", b"\xff\0")
+
+
+def encoded(pixels: np.ndarray, quality: float, halved: bool = False) -> bytes:
+    """The pixels (height, width, channels: grey, or blue, green, red) as a JPEG file, chrominance ``halved`` or as it is."""
+    height, width = pixels.shape[:2]
+    if not 0 < height < 65536 or not 0 < width < 65536:
+        raise ValueError("picture size out of range")
+    tables = [quantization(t, quality) for t in (LUMINANCE, CHROMINANCE)]
+    n = 1 if pixels.shape[2] < 3 else 3
+    side, kinds = 2 if halved and n == 3 else 1, min(n, 2)
+    parts, units = bands(pixels, tables, side)
+    counts = np.zeros((kinds, 2, 256), np.int64)
+    for part in parts:
+        for c, rows in enumerate(part):
+            _, begins, symbol, _, _ = symbols(rows)
+            for k in (0, 1):
+                counts[min(c, 1), k] += np.bincount(symbol[begins == bool(k)], minlength=256)
+    made = {(kind, begins): codes(code_lengths(counts[kind, int(begins)])) for kind in range(kinds) for begins in (True, False)}
     segment = lambda marker, body: bytes([0xFF, marker]) + struct.pack(">H", len(body) + 2) + body
-    out = b"\xff\xd8" + segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")
-    for k in range(kinds):
-        out += segment(0xDB, bytes([k]) + bytes(tables[k][ZIGZAG].tolist()))
-    out += segment(0xC0, struct.pack(">BHHB", 8, height, width, len(parts)) + b"".join(bytes([c + 1, 0x11, min(c, 1)]) for c in range(len(parts))))
-    for (kind, begins), (_, _, table) in made.items():
-        out += segment(0xC4, bytes([(0 if begins else 0x10) + kind]) + table)
-    out += segment(0xDA, bytes([len(parts)]) + b"".join(bytes([c + 1, min(c, 1) * 0x11]) for c in range(len(parts))) + b"\0\x3f\0")
-    return out + np.packbits(stream).tobytes().replace(b"\xff", b"\xff\0") + b"\xff\xd9"
+    out = [b"\xff\xd8", segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")]
+    out += [segment(0xDB, bytes([k]) + bytes(tables[k][ZIGZAG].tolist())) for k in range(kinds)]
+    out.append(segment(0xC0, struct.pack(">BHHB", 8, height, width, n) + b"".join(bytes([c + 1, 0x11 * (side if c == 0 else 1), min(c, 1)]) for c in range(n))))
+    out += [segment(0xC4, bytes([(0 if begins else 0x10) + kind]) + table) for (kind, begins), (_, _, table) in made.items()]
+    if len(parts) > 1:
+        out.append(segment(0xDD, struct.pack(">H", units)))
+    out.append(segment(0xDA, bytes([n]) + b"".join(bytes([c + 1, min(c, 1) * 0x11]) for c in range(n)) + b"\0\x3f\0"))
+    for k, part in enumerate(parts):
+        out += [bytes([0xFF, 0xD0 + (k - 1) % 8])] if k else []
+        out.append(packed([symbols(rows) for rows in part], side, made))
+    return b"".join(out) + b"\xff\xd9"
+
+
+def _encode(data: pa.Array, width: pa.Array, height: pa.Array, channels: pa.Array, quality: pa.Array, halved: bool) -> pa.Array:
+    out = []
+    for k in range(len(data)):
+        raw, (w, h, c, q) = data[k].as_py(), (x[k].as_py() for x in (width, height, channels, quality))
+        fits = raw and w and h and c in (1, 3, 4) and len(raw) == w * h * c and w < 65536 and h < 65536
+        out.append(encoded(np.frombuffer(raw, np.uint8).reshape(h, w, c), q, halved) if fits else None)
+    return pa.array(out, pa.binary())
 
 
 @arrow_udf(T.BinaryType())
 def encode_jpeg(data: pa.Array, width: pa.Array, height: pa.Array, channels: pa.Array, quality: pa.Array) -> pa.Array:
     """Rows of pixel bytes as JPEG files; null where the bytes don't fit the size."""
-    out = []
-    for raw, w, h, c, q in zip(*(x.to_pylist() for x in (data, width, height, channels, quality)), strict=True):
-        fits = raw and w and h and c in (1, 3, 4) and len(raw) == w * h * c and w < 65536 and h < 65536
-        out.append(encoded(np.frombuffer(raw, np.uint8).reshape(h, w, c), q) if fits else None)
-    return pa.array(out, pa.binary())
+    return _encode(data, width, height, channels, quality, False)
+
+
+@arrow_udf(T.BinaryType())
+def encode_jpeg_halved(data: pa.Array, width: pa.Array, height: pa.Array, channels: pa.Array, quality: pa.Array) -> pa.Array:
+    """As encode_jpeg(), with chrominance halved in both directions."""
+    return _encode(data, width, height, channels, quality, True)

@@ -11,10 +11,13 @@ from apertura.functions import display as D
 from apertura.functions import scalars as S
 from apertura.functions.containers import KINDS, build_file, file_kind, read_file_tags
 from apertura.functions.exif_bytes import read_tags
+from apertura.functions.jpeg import encode_jpeg, encode_jpeg_halved
+from apertura.functions.jpeg_read import decode_jpeg, largest_difference
 from apertura.operators import generate as G
 from apertura.operators import records as R
 from apertura.operators import workflow as W
 from apertura.operators.asof import asof_join
+from apertura.operators.pixels import rendered
 from apertura.operators.sequence import load_order
 from apertura.operators.sequence import unique_names as unique_file_names
 from apertura.plans.render import render_plan
@@ -212,14 +215,36 @@ def strip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("item_id").alias("o_orderkey"), F.lower(F.hex("output")).alias("output"), read_tags("output").isNull().alias("bare"), "output_name", "error")
 
 
-def reencoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grey images rendered, encoded, tagged and read back: their sizes and whether the pixels kept their value."""
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``item_id, image``: for each supplier a colour gradient of 130 by 90 to 129; every ninth has no pixels."""
     k = F.col("s_suppkey")
     side = (90 + k % 40).cast("int")
-    data = F.unhex(F.repeat(F.lit("80"), side * 96))
-    image = F.struct(F.lit(96).alias("width"), side.alias("height"), F.lit(1).alias("nChannels"), F.when(k % 9 != 0, data).alias("data"))
-    out = W.reencoded(table(spark, sf_dir, "supplier").select(k.alias("item_id"), image.alias("image")))
-    return out.select(F.col("item_id").alias("s_suppkey"), F.col("fake.PixelXDimension").alias("width"), F.col("fake.PixelYDimension").alias("height"), "parser", "warning", "message", "error")
+    hexed = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
+    row = F.transform(F.sequence(F.lit(0), F.lit(129)), lambda x: F.concat(hexed(40 + x), hexed(200 - x), hexed(90 + k % 60)))
+    data = F.unhex(F.repeat(F.array_join(row, ""), side))
+    image = F.struct(F.lit(130).alias("width"), side.alias("height"), F.lit(3).alias("nChannels"), F.when(k % 9 != 0, data).alias("data"))
+    return table(spark, sf_dir, "supplier").select(k.alias("item_id"), image.alias("image"))
+
+
+def reencoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures rendered, encoded, tagged and read back: the size by their tags and as decoded. Those under 100 after the crop aren't rendered."""
+    out = W.reencoded(_pictures(spark, sf_dir)).withColumn("seen", decode_jpeg("output"))
+    shown = {"seen_width": F.col("seen.width"), "seen_height": F.col("seen.height"), "channels": F.col("seen.nChannels"), "bypass": F.col("plan.bypass")}
+    return out.select(
+        F.col("item_id").alias("s_suppkey"), F.col("fake.PixelXDimension").alias("width"), F.col("fake.PixelYDimension").alias("height"), *[c.alias(n) for n, c in shown.items()], "parser", "warning", "message", "error"
+    )
+
+
+def decoded_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures cropped, turned and noised, encoded (chrominance halved in every second) and decoded: no byte is off by more than 16."""
+    k = F.col("item_id")
+    df = _pictures(spark, sf_dir).withColumns({"w": F.col("image.width"), "h": F.col("image.height")})
+    df = rendered(render_plan(df, "item_id", "w", "h"), "item_id")
+    given = [F.col(f"rendered.{n}") for n in ("data", "width", "height", "channels")]
+    files = df.withColumn("file", F.when(k % 2 == 0, encode_jpeg_halved(*given, F.col("plan.quality"))).otherwise(encode_jpeg(*given, F.col("plan.quality"))))
+    seen = files.withColumn("seen", decode_jpeg("file")).withColumn("off", largest_difference("seen.data", "rendered.data"))
+    size = [F.col(f"seen.{n}").alias(m) for n, m in (("width", "width"), ("height", "height"), ("nChannels", "channels"))]
+    return seen.select(k.alias("s_suppkey"), *size, (F.col("off") <= 16).alias("close"), (F.col("rendered.data") == F.col("image.data")).alias("untouched"))
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,6 +347,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         synthetic_metadata, cameras_by_make, camera_options, lens_range_join, lens_unmatched, prefix_filter, bytes_texts, dms_encode, dms_round_trip, rational_decode, exif_datetimes,
         keep_date, rolled_dates, apex_values, export_plans, tag_values, exif_round_trip, enforce_gps, code_labels, display_fields, field_counts, html_records, item_status,
         batch_summary, processed_items, output_names, split_names, escape_html, data_urls, verify_fallback, map_links,
-        pixel_sizes, degree_arrays, item_ids, strip_round_trip, reencoded_images, unique_names, load_sequence, container_tags, track_points,
+        pixel_sizes, degree_arrays, item_ids, strip_round_trip, reencoded_images, decoded_pixels, unique_names, load_sequence, container_tags, track_points,
     ]
     return {f.__name__: f for f in found}

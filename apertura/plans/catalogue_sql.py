@@ -154,6 +154,14 @@ def _escaped(x: str) -> str:
     return x
 
 
+_LEFT, _RIGHT, _TOP, _BOTTOM = (_int("s_suppkey", f"crop_{side}", 1, 6) for side in ("left", "right", "top", "bottom"))
+#: Pictures of suppliers with the size that they are rendered to, or their own where the crop leaves less than 100.
+_PICTURES = f"""pictures as (
+  select s_suppkey, s_suppkey % 9 != 0 as good, bypass, case when bypass then 130 else w end as out_width, case when bypass then side else h end as out_height
+  from (select *, w < 100 or h < 100 as bypass from (
+    select s_suppkey, cast(90 + s_suppkey % 40 as int) as side, cast(130 - {_LEFT} - {_RIGHT} as int) as w, cast(90 + s_suppkey % 40 - {_TOP} - {_BOTTOM} as int) as h from supplier)))"""
+
+
 def oracle_sql() -> dict[str, str]:
     deg = "(c_acctbal / 100)"
     lat, lon = "(case when c_acctbal is null then null else least(71.5, greatest(18.8, abs(c_acctbal / 40.0::double))) end)", "least(171.0, greatest(66.0, abs(-c_acctbal / 25.0::double)))"
@@ -228,11 +236,13 @@ def oracle_sql() -> dict[str, str]:
         "item_ids": "select page_id, sha256(url) as item_id, page_id % 3 != 0 as is_image from pages",
         "strip_round_trip": f"""select {_K}, case when {_K} % 7 != 0 then 'ffd8ffc0000b080010000801011100ffda0008010100003f00ffd9' end as output, true as bare,
             case when {_K} % 7 != 0 then {_name(_K, "''")} end as output_name, case when {_K} % 7 = 0 then 'not a JPEG' end as error from orders""",
-        "reencoded_images": f"""with {_dim("cameras")}, {_dim("locations")}, s as (
-              select s_suppkey, cast(90 + s_suppkey % 40 as int) as h, make, city from supplier join cameras on camera_id = {_int("s_suppkey", "camera", 0, 18)} join locations on location_id = {_int("s_suppkey", "location", 0, 57)}),
-            o as (select *, s_suppkey % 9 != 0 as good from s)
-            select s_suppkey, case when good then 96 end as width, case when good then h end as height, case when good then 'primary' end as parser, cast(null as varchar) as warning,
-              case when good then 'Randomized ' || {_name("s_suppkey", "make")} || ' | ' || city end as message, case when not good then 'not a JPEG' end as error from o""",
+        "reencoded_images": f"""with {_dim("cameras")}, {_dim("locations")}, {_PICTURES}
+            select s_suppkey, case when good then out_width end as width, case when good then out_height end as height, case when good then out_width end as seen_width, case when good then out_height end as seen_height,
+              case when good then 3 end as channels, bypass, case when good then 'primary' end as parser, cast(null as varchar) as warning,
+              case when good then 'Randomized ' || {_name("s_suppkey", "make")} || ' | ' || city end as message, case when not good then 'not a JPEG' end as error
+            from pictures join cameras on camera_id = {_int("s_suppkey", "camera", 0, 18)} join locations on location_id = {_int("s_suppkey", "location", 0, 57)}""",
+        "decoded_pixels": f"""with {_PICTURES} select s_suppkey, case when good then out_width end as width, case when good then out_height end as height, case when good then 3 end as channels,
+              case when good then true end as close, case when good then bypass end as untouched from pictures""",
         "item_status": f"with {STATES} select user_id, status from states",
         "batch_summary": f"""with {STATES} select count(*) as n_items, count(*) filter (status in ('Randomized', 'Stripped')) as n_processed, count(*) filter (status = 'Error') as n_failed,
             coalesce(bool_or(status = 'Processing'), false) as any_processing,
