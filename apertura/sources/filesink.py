@@ -110,6 +110,7 @@ class ItemFiles(DataSource):
 def save_files(items: DataFrame, folder: str) -> None:
     """Writes processed rows (those with ``output``) as files ``part-*/<id>_<name>`` under a folder: all of them, or none if the job fails.
 
+    If the driver is lost while it moves the tasks' folders, some of them are there and others aren't.
     A row's id is part of the name, escaped, so names that repeat don't meet and need no shuffle. Equal ids
     with equal names are one file within a task. An empty table leaves an empty folder.
     """
