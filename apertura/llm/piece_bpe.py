@@ -4,6 +4,7 @@ In a vocabulary whose pieces come from ranked merges, the encoding of each prefi
 piece: of the pieces that an automaton finds ending there, the only one that fits behind the last piece of
 the prefix before it. Two pieces fit if no merge across their border would have come before the merges
 that made them. With each prefix's last piece stored, the ids are recovered from the text's end backwards.
+A text is cut where no piece goes across, and short segments are remembered with their ids, digits and text.
 
 Pieces with equal scores below all others (runs of the space mark in public vocabularies) have no rank of their
 own. They merge after all others, leftmost first, and are put together from the ids afterwards.
@@ -15,9 +16,10 @@ import codecs
 import functools
 import hashlib
 import heapq
+import itertools
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -27,9 +29,10 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 #: What a model with the normalization known here makes of ``PROBE``.
 PROBE, PROBED = " a  ﬁ \n ", "▁▁a▁▁ﬁ \n▁"
-#: Encoded segments that a task remembers, the longest of them, and fitting pairs; ids that are digested at a time.
-REMEMBERED, LONGEST_REMEMBERED, PAIRS, PIECE_IDS = 200_000, 64, 1_000_000, 1 << 16
+#: Characters of the segments that a task remembers (ENTRY more for each; two generations), the longest of them, and tested pairs; segments that are digested at a time.
+REMEMBERED, ENTRY, LONGEST_REMEMBERED, PAIRS, PIECE_IDS = 7_000_000, 8, 64, 1_000_000, 1 << 16
 UNKNOWN = -1
+CHANGED = "!"
 _CHAR = -1
 
 
@@ -105,6 +108,55 @@ def vocabulary(model: bytes) -> Vocabulary:
     return Vocabulary(pieces, ranks, parts, late, bytes_of, frozenset(i for i in ids if sp.is_control(i)), sp.unk_id())
 
 
+class _Remembered(dict):
+    """What is made of short segments or words: those in use and, once they are too many, those of the generation before."""
+
+    def __init__(self, make: Callable[[str], tuple | str]) -> None:
+        self.make, self.older, self.size = make, {}, 0
+
+    def __missing__(self, segment: str) -> tuple | str:
+        value = self.older.get(segment)
+        if value is None:
+            value = self.make(segment)
+        if len(segment) <= LONGEST_REMEMBERED:
+            if self.size >= REMEMBERED:
+                self.older, self.size = dict(self), 0
+                self.clear()
+            self[segment] = value
+            self.size += len(segment) + ENTRY
+        return value
+
+
+class _Piece(dict):
+    """A piece as the automaton finds it, and whether it fits behind those pieces that it was tested with."""
+
+    __slots__ = ("id", "length", "test")
+
+    def __init__(self, piece: int, length: int, test: Callable[[int, int], bool]) -> None:
+        self.id, self.length, self.test = piece, length, test
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self[UNKNOWN] = True
+
+    def __missing__(self, left: int) -> bool:
+        return self.test(left, self)
+
+
+def _joined(pieces: list[str]) -> str:
+    """Letters of pieces and whatever follows them within a piece: no piece goes on from these characters to others."""
+    after: dict[str, set[str]] = {}
+    for p in pieces:
+        for a, b in itertools.pairwise(p):
+            after.setdefault(a, set()).add(b)
+    found = new = {c for p in pieces for c in p if c.isalpha()}
+    while new:
+        new = set().union(*(after.get(c, ()) for c in new)) - found
+        found |= new
+    return "".join(sorted(found))
+
+
 class Encoder:
     """Encodes and decodes texts; remembers short segments and pairs, in bounded numbers."""
 
@@ -115,34 +167,40 @@ class Encoder:
         self.lengths = [len(p) for p in v.pieces]
         self.automaton = ahocorasick.Automaton()
         self.rank_of = {}
+        self.tested: list[_Piece] = []
         for i, k in v.ranks.items():
-            self.automaton.add_word(v.pieces[i], i)
+            self.automaton.add_word(v.pieces[i], _Piece(i, self.lengths[i], self._test))
             if k != _CHAR:
                 self.rank_of[v.pieces[i]] = k
         self.automaton.make_automaton()
         self.byte_ids = {b: i for i, b in v.bytes_of.items()}
-        self.fitting: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        # No piece goes on from another character into a space mark: segments that begin with marks stand alone.
-        apart = not any(re.search(f"[^{SPACE}]{SPACE}", v.pieces[i]) for i in v.ranks)
-        self.segment = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else "(?s:.+)")
+        self.known = _Remembered(self._encoded)
+        self.told, self.words = _Remembered(self._told), _Remembered(self._word)
+        # No piece goes on from another character into a space mark: segments that begin with marks stand alone. Nor from
+        # joined characters to others: a word is a segment without what follows it.
+        pieces = [*(v.pieces[i] for i in v.ranks), *v.late]
+        joined = re.escape(_joined(pieces))
+        self.apart = bool(joined) and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
+        self.segment = re.compile(f"{SPACE}*[^{SPACE}{joined}]*[{joined}]+|{SPACE}*[^{SPACE}{joined}]+|{SPACE}+" if self.apart else "(?s:.+)")
+        self.marked = SPACE in pieces
+        self.digits = [f",{i}" for i in range(len(v.pieces))]
         self.shown = [p.replace(SPACE, " ") for p in v.pieces]
         for i in v.silent:
             self.shown[i] = ""
         self.shown[v.unknown] = " ⁇ "
 
-    def fits(self, left: int, right: int) -> bool:
-        """Whether the merges that make the two pieces all come before any merge across their border."""
-        if left == UNKNOWN or right == UNKNOWN:
-            return True
-        known = self.fitting.get((left, right))
-        if known is None:
-            if len(self.fitting) >= PAIRS:
-                self.fitting.clear()
-            known = self.fitting[left, right] = self._fits(left, right)
+    def _test(self, left: int, right: _Piece) -> bool:
+        """Whether a piece fits behind another, remembered with the piece."""
+        if len(self.tested) >= PAIRS:
+            for piece in self.tested:
+                piece.forget()
+            self.tested.clear()
+        known = right[left] = self._fits(left, right.id)
+        self.tested.append(right)
         return known
 
     def _fits(self, left: int, right: int) -> bool:
+        """Whether the merges that make the two pieces all come before any merge across their border."""
         pieces, ranks, parts = self.v.pieces, self.v.ranks, self.v.parts
         until = len(ranks) + 1  # merges before this one would come first
         while True:
@@ -159,21 +217,17 @@ class Encoder:
 
     def _by_prefixes(self, segment: str) -> list[int]:
         """The last piece of every prefix, then the ids from the end backwards; UNKNOWN for other characters."""
-        last = [UNKNOWN] * len(segment)
-        lengths, fits = self.lengths, self.fits
-        for end, piece in self._ends(segment):
-            before = end - lengths[piece]
-            if before < 0 or fits(last[before], piece):
-                last[end] = piece
+        last = [UNKNOWN] * (len(segment) + 1)  # the additional one stands before the first
+        lengths, done = self.lengths, -1
+        for end, piece in self.automaton.iter(segment):  # one piece fits at each end
+            if end != done and piece[last[end - piece.length]]:
+                last[end], done = piece.id, end
         found, at = [], len(segment) - 1
         while at >= 0:
             found.append(last[at])
             at -= 1 if last[at] == UNKNOWN else lengths[last[at]]
         return found[::-1]
 
-    def _ends(self, segment: str) -> Iterable[tuple[int, int]]:
-        return self.automaton.iter(segment)
-
     def _late(self, ids: list[int]) -> list[int]:
         """Merges neighbours into pieces of equal score, always the leftmost two that can."""
         late, pieces = self.v.late, self.v.pieces
@@ -216,23 +270,38 @@ class Encoder:
                 at += self.lengths[i]
         return tuple(out)
 
-    def segments(self, text: str) -> Iterator[tuple[int, ...]]:
-        """The ids of a text's segments, one after the other; none of an empty text."""
+    def _told(self, segment: str) -> tuple[str, str]:
+        """A segment's ids, each with a comma before it, and what they are decoded to."""
+        ids = self._encoded(segment)
+        return "".join(map(self.digits.__getitem__, ids)), self.decode(ids, first=False)
+
+    def _word(self, word: str) -> str:
+        """The ids, in the same form, of a word with one space mark before it; CHANGED if they aren't decoded to the same word."""
+        found = self.segment.findall(SPACE + word)
+        if len(found) == 1:
+            ids, text = self.told[found[0]]
+        else:
+            ids, text = map("".join, zip(*[self.told[s] for s in found], strict=True))
+        return ids if text == " " + word else CHANGED
+
+    def unchanged(self, text: str) -> str:
+        """The ids, in the same form, of a short text of words parted by single spaces, if they are decoded to the same text; else empty."""
+        if not self.apart or not 0 < len(text) <= PIECE_IDS or text[0] == " " or "  " in text or SPACE in text:
+            return ""
+        ids = "".join(map(self.words.__getitem__, text.split(" ")))
+        return "" if CHANGED in ids else ids
+
+    def segments(self, text: str) -> Iterable[Iterable[str]]:
+        """A text's segments in order, a bounded number at a time; none of an empty text."""
         if not text:
-            return
-        for m in self.segment.finditer(SPACE + text.replace(" ", SPACE)):
-            segment = m.group()
-            ids = self.known.get(segment)
-            if ids is None:
-                ids = self._encoded(segment)
-                if len(segment) <= LONGEST_REMEMBERED:
-                    if len(self.known) >= REMEMBERED:
-                        self.known.clear()
-                    self.known[segment] = ids
-            yield ids
+            return ()
+        marked = SPACE + text.replace(" ", SPACE)
+        if len(marked) <= PIECE_IDS:
+            return (self.segment.findall(marked),)
+        return itertools.batched((m.group() for m in self.segment.finditer(marked)), PIECE_IDS)
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.segments(text) for i in ids]
+        return [i for found in self.segments(text) for ids in map(self.known.__getitem__, found) for i in ids]
 
     def decode(self, ids: Iterable[int], first: bool = True) -> str:
         """The text of ids; a leading space is left out where they are the ``first`` ones of a text."""
@@ -250,8 +319,10 @@ class Encoder:
                     run = bytearray()
                 parts.append(self.shown[i])
             text = "".join(parts) + run.decode("utf-8", "apertura-each-byte")
+        if not first:
+            return text
         lead = next((i for i in ids if i not in self.v.silent), None)
-        return text[1:] if first and lead is not None and self.v.pieces[lead].startswith(SPACE) else text
+        return text[1:] if lead is not None and self.v.pieces[lead].startswith(SPACE) else text
 
 
 #: The last encoder of this process: a reused Python worker goes on with what the task before it remembered.
@@ -266,23 +337,15 @@ def _encoder(key: str, v: Vocabulary) -> Encoder:
 
 
 def _digest(encoder: Encoder, text: str) -> tuple[int, str, str]:
-    """Number of ids, digest of the ids and of the decoded text, a bounded number of ids at a time."""
+    """Number of ids, digest of the ids and of the decoded text, a bounded number of segments at a time."""
+    if ids := encoder.unchanged(text):
+        return ids.count(","), hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
     ids_sha, text_sha, n = hashlib.sha256(), hashlib.sha256(), 0
-
-    def take(ids: list[int]) -> None:
-        nonlocal n
-        ids_sha.update((("," if n else "") + ",".join(map(str, ids))).encode())
-        text_sha.update(encoder.decode(ids, first=not n).encode())
-        n += len(ids)
-
-    held: list[int] = []
-    for ids in encoder.segments(text):
-        held.extend(ids)
-        if len(held) >= PIECE_IDS:
-            take(held)
-            held = []
-    if held:
-        take(held)
+    for found in encoder.segments(text):
+        ids, texts = map("".join, zip(*map(encoder.told.__getitem__, found), strict=True))
+        ids_sha.update(ids[0 if n else 1 :].encode())
+        text_sha.update(texts[0 if n else encoder.marked :].encode())
+        n += ids.count(",")
     return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 

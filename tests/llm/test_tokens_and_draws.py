@@ -86,6 +86,27 @@ def test_long_texts_are_digested_in_parts(library, encoder, monkeypatch):
     assert piece_bpe._digest(encoder, text) == ids_row(library, 0, text)[1:]
 
 
+def test_a_word_is_matched_once_whatever_follows_it(library, monkeypatch):
+    encoder = piece_bpe.Encoder(piece_bpe.vocabulary(library.serialized_model_proto()))
+    matched = []
+    monkeypatch.setattr(encoder, "_by_prefixes", lambda segment, f=encoder._by_prefixes: (matched.append(segment), f(segment))[1])
+    texts = [f"naïve{sign} and naïve{sign}" for sign in ["", ".", ",", ";", "!?", "***", "&&&", ".\n", " \t", ")"]] * 2
+    assert [piece_bpe._digest(encoder, t) for t in texts] == [ids_row(library, 0, t)[1:] for t in texts]
+    assert [s for s in matched if "naïve" in s] == [piece_bpe.SPACE + "naïve"]
+
+
+@pytest.mark.parametrize("most", [3, 40, 400])
+def test_random_texts_are_digested_as_by_the_library_whatever_is_remembered(library, monkeypatch, most):
+    monkeypatch.setattr(piece_bpe, "REMEMBERED", most)
+    monkeypatch.setattr(piece_bpe, "PAIRS", most)
+    encoder = piece_bpe.Encoder(piece_bpe.vocabulary(library.serialized_model_proto()))
+    rng = random.Random(most)
+    words = ["the", "of", "ñrajación", "émentenré***", "word.\nHeen.", "日本語", "ति", "\n\t", "a▁b", "▁", "", "x" * 70, "..", "don't", "🙂", "\x00", "<s>", "<0x41>", "ﬁ", "12,5", " ⁇ "]
+    for _ in range(300):
+        text = rng.choice([" ", " ", "  ", ""]).join(rng.choice(words) for _ in range(rng.choice([1, 3, 20])))
+        assert piece_bpe._digest(encoder, text) == ids_row(library, 0, text)[1:]
+
+
 def test_another_kind_of_vocabulary_is_refused():
     with pytest.raises(Exception):  # noqa: B017
         piece_bpe.vocabulary(b"no model")
