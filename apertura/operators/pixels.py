@@ -7,6 +7,8 @@ result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +19,8 @@ from pyspark.sql.functions import arrow_udf
 ZOOM = 1.01
 #: Rows of the output that are sampled at a time.
 ROWS = 256
+#: Bytes of pixels that are handed on together.
+AT_ONCE = 1 << 24
 
 
 def with_noise(pixels: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -33,6 +37,7 @@ def sampled(pixels: np.ndarray, plan: dict) -> np.ndarray:
     cos, sin = np.cos(np.radians(plan["angle"])), np.sin(np.radians(plan["angle"]))
     out = np.empty((height, width, pixels.shape[2]), np.uint8)
     x = np.arange(width) + 0.5 - width / 2
+    planes = [np.ascontiguousarray(pixels[..., k]).ravel() for k in range(pixels.shape[2])]
     low_x, low_y = plan["crop_left"], plan["crop_top"]
     high_x, high_y = low_x + plan["src_width"] - 1, low_y + plan["src_height"] - 1
     for at in range(0, height, ROWS):
@@ -42,24 +47,35 @@ def sampled(pixels: np.ndarray, plan: dict) -> np.ndarray:
         u, v = np.clip(u, low_x, high_x), np.clip(v, low_y, high_y)
         left, top = np.floor(u).astype(np.int64), np.floor(v).astype(np.int64)
         right, bottom = np.minimum(left + 1, high_x), np.minimum(top + 1, high_y)
-        a, b = (u - left)[..., None], (v - top)[..., None]
-        upper = pixels[top, left] * (1 - a) + pixels[top, right] * a
-        lower = pixels[bottom, left] * (1 - a) + pixels[bottom, right] * a
-        out[at : at + ROWS] = np.floor(upper * (1 - b) + lower * b + 0.5).astype(np.uint8)
+        a, b = u - left, v - top
+        corners = [y * pixels.shape[1] + x for y in (top, bottom) for x in (left, right)]
+        for k, plane in enumerate(planes):
+            one, two, three, four = (plane[at_corner] for at_corner in corners)
+            upper = one * (1 - a) + two * a
+            lower = three * (1 - a) + four * a
+            out[at : at + ROWS, :, k] = np.floor(upper * (1 - b) + lower * b + 0.5).astype(np.uint8)
     return out
 
 
 @arrow_udf(T.BinaryType())
-def _render(data: pa.Array, width: pa.Array, height: pa.Array, channels: pa.Array, plan: pa.Array, seed: pa.Array) -> pa.Array:
-    out = []
-    for raw, w, h, c, p, s in zip(*(x.to_pylist() for x in (data, width, height, channels, plan, seed)), strict=True):
-        if not raw or not p or not c or len(raw) != w * h * c:
-            out.append(None)
-            continue
-        pixels = np.frombuffer(raw, np.uint8).reshape(h, w, c)
-        done = pixels if p["bypass"] else with_noise(sampled(pixels, p), np.random.default_rng(s & (2**63 - 1)))
-        out.append(done.tobytes())
-    return pa.array(out, pa.binary())
+def _render(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """Of ``data, width, height, channels, plan, seed``."""
+    for data, *others in columns:
+        out, held = [], 0
+        for raw, w, h, c, p, s in zip(data, *(x.to_pylist() for x in others), strict=True):
+            raw = raw.as_buffer() if raw.is_valid else b""
+            if not len(raw) or not p or not c or len(raw) != w * h * c:
+                out.append(None)
+                continue
+            pixels = np.frombuffer(raw, np.uint8).reshape(h, w, c)
+            done = pixels if p["bypass"] else with_noise(sampled(pixels, p), np.random.default_rng(s & (2**63 - 1)))
+            out.append(done.tobytes())
+            held += done.nbytes
+            if held >= AT_ONCE:
+                yield pa.array(out, pa.binary())
+                out, held = [], 0
+        if out:
+            yield pa.array(out, pa.binary())
 
 
 def rendered(df: DataFrame, key: str, image: str = "image", plan: str = "plan", seed: int = 42) -> DataFrame:

@@ -32,12 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of orders, spread over the tasks: a record is much work for eight bytes, and a small table is one partition.
+def _spread_keys(spark: SparkSession, sf_dir: str, name: str, key: str, tasks: int = 1) -> DataFrame:
+    """A table's keys, spread over ``tasks`` partitions for each core: what is made of a key is much work for eight bytes, and a small table is one partition.
 
     With a number, as adaptive execution would join so small partitions into one again.
     """
-    return table(spark, sf_dir, "orders").select("o_orderkey").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    return table(spark, sf_dir, name).select(key).repartition(tasks * spark.sparkContext.defaultParallelism, key)
+
+
+def _order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread_keys(spark, sf_dir, "orders", "o_orderkey")
 
 
 def cameras_by_make(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +227,7 @@ def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.transform(F.sequence(F.lit(0), F.lit(129)), lambda x: F.concat(hexed(40 + x), hexed(200 - x), hexed(90 + k % 60)))
     data = F.unhex(F.repeat(F.array_join(row, ""), side))
     image = F.struct(F.lit(130).alias("width"), side.alias("height"), F.lit(3).alias("nChannels"), F.when(k % 9 != 0, data).alias("data"))
-    return table(spark, sf_dir, "supplier").select(k.alias("item_id"), image.alias("image"))
+    return _spread_keys(spark, sf_dir, "supplier", "s_suppkey", 4).select(k.alias("item_id"), image.alias("image"))
 
 
 def reencoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:

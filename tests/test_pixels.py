@@ -3,6 +3,7 @@
 import base64
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -10,6 +11,8 @@ import pytest
 
 from apertura.functions import jpeg as J
 from apertura.functions import jpeg_read as R
+from apertura.operators import pixels as P
+from apertura.plans import catalogue
 from apertura.sources import images
 
 
@@ -96,3 +99,29 @@ def test_broken_bytes_are_null(spark):
     assert got[: 4 + len(cut)] == [None] * (4 + len(cut)) and got[-1]["width"] == 40
     pair = spark.createDataFrame([(b"\x01\xff", b"\x03\xf0"), (b"", b""), (None, b"a"), (b"ab", b"a")], "a binary, b binary")
     assert [r[0] for r in pair.select(R.largest_difference("a", "b")).collect()] == [15, None, None, None]
+
+
+def test_pictures_are_spread_and_tables_of_codes_are_quick(spark, tables):
+    """A small table is one partition, but its pictures are many tasks; a table of codes isn't made entry by entry."""
+    for query in (catalogue.decoded_pixels, catalogue.reencoded_images):
+        assert query(spark, tables[1]).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    began = time.process_time()
+    for _ in range(100):
+        table = R.lookup(bytes([0, 1, 5] + [0] * 13), bytes(range(6)))
+    assert time.process_time() - began < 0.15
+    assert [table[k << 13] for k in range(8)] == [2 * 256] * 2 + [3 * 256 + k for k in range(1, 6)] + [0]
+    with pytest.raises(R.Broken):
+        R.lookup(bytes([3] + [0] * 15), bytes(3))
+
+
+def test_pixels_are_handed_on_in_small_batches():
+    """However many small files come at once."""
+    import pyarrow as pa
+
+    files = [J.encoded(picture(300, 300), 0.8)] * 80 + [None, b"junk"]
+    got = list(R.decode_jpeg.func(iter([pa.array(files, pa.binary())])))
+    assert [x for part in got for x in part.is_valid().to_pylist()] == [True] * 80 + [False] * 2
+    assert len(got) == 2 and max(part.nbytes for part in got) < R.AT_ONCE + 2 * 300 * 300 * 3
+    plan = {"bypass": True}
+    columns = [pa.array([bytes(300 * 300 * 3)] * 80 + [None]), *(pa.array([n] * 81) for n in (300, 300, 3, plan, 1))]
+    assert [len(part) for part in P._render.func(iter([columns]))] == [63, 18]
