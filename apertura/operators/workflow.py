@@ -32,7 +32,9 @@ def _written(df: DataFrame, content: str, names: list[str], keep_date: bool, as_
     df = G.synthetic_records(df, "item_id", "__day" if keep_date else None, as_of, seed)
     df = df.withColumn("__size", jpeg_size(content))
     df = df.withColumn("__written", write_tags(content, G.tag_record(F.col("__size.width"), F.col("__size.height"))))
-    df = df.withColumns({"__read": read_tags("__written.content"), "__found": search_tags("__written.content")})
+    df = df.withColumn("__read", read_tags("__written.content"))
+    # The second reader counts only where the first finds nothing.
+    df = df.withColumn("__found", search_tags(F.when(F.col("__read").isNull(), F.col("__written.content"))))
     place = {"GPSLatitude": F.col("place.lat"), "GPSLongitude": -F.abs(F.col("place.lon")), "GPSAltitude": F.col("altitude").cast("double")}
     shown = {f"__{k}": display_from_tags(F.col(f"__{v}"), dates=True, **place) for k, v in (("first", "read"), ("second", "found"))}
     df = verified(df.withColumns(shown), "__first", "__second", F.col("__written.error"))
