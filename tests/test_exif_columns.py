@@ -44,6 +44,9 @@ def test_columns_are_as_single_records(monkeypatch, few):
     assert X.write_tags.func(content, tags).to_pylist() == want
     assert X.write_tags.func(content[5:50], tags[5:50]).to_pylist() == want[5:50]
     files = [w["content"] for w in want if w["content"]]
+    some = pa.array([*files, None, b"", b"junk", TINY_JPEG, TINY_JPEG[:6], b"\xff\xd8\xff\xd9"], pa.binary())
+    assert X.strip_tags.func(some).to_pylist() == [X._attempt(X.stripped, f or b"") for f in some.to_pylist()]
+    assert X.jpeg_size.func(some).to_pylist() == [{"width": 8, "height": 16}] * len(files) + [None] * 3 + [{"width": 8, "height": 16}] + [None] * 2
     entry = struct.pack(">HHIHH", 274, 3, 1, 6, 0) + struct.pack(">HHII", 282, 5, 1, 38)
     big = b"MM\0*" + struct.pack(">IH", 8, 2) + entry + bytes(4) + struct.pack(">II", 72, 1)
     files += [X.with_tiff(TINY_JPEG, big), X.with_tiff(TINY_JPEG, big[:-1]), X.with_tiff(TINY_JPEG, big[:8] + b"\xff\xff" + big[10:])]
